@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id
+from graphloom.llm import ann, language_id, packing, topk
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(remainder("doc_id", 3) != 1))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", is_remainder("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), packing.Params(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+@query
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.inner_product_search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+ORACLES["op10_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
