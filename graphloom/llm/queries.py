@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, language_id, packing, topk
+from graphloom.llm import ann, language_id, near_dup, packing, topk
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,26 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.Params(percent=85))
+
+
+ORACLES["op5_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
+  FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS k FROM g),
+e AS (SELECT doc_id, unnest(s) AS x FROM g),
+f AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+c AS (SELECT e.* FROM e JOIN f USING (x)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM c a JOIN c b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.k + b.k - i)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.reached)
+SELECT n.doc_id, CAST(n.k AS BIGINT) AS n_shingles, min(r.reached) AS component_id, n.doc_id = min(r.reached) AS kept
+FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.k
+"""
