@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, language_id, near_dup, packing, topk
+from graphloom.llm import ann, language_id, near_dup, packing, pii, topk
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.v FROM r
 SELECT n.doc_id, CAST(n.k AS BIGINT) AS n_shingles, min(r.reached) AS component_id, n.doc_id = min(r.reached) AS kept
 FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.k
 """
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")))
