@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, language_id, near_dup, packing, pii, secrets, topk
+from graphloom.llm import ann, language_id, near_dup, packing, pii, secrets, topk, url_filter
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,22 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+#: The fixed rules of the URL filter.
+URL_RULES = [
+    url_filter.Rule("net", "/", url_filter.BLOCK),
+    url_filter.Rule("example.net", "/en/", url_filter.ALLOW),
+    url_filter.Rule("example.com", "/de/", url_filter.BLOCK),
+    url_filter.Rule("org", "/fr/", url_filter.ALLOW),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages share ids with ``labels``: a page of low quality or with toxic text is to block."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, url_filter.BLOCK).otherwise(url_filter.ALLOW).alias("label"))
+    labelled = url_filter.split_url(pages).withColumn("items", url_filter.tokens()).join(labels, "page_id")
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
