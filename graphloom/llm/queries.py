@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, language_id, near_dup, packing, pii, secrets, topk, url_filter
+from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, secrets, topk, url_filter
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, url_filter.BLOCK).otherwise(url_filter.ALLOW).alias("label"))
     labelled = url_filter.split_url(pages).withColumn("items", url_filter.tokens()).join(labels, "page_id")
     return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ctw.fit(docs.where(remainder("doc_id", 7) != 2))
+    return ctw.score(docs, model, held_out=is_remainder("doc_id", 7, 2))
