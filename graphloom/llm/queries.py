@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, secrets, topk, url_filter
+from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, secrets, sentencepiece_codec, topk, url_filter
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,13 @@ def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = ctw.fit(docs.where(remainder("doc_id", 7) != 2))
     return ctw.score(docs, model, held_out=is_remainder("doc_id", 7, 2))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents and decodes them again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = sentencepiece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    docs = sentencepiece_codec.decode(docs, path, text_out="decoded")
+    digest = F.crc32(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
