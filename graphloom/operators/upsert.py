@@ -12,7 +12,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     If a key repeats in ``new`` the row greatest in ``order`` stays, then the greatest in all.
     """
     rest = [c for c in new.columns if c not in keys]
-    by = F.struct(*([order] if order else []), *rest)
+    by = F.struct(*([F.col(order).alias("__order")] if order else []), *rest)
     last = new.groupBy(*keys).agg(F.max(by).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in rest])
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last.select(*old.columns))
 

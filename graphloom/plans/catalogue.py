@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph, with_views
-from graphloom.functions import frontmatter, text
-from graphloom.operators import algorithms, documents, extraction, passes, rules, summaries, tools, upsert
+from graphloom.operators import algorithms, passes, rules, tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
