@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def slugify_ascii(name: Column) -> Column:
@@ -17,7 +18,7 @@ def slugify_ascii(name: Column) -> Column:
     return F.when((F.length(s) > 2) & s.endswith("s") & ~s.endswith("ss"), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_accents(names: pd.Series) -> pd.Series:
     """NFKD without its combining marks; Spark has no such function."""
     strip = lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
@@ -29,7 +30,7 @@ def slugify(name: Column) -> Column:
     return slugify_ascii(without_accents(name))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined_path(file_path: pd.Series, spec: pd.Series) -> pd.Series:
     """The path of a relative import, from the importing file's folder."""
     one = lambda f, s: None if f is None or s is None else posixpath.normpath(posixpath.join(posixpath.dirname(f), s))
@@ -89,7 +90,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def floats_from_base64(encoded: pd.Series) -> pd.Series:
     """A vector from little-endian 32-bit floats in base64."""
     import base64
@@ -99,7 +100,7 @@ def floats_from_base64(encoded: pd.Series) -> pd.Series:
     return encoded.map(lambda s: None if s is None else np.frombuffer(base64.b64decode(s), "<f4"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def floats_to_base64(vectors: pd.Series) -> pd.Series:
     import base64
 

@@ -1,0 +1,139 @@
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.bundle import GraphBundle
+from graphloom.operators import extraction
+from graphloom.plans import engine
+from graphloom.plans.runner import Pass, as_table, ordered, run
+from graphloom.sources import files
+
+APP = """import { save } from './lib/store.js';
+import fs from 'node:fs/promises';
+import _ from 'lodash/merge';
+// entry
+export async function main(a) {
+  const x = load(a);
+  save(x);
+  setTimeout(main, 5);
+}
+function load(p) {
+  if (!p) throw new errors.NotFound('x');
+  return fs.readFile(p);
+}
+export default class Box {
+  put(v) { this.v = v; }
+}
+var later = () => config.get('db.url');
+"""
+STORE = "export function save(x) {\n  return process.env.HOME;\n}\n"
+
+
+@pytest.fixture(scope="module")
+def graph(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("repo")
+    (root / "src/lib").mkdir(parents=True)
+    (root / "node_modules/x").mkdir(parents=True)
+    (root / "src/app.js").write_text(APP)
+    (root / "src/lib/store.js").write_text(STORE)
+    (root / "src/readme.md").write_text("no code")
+    (root / "node_modules/x/a.js").write_text("x()")
+    found = files.source_files(spark, str(root), "r")
+    g = GraphBundle(spark)
+    engine.index(g, found)
+    g.root = str(root)
+    return g
+
+
+def rows(df, *cols):
+    return {tuple(r) for r in df.select(*cols).collect()}
+
+
+def test_files_are_those_of_code(graph, spark):
+    assert rows(files.source_files(spark, graph.root, "r"), "filePath") == {("src/app.js",), ("src/lib/store.js",)}
+
+
+def test_symbols(graph):
+    found = rows(graph["symbols"].where("filePath = 'src/app.js'"), "name", "kind", "isExported", "isAsync", "lineStart", "lineEnd")
+    assert found == {("main", "function", True, True, 5, 9), ("load", "function", False, False, 10, 13), ("Box", "class", True, False, 14, 16), ("later", "function", False, False, 17, 18)}
+
+
+def test_imports_and_packages(graph):
+    assert rows(graph["imports"], "source", "target") == {("src/app.js", "src/lib/store.js")}
+    assert rows(graph["external_packages"], "name") == {("node:fs",), ("lodash",)}
+
+
+def test_calls_resolve_in_the_file_and_through_imports(graph):
+    assert rows(graph["calls"], "src", "dst", "confidence") == {("r:src/app.js#main", "r:src/app.js#load", "exact"), ("r:src/app.js#main", "r:src/lib/store.js#save", "inferred")}
+
+
+def test_behaviour(graph):
+    got = {r["name"]: r for r in graph["symbols"].collect()}
+    assert got["load"]["hasIO"] and got["load"]["effectKinds"] == ["file-read"] and got["load"]["throwTypes"] == ["NotFound"]
+    assert not got["main"]["hasIO"] and got["main"]["effectKinds"] == ["timer"]
+    assert got["Box"]["hasMutation"] and not got["Box"]["isPure"]
+    assert got["later"]["configKeysRead"] == ["db.url"]
+
+
+def test_index_is_idempotent(graph, spark):
+    before = {n: graph[n].count() for n in ("modules", "symbols", "calls", "call_sites", "imports")}
+    engine.index(graph, files.source_files(spark, graph.root, "r"))
+    assert before == {n: graph[n].count() for n in before}
+
+
+def test_passes_and_tools(graph):
+    records = engine.analyse(graph)
+    assert [r.status for r in records] == ["success"] * 3, records
+    got = {r["name"]: r for r in graph["symbols"].collect()}
+    assert (got["main"]["fanOut"], got["load"]["fanIn"], got["load"]["depthFromEntry"]) == (2, 1, 1)
+    assert ("r:src/app.js#main", "NotFound", True) in rows(graph["throws"], "symbol", "errorType", "propagated")
+    assert rows(engine.call(graph, "graph.callers", key="load"), "name", "depth") == {("main", 1)}
+    assert engine.call(graph, "graph.query", text="SELECT count(*) AS n FROM symbols").first()["n"] == 5
+    with pytest.raises(ValueError):
+        engine.call(graph, "graph.query", text="DROP TABLE symbols")
+    with pytest.raises(KeyError):
+        engine.call(graph, "no.tool")
+
+
+def test_bundle_is_written_and_read(graph, spark, tmp_path):
+    graph.write(str(tmp_path))
+    again = GraphBundle.read(spark, str(tmp_path), ["symbols", "calls"])
+    assert rows(again["symbols"], "name") == rows(graph["symbols"], "name")
+
+
+def test_module_systems(spark):
+    texts = {"e": "export { a } from './a.js';\n", "c": "const a = require('a');", "n": "let a = 1;", "m": "import a from 'a';\nmodule.exports = a;"}
+    df = spark.createDataFrame([("r", k, v) for k, v in texts.items()], "repo string, filePath string, text string")
+    got = {r["path"]: (r["moduleSystem"], r["isBarrel"]) for r in extraction.modules(df).collect()}
+    assert got == {"e": ("esm", True), "c": ("cjs", False), "n": ("none", False), "m": ("mixed", False)}
+
+
+def test_comments_and_docstrings(spark):
+    df = spark.createDataFrame([("r", "a", "/** Adds.\n * two numbers\n * @param x */\nfunction a() {}\n/* SPDX */\n// one")], "repo string, filePath string, text string")
+    assert rows(extraction.comments(df), "kind", "hasDocTags") == {("jsdoc", True), ("license", False), ("line", False)}
+    assert df.select(extraction.docstring(F.col("text"))).first()[0] == "Adds.\ntwo numbers"
+
+
+def ok(_):
+    return {"n": 1}
+
+
+def bad(_):
+    raise RuntimeError("no")
+
+
+def test_runner(spark):
+    g = GraphBundle(spark)
+    a, b, c = Pass("a", ok), Pass("b", bad, needs=("a",)), Pass("c", ok, needs=("b",))
+    assert [p.name for p in ordered([c, b, a])] == ["a", "b", "c"]
+    got = run(g, [a, b, c, Pass("d", ok, enabled=False), Pass("e", ok)])
+    assert [(r.name, r.status) for r in got] == [("a", "success"), ("b", "failed"), ("c", "skipped"), ("d", "skipped"), ("e", "success")]
+    assert [r.status for r in run(g, [Pass("b", bad, on_error="abort"), a])] == ["failed", "skipped"]
+    assert as_table(spark, got, "r").count() == 5
+    for wrong in ([a, a], [c], [Pass("x", ok, needs=("y",)), Pass("y", ok, needs=("x",))]):
+        with pytest.raises(ValueError):
+            ordered(wrong)
+
+
+def test_timeout(spark):
+    slow = Pass("slow", lambda g: g.spark.range(10**13).selectExpr("sum(id % 7) AS s").collect() and {}, timeout=1.5)
+    assert [r.status for r in run(GraphBundle(spark), [slow])] == ["timeout"]
