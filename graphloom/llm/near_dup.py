@@ -8,9 +8,10 @@ copies are never paired. A band of bins is a bucket key.
 
 Candidates of a bucket are not all its pairs, but a star: its centre is the member that shares
 most buckets with others, each spoke is confirmed on the full sets, and links make components.
-A bucket that still holds several components loses its centres, each compared with all members
-of other components by then, and takes new ones, four times as many each round, until none
-is left. So any two texts of a bucket are compared unless links already join them.
+What stars can miss is a link between two texts of a bucket that are in different components
+then. Those pairs follow in one more step, made only where both texts have a rare shingle in
+common (an exact prefix filter), so that no bucket is expanded into its pairs. Thus any two
+texts of a bucket are linked if similar enough, or compared, or can't be similar enough.
 
 At a similarity of 0.85 a pair shares none of the 42 bands of six with a chance of about 2e-9,
 at 0.8 of 3e-6.
@@ -195,44 +196,71 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """The keys whose rows have several labels."""
+    return rows.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(key)
+
+
+def _like_sized(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= percent * F.greatest(a, b)
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """A pair of each member of a bucket with the bucket's centre."""
+    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+    hubs = members.withColumn("at", F.row_number().over(order)).where("at = 1").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & _like_sized("n", "hub_n", percent))
+    return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that share a bucket and could be similar enough.
+
+    With all shingles in one order, rarest first, two sets of that similarity share one in their
+    first ``n - ceil(percent * n / 100) + 1``. So pairs are made from shared rare shingles only,
+    and of those of a shingle none inside its commonest component.
+    """
+    nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("key").alias("keys"))
+    each = sets.join(nodes, "node", "left_semi").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    common = each.groupBy("hash").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("node").orderBy("df", "hash")
+    first = each.join(common, "hash").withColumn("at", F.row_number().over(rarest)).where(F.expr(f"df > 1 AND at <= n - (n * {percent} + 99) div 100 + 1"))
+    rows = first.select("node", "hash", "at").join(nodes, "node")
+    rows = checkpointed(rows.join(_open(rows, "hash"), "hash", "left_semi"))
+    main = rows.groupBy("hash", "label").agg(F.count("*").alias("c")).groupBy("hash").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    outside = rows.join(main, "hash").where("label <> main")
+    outside = outside.select("hash", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("keys").alias("ak"), F.col("at").alias("place"))
+    # if this is the first that both have, what follows it must hold the rest of what they share
+    needed = F.expr(f"({percent} * (n + an) + {99 + percent}) div {100 + percent}")
+    enough = F.least(F.col("n") - F.col("at"), F.col("an") - F.col("place")) + 1 >= needed
+    pairs = outside.join(rows, "hash").where((F.col("label") != F.col("al")) & _like_sized("n", "an", percent) & enough & F.arrays_overlap("keys", "ak"))
+    return pairs.select(F.least("node", "a").alias("u"), F.greatest("node", "a").alias("v")).distinct()
+
+
 def _labels(rows: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     """Columns ``node``, ``label`` for the classes that are linked to another."""
     entries = classes.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = entries.join(shared, "key")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = checkpointed(members.select("key", "node", "n").join(weight, "node").withColumn("label", F.col("node")))
-    links = tested = None
-    sets = labels = None
-    centres = 1
-    while True:
-        open_keys = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        live = checkpointed(members.join(open_keys, "key", "left_semi"))
-        if live.isEmpty():
-            break
-        if sets is None:
-            sets = checkpointed(_sets(rows, live.select("node").distinct(), params))
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        hubs = live.withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres)
-        hubs = checkpointed(hubs.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n")))
-        sizes = F.least("n", "hub_n") * 100 >= params.percent * F.greatest("n", "hub_n")
-        pairs = live.join(hubs, "key").where((F.col("label") != F.col("hub_label")) & sizes)
-        pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _confirmed(pairs, sets, params.percent)
-        links = checkpointed(new if links is None else links.unionByName(new))
-        labels = components(links)
-        rest = live.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        members = checkpointed(rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        centres *= 4
-    return labels if labels is not None else classes.select("node", F.col("node").alias("label")).limit(0)
+    members = checkpointed(members.select("key", "node", "n").join(weight, "node"))
+    sets = checkpointed(_sets(rows, members.select("node").distinct(), params))
+    stars = checkpointed(_stars(members, params.percent))
+    links = checkpointed(_confirmed(stars, sets, params.percent))
+    labels = components(links)
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = checkpointed(members.join(_open(members, "key"), "key", "left_semi"))
+    pairs = _across(members, sets, params.percent).join(stars, ["u", "v"], "left_anti")
+    more = checkpointed(_confirmed(checkpointed(pairs), sets, params.percent))
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def representatives(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of documents that a smaller id's near-duplicate; a document that
-    repeats with id and text stays once."""
+    """``docs`` without the documents that are near-duplicates of one with a smaller id.
+
+    Rows that repeat an id and text stay once; rows without an id stay.
+    """
     found = near_duplicates(docs, params, id_col, text_col)
-    keep: Column = F.col("kept")
-    kept = found.where(keep).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col, text_col])
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col, text_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

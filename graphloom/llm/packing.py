@@ -16,9 +16,12 @@ its own. An empty table gives no rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import math
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +39,37 @@ class Params:
     end_id: int = 0
     pieces_per_packer: int = 32_768
     open_bins: int = 8192
-    cached_words: int = 400_000
+    cached_words: int = 600_000
 
 
-class WordEncoder:
-    """Token ids of texts as bytes of little-endian unsigned 32-bit numbers."""
+class WordEncoder(dict):
+    """Token ids of words, as bytes of little-endian unsigned 32-bit numbers.
+
+    The words met first, among which are the frequent ones, are kept up to a number.
+    """
 
     def __init__(self, path: str, cached_words: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), cached_words, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
+        self.tokenizer, self.most = Tokenizer.from_file(path), cached_words
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = list(dict.fromkeys(words))
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        cache.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found, strict=True))
-        return b"".join([cache[w] for w in words])
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, cached_words: int) -> WordEncoder:
+    """The encoder of a Python worker, with the words that its earlier tasks met."""
+    return WordEncoder(path, cached_words)
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -69,12 +77,12 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 
 def _cut_partition(params: Params):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(params.tokenizer, params.cached_words)
+        encoder = _encoder(params.tokenizer, params.cached_words)
         end, size = np.array([params.end_id], "<u4").tobytes(), 4 * params.max_tokens
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = (encoder.encode(text) if text else b"") + end
+                ids = encoder.encode(text) + end
                 for k, lo in enumerate(range(0, len(ids), size)):
                     piece = ids[lo : lo + size]
                     at.append(i)
