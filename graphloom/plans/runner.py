@@ -40,6 +40,10 @@ class Record:
     error: str | None = None
 
 
+#: Seconds for which the jobs of a pass that ran out of time are cancelled again and again.
+GRACE = 60.0
+
+
 def ordered(passes: list[Pass]) -> list[Pass]:
     """Passes after what they need, else as given. Twice a name, unknown needs and cycles fail."""
     names = [p.name for p in passes]
@@ -76,7 +80,10 @@ def _with_timeout(spark: SparkSession, job: Callable[[], dict], seconds: float)
     worker.start()
     worker.join(seconds if seconds > 0 else None)
     if worker.is_alive():
-        spark.interruptTag(tag)
+        ends = time.time() + GRACE
+        while worker.is_alive() and time.time() < ends:  # a job may start only after the first interrupt
+            spark.interruptTag(tag)
+            worker.join(0.5)
         return "timeout", {}, f"took more than {seconds:g} s"
     return ("failed", {}, out["error"]) if "error" in out else ("success", out["stats"], None)
 
