@@ -7,10 +7,12 @@ estimates of all depths: at a context the own estimate and the product of its ch
 weighed by how well each codes the training bytes. What is learned is fixed before scoring, so
 the mixed probability of a byte in a context is one number, looked up.
 
-Training counts words and byte n-grams over all training texts; Spark sums them.
-Contexts are a tree of bounded size: those with at least a ``1 / contexts`` share of all bytes,
-so no depth has more than ``contexts``; rarer ones share one leaf below their parent. Only this
-tree goes to the driver and to the tasks. Words are counted without such a limit: those of at
+Training counts words and byte n-grams over all training texts; Spark sums them. Every context
+that stands in the training texts is learned, at each depth, however rare. N-grams are dealt to
+slots by the last two bytes of their context, so a slot has all longer contexts of its own and
+weighs them alone; of depths 0 and 1 there are 257 contexts at most, whose sums go to the driver.
+Nothing else of the tree leaves the slots: texts are scored in chunks, each chunk asks the slots for
+its distinct n-grams and gets their probabilities. Words are counted likewise: those of at
 least a ``1 / frequent`` share (at most ``frequent`` of them) are broadcast, and all others are
 joined with their counts.
 
@@ -41,10 +43,13 @@ LOG10 = math.log(10)
 
 @dataclass(frozen=True)
 class Params:
-    """``depth`` of contexts is at most 6: an n-gram of one byte more is packed into a long."""
+    """``depth`` of contexts is at most 6: an n-gram of one byte more is packed into a long.
+    ``contexts`` bounds nothing any more, and is still accepted. ``chunk``: bytes of text that
+    are scored together."""
 
     depth: int = 6
     contexts: int = 32_768
+    chunk: int = 8 << 20
     frequent: int = 1 << 20
     flush: int = 300_000
     held_grams: int = 1_500_000
@@ -88,6 +93,8 @@ def _words_partition(params: Params):
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their counts."""
+    if not len(keys):
+        return keys, n
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -116,8 +123,8 @@ def _grams_partition(params: Params, slots: int):
             order = np.argsort(slot, kind="stable")
             ends = np.searchsorted(slot[order], np.arange(slots + 1))
             some = np.flatnonzero(np.diff(ends))
-            cuts = pa.array(np.append(ends[some], len(keys)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(keys[order])), pa.ListArray.from_arrays(cuts, pa.array(n[order]))], names=["slot", "grams", "n"])
+            own = [order[ends[i] : ends[i + 1]] for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_pressed(keys[x], True) for x in own], pa.binary()), pa.array([_pressed(n[x]) for x in own], pa.binary())], names=["slot", "grams", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -136,26 +143,34 @@ def _grams_partition(params: Params, slots: int):
     return count
 
 
-def _contexts_of_slot(params: Params, least: float):
-    """Counts of a slot's contexts and next bytes: of two bytes on, those in the tree; else all."""
-
-    def count(table: pa.Table) -> pa.Table:
-        flat = lambda c: c.combine_chunks().flatten().to_numpy() if isinstance(c.combine_chunks(), pa.Array) else np.concatenate([x.flatten().to_numpy() for x in c.chunks])
-        grams, n = _summed(flat(table.column("grams")), flat(table.column("n")))
-        out = []
-        for d in range(params.depth, -1, -1):
-            keys, n = _summed(grams & ((1 << (8 * (d + 1))) - 1), n)
-            grams = keys
-            kept = np.ones(len(keys), bool)
-            if d >= 2:
-                contexts = keys >> 8
-                first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1])))
-                total = np.add.reduceat(n, first)
-                kept = np.repeat(total, np.diff(np.append(first, len(keys)))) >= least
-            out.append((np.full(kept.sum(), d, np.int32), keys[kept] >> 8, (keys[kept] & 255).astype(np.int32), n[kept]))
-        return pa.table([pa.array(np.concatenate([x[i] for x in out])) for i in range(4)], names=["depth", "context", "byte", "n"])
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks]])
 
-    return count
+
+def _pressed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers with all their first bytes together, then all second ones and so on, as zstd."""
+    values = values.astype(np.int64)
+    if ascending:
+        values = np.diff(values, prepend=0)
+    return len(values).to_bytes(8, "little") + pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _loose(column: pa.ChunkedArray, ascending: bool = False) -> list[np.ndarray]:
+    out = []
+    for x in column.to_pylist():
+        n = int.from_bytes(x[:8], "little")
+        values = np.frombuffer(pa.decompress(x[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view(np.int64).reshape(-1)
+        out.append(np.cumsum(values) if ascending else values)
+    return out
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -173,6 +188,20 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
+#: Logarithms of the gamma function at n + 1/2 and n + 1.
+HALVES, WHOLES = log_gamma(np.arange(1 << 16) + 0.5), log_gamma(np.arange(1 << 16) + 1.0)
+
+
+def log_kt_of(zeros: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``log_kt`` of integers, mostly small."""
+    big = np.flatnonzero(total >= len(WHOLES))
+    z, t = zeros.copy(), total.copy()
+    z[big] = t[big] = 0
+    out = HALVES[z] + HALVES[t - z] - WHOLES[t] - math.log(math.pi)
+    out[big] = log_kt(zeros[big].astype(np.float64), (total - zeros)[big].astype(np.float64))
+    return out
+
+
 def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at the 255 decisions of a byte, from counts of bytes (rows x 256)."""
     zeros, ones = [], []
@@ -195,76 +224,157 @@ def byte_logs(p_one: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tree:
-    """``child[node, byte]``: the node of a context one byte longer, 0 if there is none.
-    ``logs[node, byte]``: log10 probability of the byte where no longer context is known."""
+    """The contexts of depth 0 and 1, by the last byte. ``mixed`` and ``left`` at each of the 255
+    decisions: what these depths give to the probability of a one, and the share that longer
+    contexts have. ``logs[last, byte]``: log10 probability where no longer context is known."""
 
-    child: np.ndarray
+    mixed: np.ndarray
+    left: np.ndarray
     logs: np.ndarray
-    depth: int
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """From each depth's contexts (packed, ascending) and their counts of the next byte."""
-    depth = len(levels) - 1
-    first = np.concatenate(([0], np.cumsum([len(c) for c, _ in levels])))
-    child = np.zeros((first[-1], 256), np.int32)
-    parent: list[np.ndarray] = [np.zeros(0, np.int64)]
-    for d in range(1, depth + 1):
-        contexts, above = levels[d][0], levels[d - 1][0]
-        # a context's first byte is the one farthest back; without it, it is its parent
-        rest, far = contexts & ((1 << (8 * (d - 1))) - 1), contexts >> (8 * (d - 1))
-        parent.append(np.searchsorted(above, rest))
-        child[first[d - 1] + parent[d], far] = first[d] + np.arange(len(contexts))
-    own_share, rest_one = [None] * (depth + 1), [None] * (depth + 1)
-    weighted = None
-    for d in range(depth, -1, -1):
-        counts = levels[d][1]
-        zeros, ones = decisions(counts)
+
+
+def build(counts: np.ndarray, below: np.ndarray, depth: int) -> Tree:
+    """From counts of last and next bytes, and the weighted logarithms of the depth-2 contexts."""
+    mixed, left = np.zeros((1, 255)), np.ones((1, 255))
+    tables, sums = [counts.sum(axis=0, keepdims=True), counts][: depth + 1], [None, below]
+    own_share, ones_share = [], []
+    for d in range(len(tables) - 1, -1, -1):
+        zeros, ones = decisions(tables[d])
         own = log_kt(zeros, ones)
+        weighted = own if d == depth else math.log(0.5) + np.logaddexp(own, sums[d])
+        own_share.insert(0, np.exp((0.0 if d == depth else math.log(0.5)) + own - weighted))
+        ones_share.insert(0, (ones + 0.5) / (zeros + ones + 1))
+        if d:
+            sums[d - 1] = weighted.sum(axis=0, keepdims=True)
+    for share, one in zip(own_share, ones_share, strict=True):
+        mixed, left = mixed + left * share * one, left * (1.0 - share)
+    mixed, left = (np.broadcast_to(x, (256, 255)).copy() for x in (mixed, left))
+    return Tree(mixed, left, byte_logs(np.clip(mixed + left / 2, 1e-12, 1 - 1e-12)).astype(np.float32))
+
+
+def _by_depth(grams: np.ndarray, n: np.ndarray, depth: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams, ascending, and their counts, with contexts of ``depth`` to 2 bytes."""
+    out = {}
+    for d in range(depth, 1, -1):
+        grams, n = out[d] = _summed(grams & ((1 << (8 * (d + 1))) - 1), n)
+    return out
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """One decision of the next byte at all contexts of a depth. ``keys``: a context and the bits
+    so far, ascending; ``parent``: the place of the context one byte shorter."""
+
+    keys: np.ndarray
+    one: np.ndarray
+    own_share: np.ndarray
+    weighted: np.ndarray
+    parent: np.ndarray | None
+
+
+def _weigh(grams: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, level: int) -> dict[int, Nodes]:
+    """Of each depth from 2 on, the nodes at decision ``level`` of the next byte."""
+    found = {}
+    for d, (keys, n) in grams.items():
+        at = keys >> (8 - level)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
+        if len(first):
+            total, ones = np.add.reduceat(n, first), np.add.reduceat(n * ((keys >> (7 - level)) & 1), first)
+        else:
+            total = ones = np.zeros(0, np.int64)
+        found[d] = at[first], total, ones
+    out: dict[int, Nodes] = {}
+    weighted = None
+    for d in range(depth, 1, -1):
+        keys, total, ones = found[d]
+        own = log_kt_of(total - ones, total)
         if d == depth:
-            weighted, own_share[d] = own, np.ones(own.shape, np.float32)
-            rest_one[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-            continue
-        below = np.zeros(own.shape)
-        rest = counts.astype(np.float64)
-        if len(levels[d + 1][0]):
-            np.add.at(below, parent[d + 1], weighted)
-            np.subtract.at(rest, parent[d + 1], levels[d + 1][1])
-            rest = np.maximum(rest, 0.0)
-        rest_zeros, rest_ones = decisions(rest)
-        below += log_kt(rest_zeros, rest_ones)
-        rest_one[d] = ((rest_ones + 0.5) / (rest_zeros + rest_ones + 1)).astype(np.float32)
-        top = np.maximum(own, below)
-        weighted = math.log(0.5) + top + np.log(np.exp(own - top) + np.exp(below - top))
-        own_share[d] = np.exp(math.log(0.5) + own - weighted).astype(np.float32)
-    logs = np.zeros((first[-1], 256), np.float32)
-    mixed = left = None
-    for d in range(depth + 1):
-        zeros, ones = decisions(levels[d][1])
-        one = (ones + 0.5) / (zeros + ones + 1)
-        up_mixed, up_left = (0.0, 1.0) if d == 0 else (mixed[parent[d]], left[parent[d]])
-        mixed, left = up_mixed + up_left * own_share[d] * one, up_left * (1.0 - own_share[d])
-        logs[first[d] : first[d + 1]] = byte_logs(np.clip(mixed + left * rest_one[d], 1e-12, 1 - 1e-12))
-    return Tree(child, logs, depth)
-
-
-def log_probabilities(data: np.ndarray, tree: Tree) -> np.ndarray:
-    """log10 probability of each byte from ``tree.depth`` on, given those before it."""
-    n = len(data) - tree.depth
-    node, at = np.zeros(n, np.int32), np.arange(n)
-    flat, wide = tree.child.reshape(-1), data.astype(np.int64)
-    for d in range(1, tree.depth + 1):
-        found = flat[node[at].astype(np.int64) * 256 + wide[tree.depth - d + at]]
-        some = found > 0
-        if not some.all():
-            at, found = at[some], found[some]
-        node[at] = found
-    return tree.logs.reshape(-1)[node.astype(np.int64) * 256 + wide[tree.depth :]]
+            weighted, share = own, np.ones(len(own))
+        else:  # each n-gram stands in contexts of all depths, so children have all of a context's counts
+            below = np.bincount(np.searchsorted(keys, found[d + 1][0] & ((1 << (8 * d + level)) - 1)), weighted, len(keys))
+            weighted = math.log(0.5) + np.logaddexp(own, below)
+            share = np.exp(math.log(0.5) + own - weighted)
+        parent = np.searchsorted(found[d - 1][0], keys & ((1 << (8 * (d - 1) + level)) - 1)) if d > 2 else None
+        out[d] = Nodes(keys, (ones + 0.5) / (total + 1), share, weighted, parent)
+    return out
+
+
+def _at_top(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last byte and decision of nodes."""
+    return (keys >> level) & 255, (1 << level) - 1 + (keys & ((1 << level) - 1))
+
+
+def _slot_sums(params: Params):
+    """A slot's n-grams with their counts, and what it adds to the contexts of one byte."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        slot = table.column("slot")[0].as_py()
+        grams, n = _summed(_joined(_loose(table.column("grams"), True)), _joined(_loose(table.column("n"))))
+        grams_of = _by_depth(grams, n, params.depth)
+        counts = np.zeros((256, 256), np.int64)
+        np.add.at(counts, ((grams >> 8) & 255, grams & 255) if params.depth else (0, grams), n)
+        below = np.zeros((256, 255))
+        for level in range(8):
+            if params.depth >= 2:
+                two = _weigh(grams_of, params.depth, level)[2]
+                np.add.at(below, _at_top(two.keys, level), two.weighted)
+        cuts = range(0, len(grams), 1 << 18)
+        some = np.flatnonzero(counts.sum(axis=1))
+        none = [None]
+        return pa.table(
+            [
+                pa.array([slot] * (len(cuts) + len(some)), pa.int32()),
+                pa.array([-1] * len(cuts) + some.tolist(), pa.int32()),
+                pa.array([_pressed(grams[i : i + (1 << 18)], True) for i in cuts] + none * len(some), pa.binary()),
+                pa.array([_pressed(n[i : i + (1 << 18)]) for i in cuts] + [_pressed(x) for x in counts[some]], pa.binary()),
+                pa.array(none * len(cuts) + list(below[some]), pa.list_(pa.float64())),
+            ],
+            names=["slot", "last", "grams", "n", "below"],
+        )
+
+    return sums
+
+
+def _top_sums(table: pa.Table) -> pa.Table:
+    n, below = sum(_loose(table.column("n"))), _flat(table.column("below"), np.float64).reshape(-1, 255).sum(axis=0)
+    return pa.table([table.column("last")[:1], pa.array([n], pa.list_(pa.int64())), pa.array([below], pa.list_(pa.float64()))], names=["last", "n", "below"])
+
+
+def _probabilities(grams: dict[int, tuple[np.ndarray, np.ndarray]], tree: Tree, depth: int, asked: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each n-gram of ``asked`` (ascending), given the others."""
+    logs = np.zeros(len(asked))
+    for level in range(8):
+        last, at = ((asked >> 8) & 255 if depth else np.zeros(len(asked), np.int64)), (1 << level) - 1 + ((asked & 255) >> (8 - level))
+        p = tree.mixed[last, at] + tree.left[last, at] / 2
+        nodes = _weigh(grams, depth, level)
+        known: dict[int, np.ndarray] = {}
+        for d in range(2, depth + 1):
+            x = nodes[d]
+            if d == 2:
+                up = tree.mixed[_at_top(x.keys, level)], tree.left[_at_top(x.keys, level)]
+            else:
+                up = mixed[x.parent], left[x.parent]
+            mixed, left = up[0] + up[1] * x.own_share * x.one, up[1] * (1.0 - x.own_share)
+            known[d] = mixed + left / 2
+        open_ = np.arange(len(asked))
+        for d in range(depth, 1, -1):  # the longest context that is known
+            if not len(open_) or not len(nodes[d].keys):
+                continue
+            keys = (asked[open_] >> (8 - level)) & ((1 << (8 * d + level)) - 1)
+            place = np.minimum(np.searchsorted(nodes[d].keys, keys), len(nodes[d].keys) - 1)
+            hit = nodes[d].keys[place] == keys
+            p[open_[hit]] = known[d][place[hit]]
+            open_ = open_[~hit]
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        logs += np.log10(np.where((asked >> (7 - level)) & 1, p, 1 - p))
+    return logs
 
 
 @dataclass(frozen=True)
 class Model:
     tree: Tree
+    grams: DataFrame  # slot, grams, n
+    slots: int
     words: DataFrame  # word, n
     tokens: int
     vocabulary: int
@@ -276,49 +386,109 @@ def fit(train: DataFrame, params: Params = Params(), text_col: str = "text") ->
     """Learns from all rows of ``train``."""
     texts = train.select(F.col(text_col).cast("binary").alias("t"))
     words = checkpointed(texts.mapInArrow(_words_partition(params), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    # each word is followed by a space; the end is one byte
-    size = F.sum(F.when(F.col("word") == F.lit(END_WORD), F.col("n")).otherwise(F.col("n") * (F.length("word") + 1)))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     frequent = words.where(F.col("n") * params.frequent >= total["n"]).toPandas()
-    return Model(_tree(texts, total["size"], params), words, total["n"], total["v"], dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True)), params)
+    return Model(*_tree(texts, params), words, total["n"], total["v"], dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True)), params)
 
 
-def _tree(texts: DataFrame, size: int, params: Params) -> Tree:
-    """The tree of contexts of at least a ``1 / contexts`` share of all ``size`` bytes.
+def _tree(texts: DataFrame, params: Params) -> tuple[Tree, DataFrame, int]:
+    """The top of the tree, all n-grams by slot, and the number of slots.
 
     N-grams are counted in each task and dealt by their context to slots, of which there are as
     many as tasks, so that a slot stays as large when the input grows.
     """
-    least, slots = size / params.contexts, max(48, texts.rdd.getNumPartitions())
-    parts = texts.mapInArrow(_grams_partition(params, slots), "slot int, grams array<long>, n array<long>")
-    rows = parts.groupBy("slot").applyInArrow(_contexts_of_slot(params, least), "depth int, context long, byte int, n long")
-    # at most ``contexts`` of each depth pass; only those of depths 0 and 1 are spread over slots
-    rows = rows.groupBy("depth", "context", "byte").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
-    totals = found.groupby(["depth", "context"])["n"].transform("sum")
-    found = found[totals >= least]
-    levels = []
-    for d in range(params.depth + 1):
-        own = found[found["depth"] == d]
-        contexts, at = np.unique(own["context"].to_numpy(np.int64), return_inverse=True)
-        if d == 0 and not len(contexts):
-            contexts = np.zeros(1, np.int64)
-        table = np.zeros((len(contexts), 256), np.float32)
-        table[at, own["byte"].to_numpy(np.int64)] = own["n"].to_numpy()
-        levels.append((contexts, table))
-    return build(levels)
-
-
-def _score_partition(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent, tokens, vocabulary, depth = shared.value
+    slots = max(48, texts.rdd.getNumPartitions())
+    parts = texts.mapInArrow(_grams_partition(params, slots), "slot int, grams binary, n binary")
+    rows = checkpointed(parts.groupBy("slot").applyInArrow(_slot_sums(params), "slot int, last int, grams binary, n binary, below array<double>"))
+    counts, below = np.zeros((256, 256)), np.zeros((256, 255))
+    tops = rows.where("last >= 0").select("last", "n", "below").groupBy("last").applyInArrow(_top_sums, "last int, n array<long>, below array<double>")
+    for r in tops.collect():
+        counts[r["last"]], below[r["last"]] = r["n"], r["below"]
+    return build(counts, below, params.depth), rows.where("last < 0").select("slot", "grams", "n"), slots
+
+
+def _blocks(texts: list[bytes | None], depth: int, most: int = 1 << 20) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: their words, lengths, n-grams at all places and whether these are inside a text."""
+    pad, words, held, size = END * depth, [], [], 0
+    for i, text in enumerate(texts):
+        words.append(normal_words(text))
+        held.append(stream(words[-1]))
+        size += len(held[-1])
+        if size > most or i == len(texts) - 1:
+            lengths = np.array([len(x) for x in held])
+            keys = _packed(np.frombuffer(pad + b"".join([x + pad for x in held]), np.uint8), depth)
+            ends = np.cumsum(lengths + depth)
+            gap = (ends[:, None] - 1 - np.arange(depth)).reshape(-1)
+            inside = np.ones(len(keys), bool)
+            inside[gap] = False
+            yield words, lengths, keys, inside
+            words, held, size = [], [], 0
+
+
+def _ask(params: Params, slots: int):
+    """The distinct n-grams of a chunk, by slot."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        grams = _distinct(np.concatenate([_distinct(keys[inside]) for *_, keys, inside in _blocks(table.column("t").to_pylist(), params.depth, 1 << 22)]))
+        slot = _slot(grams, slots)
+        order = np.argsort(slot, kind="stable")
+        ends = np.searchsorted(slot[order], np.arange(slots + 1))
+        some = np.flatnonzero(np.diff(ends))
+        chunk = pa.array(np.full(len(some), table.column("chunk")[0].as_py(), np.int32))
+        return pa.table([chunk, pa.array(some.astype(np.int32)), pa.array([_pressed(grams[order[ends[i] : ends[i + 1]]], True) for i in some], pa.binary())], names=["chunk", "slot", "grams"])
+
+    return ask
+
+
+def _answer(shared):
+    """Probabilities of the n-grams that chunks ask a slot for."""
+
+    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
+        tree, *_, depth = shared.value
+        grams = _by_depth(_joined(_loose(known.column("grams"), True)), _joined(_loose(known.column("n"))), depth)
+        parts = _loose(asked.column("grams"), True)
+        wanted, at = np.unique(_joined(parts), return_inverse=True)
+        logs = _probabilities(grams, tree, depth, wanted)[at].astype(np.float32)
+        cuts = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+        return pa.table([asked.column("chunk"), asked.column("grams"), pa.ListArray.from_arrays(cuts, pa.array(logs))], names=["chunk", "grams", "logs"])
+
+    return answer
+
+
+class Looked:
+    """Values by key: a table by hash, and a search for those keys that another one displaced."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
+        self.at = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.at[self._hash(self.keys)] = np.arange(len(keys))
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.at[self._hash(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return self.values[at]
+
+
+def _score_chunk(shared):
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        _, frequent, tokens, vocabulary, depth = shared.value
         unit = math.log10(tokens + 1) + math.log10(vocabulary + 1)
-        for batch in batches:
-            ids, rare, whole = batch.column(0), ([], [], []), ([], [], [], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = normal_words(text)
-                data = np.frombuffer(END * depth + stream(words), np.uint8)
-                logs = sum(log_probabilities(data[lo : lo + (1 << 20) + depth], tree).sum(dtype=np.float64) for lo in range(0, len(data) - depth, 1 << 20))
+        ids, rare, whole = pa.concat_arrays(docs.column("row").chunks), ([], [], []), ([], [], [], [], [])
+        ids = pa.StructArray.from_arrays(ids.flatten(), names=[f.name for f in ids.type])  # all fields nullable, as Spark expects them back
+        looked = Looked(_joined(_loose(answers.column("grams"), True)), _flat(answers.column("logs"), np.float32))
+        i = -1
+        for texts, lengths, keys, inside in _blocks(docs.column("t").to_pylist(), depth):
+            logs = np.zeros(len(keys))
+            logs[inside] = looked(keys[inside])
+            sums = np.add.reduceat(logs, np.cumsum(lengths + depth) - lengths - depth)
+            for words, length, total in zip(texts, lengths.tolist(), sums.tolist(), strict=True):
+                i += 1
                 known, base = 0, -unit * (len(words) + 1)
                 mine = Counter(words)
                 mine[END_WORD] += 1
@@ -330,25 +500,34 @@ def _score_partition(shared):
                         rare[0].append(i)
                         rare[1].append(w)
                         rare[2].append(k)
-                for column, v in zip(whole, (len(words) + 1, known, base, float(logs), len(data) - depth), strict=True):
+                for column, v in zip(whole, (len(words) + 1, known, base, total, length), strict=True):
                     column.append(v)
-            names = ["row", "word", "times", "n_tokens", "n_known", "base", "score", "n_bytes"]
-            # a document's own row has a word that no text has
-            own = [b" %d" % i for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(own, pa.binary()), pa.array(np.zeros(len(ids), np.int64)), *[pa.array(c, t) for c, t in zip(whole, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]], names=names)
-            n = len(rare[0])
-            zeros, nothing = pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rare[0], pa.int64())), pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64()), zeros, zeros, nothing, nothing, zeros], names=names)
+        names = ["row", "word", "times", "n_tokens", "n_known", "base", "score", "n_bytes"]
+        # a document's own row has a word that no text has
+        own = [b" %d" % i for i in range(len(ids))]
+        first = pa.table([ids, pa.array(own, pa.binary()), pa.array(np.zeros(len(ids), np.int64)), *[pa.array(c, t) for c, t in zip(whole, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]], names=names)
+        n = len(rare[0])
+        zeros, nothing = pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n))
+        return pa.concat_tables([first, pa.table([ids.take(pa.array(rare[0], pa.int64())), pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64()), zeros, zeros, nothing, nothing, zeros], names=names)])
 
     return score
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
     """Of each document n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.tree, model.frequent, model.tokens, model.vocabulary, model.params.depth))
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.monotonically_increasing_id().alias("k")).alias("row"), F.col(text_col).cast("binary").alias("t"))
+    params = model.params
+    shared = docs.sparkSession.sparkContext.broadcast((model.tree, model.frequent, model.tokens, model.vocabulary, params.depth))
+    text = F.col(text_col).cast("binary")
+    # text bytes, and the end of each text
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1), F.lit(0))).first()[0]
+    # by a hash of the content, so that a row is in the same chunk whenever it is read
+    chunk = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 + size // params.chunk)).cast("int").alias("chunk")
+    rows = docs.select(chunk, F.struct(F.col(id_col).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.monotonically_increasing_id().alias("k")).alias("row"), text.alias("t"))
+    # from the same rows as the scores, so that Spark deals the texts only once
+    asked = rows.groupBy("chunk").applyInArrow(_ask(params, model.slots), "chunk int, slot int, grams binary")
+    answers = model.grams.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_answer(shared), "chunk int, grams binary, logs array<float>")
     kind = rows.schema["row"].dataType.simpleString()
-    parts = rows.mapInArrow(_score_partition(shared), f"row {kind}, word binary, times long, n_tokens long, n_known long, base double, score double, n_bytes long")
+    parts = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared), f"row {kind}, word binary, times long, n_tokens long, n_known long, base double, score double, n_bytes long")
     counts = model.words.select("word", F.col("n").alias("c"))
     joined = parts.join(counts, "word", "left")
     out = joined.groupBy("row").agg(

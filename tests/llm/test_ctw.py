@@ -123,3 +123,14 @@ def test_nulls_empties_repeats_and_no_training(spark):
     got = sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["bits_per_byte"], 3)) for r in ctw.score(docs, model).collect()))
     assert got == [(0, 2, 0, 8.0), (1, 1, 0, 8.0), (2, 1, 0, 8.0), (3, 3, 0, 8.0), (3, 3, 0, 8.0)]
     assert ctw.score(docs.where("false"), model).count() == 0
+
+
+def test_rare_contexts_are_learned_at_any_size(spark):
+    # the contexts of "qxz vwk" are a far smaller share of the bytes than a share that cuts keeps
+    train = [*["the cat ran and the dog sat"] * 50, "qxz vwk"]
+    params = ctw.Params(depth=DEPTH, contexts=8, chunk=16)
+    texts = ["qxz vwk", "the cat", "unseen 日本", "", None]
+    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ctw.fit(spark.createDataFrame([(t,) for t in train], "text string"), params)).collect()}
+    brute = Brute(train)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute.log10(t or ""), rel=1e-4, abs=1e-4)
