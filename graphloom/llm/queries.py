@@ -105,7 +105,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, url_filter.BLOCK).otherwise(url_filter.ALLOW).alias("label"))
     labelled = url_filter.split_url(pages).withColumn("items", url_filter.tokens()).join(labels, "page_id")
-    return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, URL_RULES, url_filter.mined(labelled)).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query

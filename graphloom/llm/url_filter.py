@@ -7,8 +7,9 @@ such as hold a shorter rule that is as sure. A URL matches a mined rule if it ha
 tokens: rules are indexed by a hash of their rarest token, so a URL's tokens look up few
 candidates, and these are checked in full. A URL that no rule blocks is allowed.
 
-Only DataFrame functions and Spark's own FP-growth run on the executors. The set of mined rules
-is bounded by a parameter; its index is a constant of the plan.
+Only DataFrame functions and Spark's own FP-growth run on the executors. Up to ``max_rules`` mined
+rules are indexed in a constant of the plan; more of them stay a table, joined with the distinct
+token sets of the URLs by rarest token. None is dropped for its number.
 
 Cases: host and path of a null URL or one without ``://`` are empty, no rule fits them and they
 are allowed. Repeated rows give repeated results. Without labels, or without any mined rule,
@@ -27,7 +28,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lower_ascii
+from graphloom.llm.common import checkpointed, lower_ascii
 
 BLOCK, ALLOW = "block", "allow"
 LABEL = "label="
@@ -51,7 +52,7 @@ class Params:
     """``min_support``: share of labelled URLs that hold a combination, and ``min_count``
     their least number; ``most_train``: expected
     number of labelled URLs learned from, chosen by a hash if there are more; ``max_tokens``: of
-    a rule; ``max_rules``: the surest are kept."""
+    a rule; ``max_rules``: as many are indexed in the plan, more are joined."""
 
     min_support: float = 0.005
     min_count: int = 25
@@ -92,6 +93,10 @@ def tokens(url_col: str = "url") -> Column:
     return F.array_distinct(F.concat(tagged("d:", domains), tagged("h:", F.split("host", "[.-]")), tagged("p:", F.split("path", "[/._-]")), tagged("q:", keys)))
 
 
+#: Columns of mined rules.
+RULES = "items array<string>, confidence double, support double"
+
+
 @dataclass(frozen=True)
 class Mined:
     """Tokens that, all in one URL, block it."""
@@ -101,25 +106,32 @@ class Mined:
     support: float
 
 
-def mine(labelled: DataFrame, params: Params = Params()) -> list[Mined]:
-    """Blocking rules from rows of ``items`` and ``label``."""
+def mined(labelled: DataFrame, params: Params = Params()) -> DataFrame:
+    """Blocking rules from rows of ``items`` and ``label``: items, ascending, confidence and support."""
     rows = labelled.where(F.col("label").isNotNull() & (F.size("items") > 0)).select("items", "label")
     n = rows.count()
     if not n:
-        return []
+        return labelled.sparkSession.createDataFrame([], RULES)
     if n > params.most_train:
         rows = rows.where(F.pmod(F.xxhash64("items"), F.lit(1 << 30)) < params.most_train / n * (1 << 30))
     support = max(params.min_support, params.min_count / min(n, params.most_train))
     if support > 1:
-        return []
+        return labelled.sparkSession.createDataFrame([], RULES)
     sets = rows.select(F.concat("items", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(sets).associationRules
     found = found.where((F.col("consequent") == F.array(F.lit(LABEL + BLOCK))) & (F.size("antecedent") <= params.max_tokens))
-    found = found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    surest = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), "items").limit(params.max_rules)
-    rules = [Mined(frozenset(r["items"]), r["confidence"], r["support"]) for r in surest.collect()]
+    found = checkpointed(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
     # a rule adds nothing to one that is a part of it and at least as sure
-    return [r for r in rules if not any(o.items < r.items and o.confidence >= r.confidence for o in rules)]
+    parts = found.where(F.size("items") > 1).select("items", "confidence", F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 2)")).alias("mask"))
+    parts = parts.select(F.col("items").alias("whole"), F.col("confidence").alias("sure"), F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("items"))
+    covered = parts.join(found, "items").where(F.col("confidence") >= F.col("sure")).select(F.col("whole").alias("items")).distinct()
+    return checkpointed(found.join(covered, "items", "left_anti"))
+
+
+def mine(labelled: DataFrame, params: Params = Params()) -> list[Mined]:
+    """The rules of ``mined``, surest first, on the driver."""
+    rules = mined(labelled, params).orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), "items")
+    return [Mined(frozenset(r["items"]), r["confidence"], r["support"]) for r in rules.collect()]
 
 
 def slot(token: Column) -> Column:
@@ -139,10 +151,27 @@ def inverted_index(pages: DataFrame, rules: list[Mined]) -> Column:
     return F.from_json(F.lit(json.dumps(slots)), "array<array<array<string>>>")
 
 
-def judge(pages: DataFrame, fixed: list[Rule], rules: list[Mined], url_col: str = "url") -> DataFrame:
+def blocked_sets(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Those rows of ``sets``, distinct ``__items``, that have all tokens of a rule."""
+    of = rules.select("items", F.explode("items").alias("token"))
+    uses = of.groupBy("token").agg(F.count("*").alias("uses"))
+    keyed = of.join(uses, "token").groupBy("items").agg(F.min(F.struct("uses", "token"))["token"].alias("token"))
+    candidates = sets.select("__items", F.explode("__items").alias("token")).join(keyed, "token")
+    return candidates.where(F.size(F.array_except("items", "__items")) == 0).select("__items").distinct()
+
+
+def judge(pages: DataFrame, fixed: list[Rule], rules: list[Mined] | DataFrame, url_col: str = "url", params: Params = Params()) -> DataFrame:
     """``pages`` with host, path, ``rule`` and ``verdict``."""
     rows = split_url(pages, url_col).withColumn("rule", fixed_rule(fixed))
     verdict = reduce(lambda c, r: F.when(F.col("rule") == r.name, r.verdict).otherwise(c), fixed, F.lit(None).cast("string"))
+    if isinstance(rules, DataFrame):
+        few = rules.limit(params.max_rules + 1).collect()
+        if len(few) > params.max_rules:
+            rows = rows.withColumn("__items", tokens(url_col))
+            hits = blocked_sets(rows.select("__items").distinct(), rules).withColumn("__hit", F.lit(True))
+            rows = rows.join(hits, "__items", "left")
+            return rows.withColumn("verdict", F.coalesce(verdict, F.when(F.col("__hit"), BLOCK).otherwise(ALLOW))).drop("__items", "__hit")
+        rules = [Mined(frozenset(r["items"]), r["confidence"], r["support"]) for r in few]
     if not rules:
         return rows.withColumn("verdict", F.coalesce(verdict, F.lit(ALLOW)))
     index = inverted_index(pages, rules)

@@ -58,6 +58,18 @@ def test_mined_rules(spark):
     assert url_filter.mine(labelled.where("false")) == []
 
 
+def test_copies_of_sure_rules_displace_no_other(spark):
+    hosts = [f"http://{c}u.{c}v.{c}w/{c}x/{c}y/{c}z" for c in "abcdefghijkl"]
+    urls = [(u, "block") for u in hosts for _ in range(30)] + [("http://ok.org/spam", "block" if i < 46 else "allow") for i in range(50)] + [("http://ok.org/fine", "allow")] * 50
+    labelled = url_filter.split_url(spark.createDataFrame(urls, "url string, label string")).withColumn("items", url_filter.tokens())
+    assert {r.items for r in url_filter.mine(labelled)} == {frozenset([t]) for c in "abcdefghijkl" for t in (f"d:{c}w", f"d:{c}v.{c}w", f"h:{c}u", f"h:{c}v", f"h:{c}w", f"p:{c}x", f"p:{c}y", f"p:{c}z")} | {frozenset(["p:spam"])}
+    pages = spark.createDataFrame([("http://q.de/spam/",), ("http://lu.de/",), ("http://q.de/fine",), ("",), (None,), ("http://q.de/spam/",)], "url string")
+    rules = url_filter.mined(labelled)
+    for most in (5, 500):  # joined, and in the plan
+        got = url_filter.judge(pages, [], rules, params=url_filter.Params(max_rules=most)).collect()
+        assert sorted((r["url"] or "", r["verdict"]) for r in got) == [("", "allow"), ("", "allow"), ("http://lu.de/", "block"), ("http://q.de/fine", "allow"), ("http://q.de/spam/", "block"), ("http://q.de/spam/", "block")]
+
+
 def viterbi(text, v, piece_ids, longest):
     """Greatest total score of a marked text, with byte fallback by character."""
     data, fallback = text.encode(), float(v.scores.min()) - sentencepiece_codec.BYTE_PENALTY
