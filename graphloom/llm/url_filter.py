@@ -49,15 +49,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class Params:
-    """``min_support``: share of labelled URLs that hold a combination, and ``min_count``
-    their least number; ``most_train``: expected
-    number of labelled URLs learned from, chosen by a hash if there are more; ``max_tokens``: of
+    """``min_count``: least number of labelled URLs that hold a combination, at any size; ``max_tokens``: of
     a rule; ``max_rules``: as many are indexed in the plan, more are joined."""
 
-    min_support: float = 0.005
     min_count: int = 25
     min_confidence: float = 0.9
-    most_train: int = 500_000
     max_tokens: int = 4
     max_rules: int = 500
 
@@ -110,13 +106,10 @@ def mined(labelled: DataFrame, params: Params = Params()) -> DataFrame:
     """Blocking rules from rows of ``items`` and ``label``: items, ascending, confidence and support."""
     rows = labelled.where(F.col("label").isNotNull() & (F.size("items") > 0)).select("items", "label")
     n = rows.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], RULES)
-    if n > params.most_train:
-        rows = rows.where(F.pmod(F.xxhash64("items"), F.lit(1 << 30)) < params.most_train / n * (1 << 30))
-    support = max(params.min_support, params.min_count / min(n, params.most_train))
-    if support > 1:
+    if n < params.min_count:
         return labelled.sparkSession.createDataFrame([], RULES)
+    # FP-growth rounds up: half a row less than the count asks for just as many
+    support = (params.min_count - 0.5) / n
     sets = rows.select(F.concat("items", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(sets).associationRules
     found = found.where((F.col("consequent") == F.array(F.lit(LABEL + BLOCK))) & (F.size("antecedent") <= params.max_tokens))

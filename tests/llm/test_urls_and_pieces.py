@@ -70,6 +70,16 @@ def test_copies_of_sure_rules_displace_no_other(spark):
         assert sorted((r["url"] or "", r["verdict"]) for r in got) == [("", "allow"), ("", "allow"), ("http://lu.de/", "block"), ("http://q.de/fine", "allow"), ("http://q.de/spam/", "block"), ("http://q.de/spam/", "block")]
 
 
+def test_rules_need_a_count_of_rows_and_no_share(spark):
+    # of 10,000 rows, 25 and 24 are far below half a percent
+    urls = [(f"http://a.org/{'xyz'[i % 3]}", "allow") for i in range(9_951)] + [("http://bad.net/q", "block")] * 25 + [("http://few.de/r", "block")] * 24
+    labelled = url_filter.split_url(spark.createDataFrame(urls, "url string, label string")).withColumn("items", url_filter.tokens())
+    rules = url_filter.mine(labelled)
+    assert {r.items for r in rules} == {frozenset([t]) for t in ("d:net", "d:bad.net", "h:bad", "h:net", "p:q")}
+    assert {(r.confidence, r.support) for r in rules} == {(1.0, 25 / 10_000)}
+    assert url_filter.mine(labelled.where("label = 'block'").limit(24)) == []
+
+
 def viterbi(text, v, piece_ids, longest):
     """Greatest total score of a marked text, with byte fallback by character."""
     data, fallback = text.encode(), float(v.scores.min()) - sentencepiece_codec.BYTE_PENALTY
