@@ -478,7 +478,7 @@ class Looked:
 def _score_chunk(shared):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         _, frequent, tokens, vocabulary, depth = shared.value
-        unit = math.log10(tokens + 1) + math.log10(vocabulary + 1)
+        unit = math.log10(tokens + vocabulary + 1)
         ids, rare, whole = pa.concat_arrays(docs.column("row").chunks), ([], [], []), ([], [], [], [], [])
         ids = pa.StructArray.from_arrays(ids.flatten(), names=[f.name for f in ids.type])  # all fields nullable, as Spark expects them back
         looked = Looked(_joined(_loose(answers.column("grams"), True)), _flat(answers.column("logs"), np.float32))
