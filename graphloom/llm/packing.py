@@ -2,7 +2,8 @@
 
 Each document becomes token ids and an end id; a document longer than a sequence is cut into
 pieces of the sequence's length. The tokenizer drops white space and never merges across it,
-so a text is encoded as its white-space separated words, and a word met before is looked up.
+so a text is encoded as its white-space separated words, and a word met before is looked up. The
+string of a special token in a text becomes that token's id, as the tokenizer has it.
 
 Only the pieces' numbers are shuffled, never text or ids, dealt evenly to packers by their
 count. A packer takes its pieces longest first and packs them online: a fixed number of open
@@ -10,7 +11,9 @@ bins, found through a bitset keyed by free space; a piece goes to the bin with t
 that takes it, and if all places are taken the fullest bin closes first.
 
 Cases: a null text counts as empty and is the end id alone. Repeated rows are packed each on
-its own. An empty table gives no rows. Other columns of the input are not read.
+its own. A very long text is cut into full pieces and a rest. Pieces of one length go in the order of
+document, piece and ids; of bins with the same free space the one filled last takes a piece. An
+empty table gives no rows. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +56,6 @@ class WordEncoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         self.tokenizer, self.most = Tokenizer.from_file(path), cached_words
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids

@@ -49,11 +49,12 @@ def test_documents(spark):
 
 
 def test_cases(spark):
-    rows = [(1, None), (2, ""), (3, "one two " * 9), (3, "one two " * 9), (None, "x"), (4, "[PAD] <s> é 😀\n\ttext")]
+    rows = [(1, None), (2, ""), (3, "one two " * 9), (3, "one two " * 9), (None, "x"), (4, "[PAD] <s> é 😀\n\ttext"), (5, "a <|endoftext|> b"), (6, "x<|startoftext|>y<|ENDOFTEXT|> <|endoftext|><|endoftext|>.")]
     docs = spark.createDataFrame([(i, t, 5, 6) for i, t in rows], f"{SCHEMA}, piece int, offset long")
     got = packing.pack(docs, packing.Params(PATH, max_tokens=8)).collect()
     assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == pieces(rows, 8)
     check_places(got, 8)
+    assert packing.WordEncoder(PATH, 10).encode("a <|endoftext|> b") == struct.pack("<3I", 320, 49407, 321)
     assert packing.pack(spark.createDataFrame([], SCHEMA), packing.Params(PATH)).count() == 0
 
 
