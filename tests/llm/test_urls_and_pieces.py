@@ -99,18 +99,30 @@ def viterbi(text, v, piece_ids, longest):
 
 def test_segmentation_has_the_best_score():
     v = sentencepiece_codec.load(PATH)
-    codec = sentencepiece_codec.Codec(v)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_of(v))
     piece_ids = {p: i for i, p in enumerate(v.pieces) if p}
     longest, fallback = max(map(len, piece_ids)), float(v.scores.min()) - sentencepiece_codec.BYTE_PENALTY
     rng = random.Random(2)
-    texts = ["hello world", " two  spaces ", "日本語 text 😀é", "a▁b ▁c", "\x00\x01", *["".join(rng.choice("abcde étß中😀 ") for _ in range(40)) for _ in range(30)]]
+    texts = ["hello world", " two  spaces ", " ", "  ", "a ", "日本語 text 😀é", "\x00\x01", "x" * 400 + " word" * 90 + "ab" * 300, *["".join(rng.choice("abcde étß中😀 ") for _ in range(40)) for _ in range(30)]]
     is_byte = set(v.byte_ids.tolist())
     for text, raw in zip(texts, codec.encode(texts), strict=True):
         ids = np.frombuffer(raw, "<i4")
         total = sum(fallback if i in is_byte else v.scores[i] for i in ids)
         marked = sentencepiece_codec.MARKER + text.replace(" ", sentencepiece_codec.MARKER)
         assert np.isclose(total, viterbi(marked, v, piece_ids, longest), rtol=1e-6), text
-        assert codec.decode(ids.astype(np.int64)) == text.replace(sentencepiece_codec.MARKER, " ")
+        assert codec.decode(ids.tolist()) == text
+    literal = ["a▁b ▁c", "▁", " ▁▁ "]
+    assert [codec.decode(np.frombuffer(x, "<i4").tolist()) for x in codec.encode(literal)] == literal
+
+
+def test_chunks_alone_and_together_alike():
+    model = sentencepiece_codec.model_of(sentencepiece_codec.load(PATH))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoin shrdluö中▁") for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    together, alone, tiny = (sentencepiece_codec.Codec(model, **k) for k in ({}, {"alone": 1}, {"cached": 3, "batch": 200}))
+    want = together.encode(words)
+    assert alone.encode(words) == want and tiny.encode(words) == want and together.encode(words) == want
+    assert len(tiny.cache) <= 3
 
 
 def test_documents_round_trip(spark):
@@ -119,10 +131,12 @@ def test_documents_round_trip(spark):
 
 
 def test_piece_cases(spark):
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b", 0), (3, "a b", 0), (4, "word " * 20_000 + "x" * 5_000, 0)], "doc_id long, text string, ids int")
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b", 0), (3, "a b", 0), (4, "word " * 20_000 + "x" * 5_000, 0), (5, "y" * 200_000 + " " * 3_000 + "é▁", 0)], "doc_id long, text string, ids int")
     coded = sentencepiece_codec.encode(docs, PATH)
     got = {(r["doc_id"], r["text"], r["back"]) for r in sentencepiece_codec.decode(coded, PATH, text_out="back").collect()}
-    assert all(t == b for _, t, b in got) and len(got) == 4
+    assert all(t == b for _, t, b in got) and len(got) == 5
     ids = {r["doc_id"]: r["ids"] for r in coded.collect()}
     assert ids[1] is None and ids[2] == []
+    odd = spark.createDataFrame([(1, [5000, None, -1, 10**6]), (2, None)], "k long, ids array<int>")
+    assert [r["text"] is None for r in sentencepiece_codec.decode(odd, PATH).orderBy("k").collect()] == [False, True]
     assert sentencepiece_codec.encode(docs.where("false"), PATH).count() == 0
