@@ -2,6 +2,13 @@
 
 Each stage takes all documents that its predecessor kept. It runs as ``run(spark, sf_dir)``, or
 stage by stage with each result written as Parquet and read again.
+
+Cases, in every stage: a row without an id is judged by its text like any other. Null, empty and
+letterless texts go in the first stage, whose languages are learned from the labelled rows it is given;
+a null language or source changes nothing. Rows that repeat an id and text stay once after the second
+stage, and of equal texts that with the smallest id. Very long texts are read whole. An empty table gives
+an empty result with the same columns. Columns beyond those of documents stay, whatever their names, up to
+the last stage, which returns pieces.
 """
 
 from __future__ import annotations
@@ -10,14 +17,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import language_id, near_dup, packing, secrets
-from graphloom.llm.common import checkpointed, read
+from graphloom.llm.common import checkpointed, free_prefix, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is sure; those without a letter go."""
-    model = language_id.fit(docs)
-    found = language_id.identify(docs, model, lang_out="__lang", score_out="__score")
-    return found.where(language_id.accepted("__lang", "__score")).select(*docs.columns)
+    p = free_prefix(docs)
+    found = language_id.identify(docs, language_id.fit(docs), lang_out=p + "lang", score_out=p + "score")
+    return found.where(language_id.accepted(p + "lang", p + "score")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,9 @@ def is_remainder(doc_id: str, divisor: int, value: int) -> Column:
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(c, UPPER, LOWER)
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix with which no column of ``docs`` begins."""
+    taken = [c.lower() for c in docs.columns]
+    return next(p for i in range(len(taken) + 1) if not any(c.startswith(p := f"part{i}_") for c in taken))

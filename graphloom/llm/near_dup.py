@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpointed
+from graphloom.llm.common import checkpointed, free_prefix
 from graphloom.llm.components import components
 
 
@@ -261,6 +261,7 @@ def representatives(docs: DataFrame, params: Params = Params(), id_col: str = "d
     Rows that repeat an id and text stay once; rows without an id stay.
     """
     found = near_duplicates(docs, params, id_col, text_col)
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col, text_col])
+    name = free_prefix(docs) + "kept"
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col, text_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -9,9 +9,10 @@ The patterns of the strict kinds are written so that no long text makes them slo
 lets a match begin only where a run of its characters does (or where the last match ended), and
 repeated groups are possessive. They match what their plain forms match.
 
-Cases: a null text counts as empty and has no spans. Repeated rows give repeated results. An
-empty table gives no rows. Other columns of the input stay; columns already called as the
-outputs are replaced.
+Cases: a null text counts as empty and has no spans. A very long text, or one with very many
+matches, takes time in proportion (but for a logarithm). Spans that begin alike are in the order of the
+kinds. Repeated rows give repeated results. An empty table gives no rows. Other columns of the input
+stay, whatever their names; columns already called as the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.spans import as_spans, located, ordered, written
+from graphloom.llm.common import free_prefix
+from graphloom.llm.spans import as_spans, located, n_of, ordered, written
 
 STRICT = ["email", "ip", "card", "phone"]
 LOOSE = ["iban", "card_short", "local_phone", "national_id"]
@@ -90,33 +92,30 @@ def _score(kind: str, x: Column) -> Column:
     score = F.lit(loose.prior)
     if loose.checked:
         score += F.when(mod97(x["match"]) if kind == "iban" else luhn(digits(x["match"])), loose.checked).otherwise(0.0)
-    near = F.concat(F.right(x["before"], F.lit(WINDOW)), F.lit(" "), F.left(x["after"], F.lit(WINDOW)))
-    return score + F.when(F.lower(near).rlike(loose.context), loose.near).otherwise(0.0)
+    return score + F.when(F.lower(x["near"]).rlike(loose.context), loose.near).otherwise(0.0)
 
 
 def _scored(kind: str, matches: Column) -> Column:
     return F.transform(matches, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _score(kind, x).alias("score")))
 
 
-def n_of(spans: str, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
-
-
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``strict``, ``loose`` (arrays of spans) and ``scores`` (of the loose spans)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     patterns = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, None), "phone": (PHONE, "+")} | {k: (v.pattern, None) for k, v in LOOSE_KINDS.items()}
     # each step is a projection of its own, so that no search is repeated for a later use
-    rows = docs.withColumns({f"__m_{k}": _matches(text, *p) for k, p in patterns.items()})
-    rows = rows.withColumns({f"__l_{k}": located(text, patterns[k][0], F.col(f"__m_{k}")) for k in patterns})
+    p = free_prefix(docs)
+    matches, places, spans = ({k: f"{p}{step}_{k}" for k in patterns} for step in ("matches", "places", "spans"))
+    rows = docs.withColumns({matches[k]: _matches(text, *v) for k, v in patterns.items()})
+    rows = rows.withColumns({places[k]: located(text, patterns[k][0], F.col(matches[k]), WINDOW if k in LOOSE_KINDS else 0) for k in patterns})
     count = lambda x: F.length(digits(x["match"]))
     keep = {"email": None, "ip": lambda x: is_ip(x["match"]), "card": lambda x: luhn(digits(x["match"])), "phone": lambda x: count(x).between(8, 15)}
-    rows = rows.withColumns({f"__s_{k}": as_spans(F.col(f"__l_{k}"), k, keep[k]) for k in STRICT})
-    rows = rows.withColumns({f"__s_{k}": F.filter(_scored(k, F.col(f"__l_{k}")), lambda x: x["score"] >= THRESHOLD - 1e-9) for k in LOOSE})
-    strict = ordered(F.concat(*[F.col(f"__s_{k}") for k in STRICT]), STRICT, start_first=False)
-    loose = F.concat(*[F.col(f"__s_{k}") for k in LOOSE])
+    rows = rows.withColumns({spans[k]: as_spans(F.col(places[k]), k, keep[k]) for k in STRICT})
+    rows = rows.withColumns({spans[k]: F.filter(_scored(k, F.col(places[k])), lambda x: x["score"] >= THRESHOLD - 1e-9) for k in LOOSE})
+    strict = ordered(F.concat(*[F.col(spans[k]) for k in STRICT]), STRICT, start_first=False)
+    loose = F.concat(*[F.col(spans[k]) for k in LOOSE])
     out = rows.withColumns({"strict": strict, "loose": ordered(F.transform(loose, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), LOOSE, start_first=False), "scores": F.transform(loose, lambda x: x["score"])})
-    return out.drop(*[f"__{a}_{k}" for a in "mls" for k in patterns])
+    return out.drop(*matches.values(), *places.values(), *spans.values())
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
