@@ -44,14 +44,14 @@ LOG10 = math.log(10)
 @dataclass(frozen=True)
 class Params:
     """``depth`` of contexts is at most 6: an n-gram of one byte more is packed into a long.
-    ``contexts`` bounds nothing any more, and is still accepted. ``chunk``: bytes of text that
-    are scored together."""
+    ``chunk``: bytes of text that are scored together; ``packed``: bytes of text that a task holds
+    to pack them; ``frequent``: at most so many words are broadcast."""
 
     depth: int = 6
-    contexts: int = 32_768
-    chunk: int = 8 << 20
+    chunk: int = 16 << 20
     frequent: int = 1 << 20
-    flush: int = 300_000
+    flush: int = 500_000
+    packed: int = 32 << 20
     held_grams: int = 1_500_000
 
 
@@ -425,23 +425,74 @@ def _blocks(texts: list[bytes | None], depth: int, most: int = 1 << 20) -> Itera
             words, held, size = [], [], 0
 
 
+def _packed_texts(texts: list[bytes | None]) -> bytes:
+    lengths = np.array([len(t or b"") for t in texts], "<i4").tobytes()
+    raw = lengths + b"".join([t for t in texts if t])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _loose_texts(packed: bytes, n: int) -> list[bytes]:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    ends = (4 * n + np.cumsum(np.frombuffer(raw, "<i4", n))).tolist()
+    return [raw[a:b] for a, b in zip([4 * n, *ends], ends, strict=False)]
+
+
+def _pack_partition(params: Params):
+    """The documents of a task by chunk, their texts compressed together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            chunk = table.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            ends = np.searchsorted(chunk[order], some := np.unique(chunk), "right").astype(np.int32)
+            texts = table.column("t").take(pa.array(order)).to_pylist()
+            structs = pa.concat_arrays(table.column("row").chunks).take(pa.array(order))
+            cuts = [0, *ends.tolist()]
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), structs)
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), lists, pa.array([_packed_texts(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["chunk", "rows", "texts"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("t").nbytes
+            if size > params.packed:
+                yield rows()
+                size = 0
+        if sum(map(len, held)):
+            yield rows()
+
+    return pack
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    """The texts of a chunk, in the order of its rows."""
+    return [t for packed, rows in zip(table.column("texts"), table.column("rows"), strict=True) for t in _loose_texts(packed.as_py(), len(rows))]
+
+
+def _asked(texts: list[bytes], depth: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts by slot, ascending in each, with the slots and their ends."""
+    grams = _distinct(np.concatenate([_distinct(keys[inside]) for *_, keys, inside in _blocks(texts, depth, 1 << 22)]))
+    slot = _slot(grams, slots)
+    return grams[np.argsort(slot, kind="stable")], np.cumsum(np.bincount(slot, minlength=slots)), np.flatnonzero(np.bincount(slot, minlength=slots))
+
+
 def _ask(params: Params, slots: int):
     """The distinct n-grams of a chunk, by slot."""
 
     def ask(table: pa.Table) -> pa.Table:
-        grams = _distinct(np.concatenate([_distinct(keys[inside]) for *_, keys, inside in _blocks(table.column("t").to_pylist(), params.depth, 1 << 22)]))
-        slot = _slot(grams, slots)
-        order = np.argsort(slot, kind="stable")
-        ends = np.searchsorted(slot[order], np.arange(slots + 1))
-        some = np.flatnonzero(np.diff(ends))
+        grams, last, some = _asked(_texts(table), params.depth, slots)
         chunk = pa.array(np.full(len(some), table.column("chunk")[0].as_py(), np.int32))
-        return pa.table([chunk, pa.array(some.astype(np.int32)), pa.array([_pressed(grams[order[ends[i] : ends[i + 1]]], True) for i in some], pa.binary())], names=["chunk", "slot", "grams"])
+        first = np.concatenate(([0], last))
+        return pa.table([chunk, pa.array(some.astype(np.int32)), pa.array([_pressed(grams[first[i] : last[i]], True) for i in some], pa.binary())], names=["chunk", "slot", "grams"])
 
     return ask
 
 
 def _answer(shared):
-    """Probabilities of the n-grams that chunks ask a slot for."""
+    """Probabilities of the n-grams that chunks ask a slot for, in the order they were asked."""
 
     def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
         tree, *_, depth = shared.value
@@ -450,7 +501,7 @@ def _answer(shared):
         wanted, at = np.unique(_joined(parts), return_inverse=True)
         logs = _probabilities(grams, tree, depth, wanted)[at].astype(np.float32)
         cuts = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
-        return pa.table([asked.column("chunk"), asked.column("grams"), pa.ListArray.from_arrays(cuts, pa.array(logs))], names=["chunk", "grams", "logs"])
+        return pa.table([asked.column("chunk"), asked.column("slot"), pa.ListArray.from_arrays(cuts, pa.array(logs))], names=["chunk", "slot", "logs"])
 
     return answer
 
@@ -475,15 +526,23 @@ class Looked:
         return self.values[at]
 
 
-def _score_chunk(shared):
+#: What scoring gives: a row for each document, and rows of its rare words, of which only their number and times are set.
+PARTS = "k long, word binary, times long, n_tokens long, n_known long, base double, score double, n_bytes long"
+
+
+def _score_chunk(shared, slots: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         _, frequent, tokens, vocabulary, depth = shared.value
         unit = math.log10(tokens + vocabulary + 1)
-        ids, rare, whole = pa.concat_arrays(docs.column("row").chunks), ([], [], []), ([], [], [], [], [])
+        texts_of = _texts(docs)
+        ids = pa.concat_arrays([x.flatten() for x in docs.column("rows").chunks])
         ids = pa.StructArray.from_arrays(ids.flatten(), names=[f.name for f in ids.type])  # all fields nullable, as Spark expects them back
-        looked = Looked(_joined(_loose(answers.column("grams"), True)), _flat(answers.column("logs"), np.float32))
+        grams = _asked(texts_of, depth, slots)[0]
+        order = np.argsort(answers.column("slot").to_numpy(), kind="stable")
+        looked = Looked(grams, _flat(answers.column("logs").take(pa.array(order)), np.float32))
+        k0, rare, whole = docs.column("chunk")[0].as_py() << 32, ([], [], []), ([], [], [], [], [])
         i = -1
-        for texts, lengths, keys, inside in _blocks(docs.column("t").to_pylist(), depth):
+        for texts, lengths, keys, inside in _blocks(texts_of, depth):
             logs = np.zeros(len(keys))
             logs[inside] = looked(keys[inside])
             sums = np.add.reduceat(logs, np.cumsum(lengths + depth) - lengths - depth)
@@ -497,18 +556,19 @@ def _score_chunk(shared):
                         known += k
                         base += k * math.log10(c + 1)
                     else:  # its count is joined
-                        rare[0].append(i)
+                        rare[0].append(k0 + i)
                         rare[1].append(w)
                         rare[2].append(k)
                 for column, v in zip(whole, (len(words) + 1, known, base, total, length), strict=True):
                     column.append(v)
-        names = ["row", "word", "times", "n_tokens", "n_known", "base", "score", "n_bytes"]
-        # a document's own row has a word that no text has
+        names = ["row", "k", "word", "times", "n_tokens", "n_known", "base", "score", "n_bytes"]
+        types = [ids.type, *[pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]]
+        # a document's own row has a word that no text has, so that no task gets all of them
         own = [b" %d" % i for i in range(len(ids))]
-        first = pa.table([ids, pa.array(own, pa.binary()), pa.array(np.zeros(len(ids), np.int64)), *[pa.array(c, t) for c, t in zip(whole, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]], names=names)
+        first = [ids, pa.array(np.arange(len(ids)) + k0), pa.array(own, pa.binary()), pa.nulls(len(ids), pa.int64()), *[pa.array(c, t) for c, t in zip(whole, types[4:], strict=True)]]
         n = len(rare[0])
-        zeros, nothing = pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n))
-        return pa.concat_tables([first, pa.table([ids.take(pa.array(rare[0], pa.int64())), pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64()), zeros, zeros, nothing, nothing, zeros], names=names)])
+        rest = [pa.nulls(n, ids.type), *[pa.array(c, t) for c, t in zip(rare, types[1:4], strict=True)], *[pa.nulls(n, t) for t in types[4:]]]
+        return pa.concat_tables([pa.table(first, names=names), pa.table(rest, names=names)])
 
     return score
 
@@ -522,18 +582,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1), F.lit(0))).first()[0]
     # by a hash of the content, so that a row is in the same chunk whenever it is read
     chunk = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 + size // params.chunk)).cast("int").alias("chunk")
-    rows = docs.select(chunk, F.struct(F.col(id_col).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.monotonically_increasing_id().alias("k")).alias("row"), text.alias("t"))
-    # from the same rows as the scores, so that Spark deals the texts only once
-    asked = rows.groupBy("chunk").applyInArrow(_ask(params, model.slots), "chunk int, slot int, grams binary")
-    answers = model.grams.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_answer(shared), "chunk int, grams binary, logs array<float>")
+    rows = docs.select(chunk, F.struct(F.col(id_col).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out")).alias("row"), text.alias("t"))
     kind = rows.schema["row"].dataType.simpleString()
-    parts = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared), f"row {kind}, word binary, times long, n_tokens long, n_known long, base double, score double, n_bytes long")
+    packed = rows.mapInArrow(_pack_partition(params), f"chunk int, rows array<{kind}>, texts binary")
+    # from the same rows as the scores, so that Spark deals the texts only once
+    asked = packed.groupBy("chunk").applyInArrow(_ask(params, model.slots), "chunk int, slot int, grams binary")
+    answers = model.grams.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_answer(shared), "chunk int, slot int, logs array<float>")
+    parts = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, model.slots), f"row {kind}, {PARTS}")
     counts = model.words.select("word", F.col("n").alias("c"))
     joined = parts.join(counts, "word", "left")
-    out = joined.groupBy("row").agg(
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = joined.groupBy("k").agg(
+        F.first("row", ignorenulls=True).alias("row"),
         F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1))).alias("base_score"),
+        (F.sum("n_known") + zero(F.when(F.col("c").isNotNull(), F.col("times")))).alias("n_known"),
+        (F.sum("base") + zero(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1))).alias("base_score"),
         F.sum("score").alias("score"),
         F.sum("n_bytes").alias("n_bytes"),
     )

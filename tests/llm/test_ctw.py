@@ -74,7 +74,7 @@ TRAIN = ["the cat sat", "The cat ran", "a dog ran", "a cat"]
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.createDataFrame([(t,) for t in TRAIN], "text string")
-    return ctw.fit(docs, ctw.Params(depth=DEPTH, contexts=1 << 30))
+    return ctw.fit(docs, ctw.Params(depth=DEPTH))
 
 
 def test_scores_are_those_of_the_recursion(spark, model):
@@ -139,7 +139,7 @@ def test_nulls_empties_repeats_and_no_training(spark):
 def test_rare_contexts_are_learned_at_any_size(spark):
     # the contexts of "qxz vwk" are a far smaller share of the bytes than a share that cuts keeps
     train = [*["the cat ran and the dog sat"] * 50, "qxz vwk"]
-    params = ctw.Params(depth=DEPTH, contexts=8, chunk=16)
+    params = ctw.Params(depth=DEPTH, chunk=16, packed=20)
     texts = ["qxz vwk", "the cat", "unseen 日本", "", None]
     got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ctw.fit(spark.createDataFrame([(t,) for t in train], "text string"), params)).collect()}
     brute = Brute(train)
