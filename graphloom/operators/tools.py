@@ -133,14 +133,61 @@ def coverage(symbols: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-#: Statements that an open query may not hold are excluded by parsing, not by their words.
+#: Nodes of a parsed plan that only read.
+READING = {
+    "Project", "Filter", "Aggregate", "Sort", "Distinct", "Deduplicate", "Join", "LateralJoin", "AsOfJoin", "Union", "Intersect", "Except",
+    "GlobalLimit", "LocalLimit", "Offset", "Tail", "Sample", "SubqueryAlias", "OneRowRelation", "LocalRelation", "Range", "Generate", "Expand",
+    "Window", "WithWindowDefinition", "With", "UnresolvedWith", "CTERelationDef", "CTERelationRef", "Pivot", "Unpivot", "UnresolvedHint", "ResolvedHint",
+    "UnresolvedRelation", "UnresolvedInlineTable", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedSubqueryColumnAliases",
+    "UnresolvedHaving", "Repartition", "RepartitionByExpression", "View", "UnionLoop", "UnionLoopRef",
+}
+
+
+def _reads(name: str, simple: str) -> bool:
+    return simple in READING and name.startswith("org.apache.spark.sql.catalyst.")
+
+
+def _items(seq) -> list:
+    out, items = [], seq.iterator()
+    while items.hasNext():
+        out.append(items.next())
+    return out
+
+
+def _nodes(plan) -> list:
+    """All nodes of a parsed plan, those of its subqueries and named parts with them."""
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        todo += [*_items(node.children()), *_items(node.innerChildren()), *_items(node.subqueries())]
+    return found
+
+
+def _functions(plan) -> set[str]:
+    """Names of the functions that a node calls."""
+    found, todo = set(), _items(plan.expressions())
+    while todo:
+        e = todo.pop()
+        todo += _items(e.children())
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            found.add(_items(e.nameParts())[-1].lower())
+    return found
+
+
+#: Functions that run any Java method.
+CALLING = {"java_method", "reflect", "try_reflect"}
+
+
 def open_query(spark, text: str, limit: int = 1000) -> DataFrame:
     """Rows of a read-only query, at most ``limit`` and one more to show that there are others.
 
     Spark parses the text; what isn't a query (it has a command or writes) is rejected.
     """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    kind = plan.getClass().getSimpleName()
-    if "Command" in kind or any(x in kind for x in ("Insert", "Create", "Drop", "Set", "Delete", "Update", "Merge", "Replace", "Alter", "Truncate", "Cache", "Load", "Refresh", "Show", "Describe", "Use", "Add", "Explain", "Analyze")):
-        raise ValueError("only queries are allowed")
+    nodes = _nodes(plan)
+    kinds = [n.getClass() for n in nodes]
+    wrong = sorted({k.getSimpleName() for k in kinds if not _reads(k.getName(), k.getSimpleName())} | {f for n in nodes for f in _functions(n) & CALLING})
+    if wrong:
+        raise ValueError(f"only queries are allowed, not {', '.join(wrong)}")
     return spark.sql(text).limit(limit + 1)

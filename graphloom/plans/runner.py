@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import threading
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Literal
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.bundle import GraphBundle
@@ -64,25 +64,23 @@ def ordered(passes: list[Pass]) -> list[Pass]:
 
 
 def _with_timeout(spark: SparkSession, job: Callable[[], dict], seconds: float) -> tuple[Status, dict, str | None]:
-    """The job's outcome; if it takes longer its Spark jobs are cancelled."""
-    tag, out = f"pass-{uuid.uuid4().hex}", {}
+    """The job's outcome; if it takes longer its Spark jobs are cancelled, with their tasks."""
+    sc, group, out = spark.sparkContext, f"pass-{uuid.uuid4().hex}", {}
 
     def body() -> None:
-        spark.addTag(tag)
+        sc.setJobGroup(group, "pass", interruptOnCancel=True)
         try:
             out["stats"] = job() or {}
         except Exception as e:  # noqa: BLE001  a pass may fail in any way; others go on
             out["error"] = str(e)
-        finally:
-            spark.removeTag(tag)
 
-    worker = threading.Thread(target=body, daemon=True)
+    worker = InheritableThread(target=body, daemon=True)
     worker.start()
     worker.join(seconds if seconds > 0 else None)
     if worker.is_alive():
         ends = time.time() + GRACE
-        while worker.is_alive() and time.time() < ends:  # a job may start only after the first interrupt
-            spark.interruptTag(tag)
+        while worker.is_alive() and time.time() < ends:  # a job may start only after the first call
+            sc.cancelJobGroup(group)
             worker.join(0.5)
         return "timeout", {}, f"took more than {seconds:g} s"
     return ("failed", {}, out["error"]) if "error" in out else ("success", out["stats"], None)

@@ -1,8 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
-from graphloom.operators import extraction
+from graphloom.operators import extraction, tools
 from graphloom.plans import engine
 from graphloom.plans.runner import Pass, as_table, ordered, run
 from graphloom.sources import files
@@ -80,7 +82,7 @@ def test_index_is_idempotent(graph, spark):
     assert before == {n: graph[n].count() for n in before}
 
 
-def test_passes_and_tools(graph):
+def test_passes_and_tools(graph, spark):
     records = engine.analyse(graph)
     assert [r.status for r in records] == ["success"] * 3, records
     got = {r["name"]: r for r in graph["symbols"].collect()}
@@ -90,6 +92,33 @@ def test_passes_and_tools(graph):
     assert engine.call(graph, "graph.query", text="SELECT count(*) AS n FROM symbols").first()["n"] == 5
     with pytest.raises(ValueError):
         engine.call(graph, "graph.query", text="DROP TABLE symbols")
+    spark.sql("CREATE OR REPLACE TEMP VIEW src AS SELECT 1 AS a")
+    for text in (
+        "WITH t AS (SELECT 1 AS a) INSERT INTO tgt SELECT * FROM t",
+        "FROM src INSERT INTO tgt SELECT a INSERT INTO tgt SELECT a",
+        "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT 1",
+        "CREATE TABLE x AS SELECT 1",
+        "SELECT reflect('java.lang.System', 'gc')",
+        "CACHE TABLE src",
+        "SET a = b",
+        "EXPLAIN SELECT 1",
+        "DESCRIBE src",
+        "MERGE INTO tgt USING src ON tgt.a = src.a WHEN MATCHED THEN DELETE",
+        "DELETE FROM tgt WHERE a IN (SELECT a FROM src)",
+        "BEGIN INSERT INTO tgt VALUES (1); END",
+    ):
+        with pytest.raises(Exception):  # noqa: B017  by the guard, or by the parser
+            tools.open_query(spark, text)
+        with pytest.raises(Exception):  # noqa: B017
+            spark.table("tgt")
+    for text in (
+        "WITH t AS (SELECT a FROM src) SELECT (SELECT max(a) FROM t) AS m, count(*) OVER () AS n FROM t JOIN src USING (a) WHERE a IN (SELECT a FROM src) UNION ALL (SELECT 1, 2 LIMIT 1)",
+        "SELECT a, count(*) FROM src LATERAL VIEW explode(array(1, 2)) t AS x GROUP BY a HAVING count(*) > 0 ORDER BY a",
+        "SELECT * FROM VALUES (1, 2), (3, 4) AS t(a, b) PIVOT (sum(b) FOR a IN (1, 3))",
+        "SELECT a FROM src TABLESAMPLE (50 PERCENT) EXCEPT SELECT 1",
+        "WITH RECURSIVE r AS (SELECT 1 AS i UNION ALL SELECT i + 1 FROM r WHERE i < 3) SELECT DISTINCT i FROM r",
+    ):
+        assert tools.open_query(spark, text).columns
     with pytest.raises(KeyError):
         engine.call(graph, "no.tool")
 
@@ -136,4 +165,10 @@ def test_runner(spark):
 
 def test_timeout(spark):
     slow = Pass("slow", lambda g: g.spark.range(10**13).selectExpr("sum(id % 7) AS s").collect() and {}, timeout=1.5)
+    start = time.time()
     assert [r.status for r in run(GraphBundle(spark), [slow])] == ["timeout"]
+    assert time.time() - start < 20
+    ends = time.time() + 10
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() < ends:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
