@@ -51,9 +51,10 @@ def test_products_over_many_blocks(spark):
     assert as_set(got) == brute_products([r[:2] for r in rows], 50, 5)
 
 
-def test_recall_on_the_table(spark):
-    want = brute_distances(table(spark, "sf0.01"), 100, 10)
-    got = QUERIES["op4_nearest_neighbours"](spark, "/root/testdata/sf0.01").collect()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_table(spark, sf):
+    want = brute_distances(table(spark, sf), 100, 10)
+    got = QUERIES["op4_nearest_neighbours"](spark, f"/root/testdata/{sf}").collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -67,6 +68,40 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_few_vectors_are_verified(spark):
+    rows = [(i, v) for i, v in table(spark, "sf0.1") if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    index, k = ann.Index(x, ids, ann.Params()), 10
+    at, hits, missed_rows = range(0, len(x), 40), 0, len(x) // 4
+    for i in at:
+        distances = np.sort(ann.distances_to(np.delete(x, i, 0), x[i]))
+        # the radius as a quarter of the rows tells it
+        radius = ann.expected_radius(np.sort(ann.distances_to(x[[j for j in range(missed_rows) if j != i]], x[i])), len(x) - 1, k)
+        assert abs(radius / distances[k - 1] - 1) < 0.15
+        _, found = index.nearest(x[i], index.windows(x[i : i + 1], np.array([radius]))[0], radius, slice(i, i + 1), k)
+        hits += np.isin(found, distances[:k]).sum()
+    assert hits >= 0.9 * k * len(at)
+    assert index.verified < 0.3 * len(at) * len(x)
+
+
+def test_clusters_of_many_sizes_over_shards(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 16)) * rng.gamma(1, 5, (30, 1))
+    x = np.concatenate([c + s * rng.standard_normal((n, 16)) for c, s, n in zip(centres, rng.gamma(1, 1, 30), rng.integers(1, 150, 30), strict=True)])
+    rows = [(int(i), [float(np.float32(y)) for y in v], 0) for i, v in enumerate(x)]
+    want = brute_distances([r[:2] for r in rows], 100, 10)
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("id") % 100 == 0, params=ann.Params(sample=200), blocks=Blocks(shard_rows=400, block_rows=7, fan_in=2)).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert len(got) == sum(map(len, want.values())) == len({(r["query_id"], r["rank"]) for r in got})
+    assert len(found & {(q, i) for q, best in want.items() for _, i in best}) >= 0.9 * len(found)
+
+
+def test_products_beyond_any_range(spark):
+    rows = [(0, [1e308, -1e308], 0), (1, [1e308, 1.0], 0), (2, [-1e308, 1.0], 0), (50, [1.0, 1.0], 0)]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.inner_product_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), F.col("id") % 50 == 0).collect()}
+    assert got[0, 1] == 2**63 - 1 and got[0, 2] == -(2**63) and got[50, 1] == 2**63 - 1
+
+
 @pytest.mark.parametrize("blocks", [Blocks(), Blocks(shard_rows=3, block_rows=1, fan_in=2)])
 def test_vectors_that_take_no_part(spark, blocks):
     nan, inf = float("nan"), float("inf")
