@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from graphloom.llm import sentencepiece_codec, url_filter
 from graphloom.llm.queries import QUERIES, URL_RULES
@@ -80,6 +81,31 @@ def test_rules_need_a_count_of_rows_and_no_share(spark):
     assert url_filter.mine(labelled.where("label = 'block'").limit(24)) == []
 
 
+def test_rules_fire_on_pages_and_hold_on_others(spark):
+    """URLs of the test table with labels that depend on them, by and large."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    bad = F.col("url").rlike("//m[.]") & F.col("url").rlike("/en/") | F.col("url").rlike("[?]page=.*ref=")
+    noise = F.pmod(F.xxhash64("page_id"), F.lit(100)) < 3
+    labelled = url_filter.split_url(pages).withColumn("items", url_filter.tokens()).withColumn("label", F.when(bad != noise, "block").otherwise("allow"))
+    held = F.pmod(F.xxhash64(F.lit(7), "page_id"), F.lit(5)) == 0
+    rules = url_filter.mined(labelled.where(~held))
+    assert {frozenset(["h:m", "p:en"])} <= {frozenset(r["items"]) for r in rules.collect()}
+    got = url_filter.judge(labelled.where(held), [], rules).groupBy("verdict", "label").count().collect()
+    n = {(r["verdict"], r["label"]): r["count"] for r in got}
+    blocked = n["block", "block"] + n.get(("block", "allow"), 0)
+    assert blocked > 20 and n["block", "block"] >= 0.9 * blocked
+    assert n["block", "block"] >= 0.8 * (n["block", "block"] + n.get(("allow", "block"), 0))
+
+
+def test_tokens_that_come_together_are_not_combined(spark):
+    # 60 tokens in the same 40 rows are 2 ** 60 combinations, and none is sure without "x"
+    tail = "-".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    urls = [(f"http://a.org/{tail}", "block" if i % 2 else "allow") for i in range(80)] + [(f"http://a.org/{tail}/x", "block")] * 40 + [("http://a.org/x", "allow")] * 40
+    labelled = url_filter.split_url(spark.createDataFrame(urls, "url string, label string")).withColumn("items", url_filter.tokens())
+    assert [set(r.items) for r in url_filter.mine(labelled)] == [{"p:waa", "p:x"}]
+    assert url_filter.judge(labelled, [], url_filter.mined(labelled)).where("verdict = 'block'").count() == 40
+
+
 def viterbi(text, v, piece_ids, longest):
     """Greatest total score of a marked text, with byte fallback by character."""
     data, fallback = text.encode(), float(v.scores.min()) - sentencepiece_codec.BYTE_PENALTY
