@@ -48,7 +48,7 @@ class Params:
     to pack them; ``frequent``: at most so many words are broadcast."""
 
     depth: int = 6
-    chunk: int = 16 << 20
+    chunk: int = 12 << 20
     frequent: int = 1 << 20
     flush: int = 500_000
     packed: int = 32 << 20

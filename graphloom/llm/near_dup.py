@@ -16,11 +16,16 @@ texts of a bucket are linked if similar enough, or compared, or can't be similar
 At a similarity of 0.85 a pair shares none of the 42 bands of six with a chance of about 2e-9,
 at 0.8 of 3e-6.
 
+Keys with a great share of all rows, buckets and shingles alike, are never dealt by the key alone:
+what is known of a hot key is broadcast to its rows, and the comparisons of a shingle are split.
+
 Cases: a text with fewer words than a shingle is one shingle; a null text or one without words
 has an empty set and is linked with nothing. Rows with the same id and text are alike in all;
-if rows of one id have several texts each row is judged by its own. A null id is never the
+if rows of one id have several texts each row is judged by its own. Of equally weighted centres
+the smallest id is taken. A very long text is read whole and needs memory in proportion. A null id is never the
 smallest; such a row gets the component of its text, or null. An empty table gives no rows.
-Other columns of the input are not read.
+Other columns of the input are not read,
+whatever their names; ``representatives`` keeps them.
 """
 
 from __future__ import annotations
@@ -196,9 +201,28 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+#: A key with at least this share of all rows is hot; there are no more hot keys than its inverse.
+HOT = 1000
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key, whose ``count`` is the number of the key's rows.
+
+    Rows of hot keys aren't dealt by the key, which would send them to one task: the facts of hot
+    keys, at most ``HOT``, are broadcast to them.
+    """
+    total = rows.count()
+    is_hot = F.col(count) * HOT >= total
+    hot = F.broadcast(facts.where(is_hot))
+    cold = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "left_anti").join(facts.where(~is_hot), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def _open(rows: DataFrame, key: str) -> DataFrame:
-    """The keys whose rows have several labels."""
-    return rows.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(key)
+    """Rows of the keys that have several labels, with the key's number of rows (``size``) and commonest label (``main``)."""
+    by_label = rows.groupBy(key, "label").agg(F.count("*").alias("c"))
+    facts = by_label.groupBy(key).agg(F.sum("c").alias("size"), F.count("*").alias("labels"), F.max(F.struct("c", "label"))["label"].alias("main"))
+    return _with_facts(rows, checkpointed(facts.where("labels > 1").drop("labels")), key, "size")
 
 
 def _like_sized(a: str, b: str, percent: int) -> Column:
@@ -207,12 +231,16 @@ def _like_sized(a: str, b: str, percent: int) -> Column:
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
     """A pair of each member of a bucket with the bucket's centre."""
-    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    hubs = members.withColumn("at", F.row_number().over(order)).where("at = 1").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & _like_sized("n", "hub_n", percent))
+    first = F.min(F.struct((-F.col("weight")).alias("w"), "node", "n"))
+    hubs = checkpointed(members.groupBy("key").agg(first.alias("h"), F.count("*").alias("size")).select("key", "size", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
+    pairs = _with_facts(members, hubs, "key", "size").where((F.col("node") != F.col("hub")) & _like_sized("n", "hub_n", percent))
     return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
+#: Rows of a shingle that are compared in one task.
+SPLIT = 512
+
+
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of different components that share a bucket and could be similar enough.
 
@@ -222,26 +250,27 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("key").alias("keys"))
     each = sets.join(nodes, "node", "left_semi").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
-    common = each.groupBy("hash").agg(F.count("*").alias("df"))
+    common = checkpointed(each.groupBy("hash").agg(F.count("*").alias("df")))
     rarest = Window.partitionBy("node").orderBy("df", "hash")
-    first = each.join(common, "hash").withColumn("at", F.row_number().over(rarest)).where(F.expr(f"df > 1 AND at <= n - (n * {percent} + 99) div 100 + 1"))
-    rows = first.select("node", "hash", "at").join(nodes, "node")
-    rows = checkpointed(rows.join(_open(rows, "hash"), "hash", "left_semi"))
-    main = rows.groupBy("hash", "label").agg(F.count("*").alias("c")).groupBy("hash").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    outside = rows.join(main, "hash").where("label <> main")
-    outside = outside.select("hash", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("keys").alias("ak"), F.col("at").alias("place"))
+    first = _with_facts(each, common, "hash", "df").withColumn("at", F.row_number().over(rarest)).where(F.expr(f"df > 1 AND at <= n - (n * {percent} + 99) div 100 + 1"))
+    rows = checkpointed(_open(checkpointed(first.select("node", "hash", "at").join(nodes, "node")), "hash"))
+    # of a shingle with many rows a task gets some of them, and all those outside its main component
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    outside = rows.where("label <> main").withColumn("split", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("split", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    outside = outside.select("hash", "split", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("keys").alias("ak"), F.col("at").alias("place"))
     # if this is the first that both have, what follows it must hold the rest of what they share
     needed = F.expr(f"({percent} * (n + an) + {99 + percent}) div {100 + percent}")
     enough = F.least(F.col("n") - F.col("at"), F.col("an") - F.col("place")) + 1 >= needed
-    pairs = outside.join(rows, "hash").where((F.col("label") != F.col("al")) & _like_sized("n", "an", percent) & enough & F.arrays_overlap("keys", "ak"))
+    pairs = outside.join(rows, ["hash", "split"]).where((F.col("label") != F.col("al")) & _like_sized("n", "an", percent) & enough & F.arrays_overlap("keys", "ak"))
     return pairs.select(F.least("node", "a").alias("u"), F.greatest("node", "a").alias("v")).distinct()
 
 
 def _labels(rows: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     """Columns ``node``, ``label`` for the classes that are linked to another."""
     entries = classes.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = entries.join(shared, "key")
+    shared = checkpointed(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = _with_facts(entries, shared, "key", "size")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     members = checkpointed(members.select("key", "node", "n").join(weight, "node"))
     sets = checkpointed(_sets(rows, members.select("node").distinct(), params))
@@ -249,7 +278,7 @@ def _labels(rows: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     links = checkpointed(_confirmed(stars, sets, params.percent))
     labels = components(links)
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = checkpointed(members.join(_open(members, "key"), "key", "left_semi"))
+    members = checkpointed(_open(checkpointed(members), "key").select("key", "node", "n", "label"))
     pairs = _across(members, sets, params.percent).join(stars, ["u", "v"], "left_anti")
     more = checkpointed(_confirmed(checkpointed(pairs), sets, params.percent))
     return labels if more.isEmpty() else components(links.unionByName(more))

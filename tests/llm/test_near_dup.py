@@ -100,3 +100,14 @@ def test_components_of_long_paths(spark):
     pairs = [(order[i], order[i + 1]) for i in range(n - 1) if i % 50 != 49]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == smallest(range(n), pairs)
+
+
+def test_a_shingle_in_most_texts_is_split_and_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SPLIT", 3)
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(70):
+        own = [f"u{i}x{k}" for k in range(rng.randrange(3, 16))]
+        rows.append((i, " ".join(rng.choice([passage + own, own + passage]))))
+    assert found(spark, rows) == brute(rows, 80)
