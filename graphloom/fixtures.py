@@ -49,7 +49,7 @@ FROM lineitem a
 JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 JOIN sym s ON s.sym_key = a.l_partkey
 JOIN sym d ON d.sym_key = b.l_partkey
-WHERE a.l_returnflag = 'R' AND a.l_quantity <= 10 AND a.l_partkey <> b.l_partkey AND s.repo = d.repo
+WHERE a.l_partkey <> b.l_partkey AND s.repo = d.repo
 """,
     "commits": r"""
 SELECT m.repo, m.path AS filePath, e.ts,
@@ -73,18 +73,19 @@ SELECT DISTINCT s.sym_key, s.repo, lower(n.n_name) AS service
 FROM lineitem l JOIN supplier p ON p.s_suppkey = l.l_suppkey
 JOIN nation n ON n.n_nationkey = p.s_nationkey
 JOIN sym s ON s.sym_key = l.l_partkey
-WHERE l.l_quantity <= 2 AND s.repo = 'main'
+WHERE s.repo = 'main'
 """,
     "docs": r"""
-SELECT d.doc_id, concat('services/', d.source, '/doc-', CAST(d.doc_id AS STRING), '.md') AS path,
+SELECT d.doc_id, s.sym_key, concat('services/', coalesce(d.source, 'none'), '/doc-', CAST(d.doc_id AS STRING), '.md') AS path,
        CASE d.doc_id % 4 WHEN 0 THEN 'adr' WHEN 1 THEN 'runbook' WHEN 2 THEN 'guide' ELSE 'bogus' END AS type,
        CASE d.doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN '' ELSE 'current' END AS status,
        CASE WHEN d.doc_id % 3 = 0 THEN 'main' END AS service,
-       concat(substr(d.text, 1, 200), chr(10), 'Call `', s.name, '` or `Missing', CAST(d.doc_id AS STRING),
+       concat(coalesce(d.text, ''), chr(10), 'Call `', s.name, '` or `Missing', CAST(d.doc_id AS STRING),
               '`, never `promise` nor `Promise`.', chr(10), '[x](graph://symbol/', s.repo, '/', s.filePath, '#', s.name, ')',
               chr(10), '```js', chr(10), 'import { a } from ''./', replace(lower(p.p_brand), '#', '-'), '.js'';',
               chr(10), '```', chr(10)) AS body
-FROM documents d JOIN sym s ON s.sym_key = d.doc_id JOIN part p ON p.p_partkey = d.doc_id
+FROM documents d CROSS JOIN (SELECT count(*) AS n FROM part) k
+JOIN sym s ON s.sym_key = 1 + (d.doc_id + k.n - 1) % k.n JOIN part p ON p.p_partkey = s.sym_key
 """,
     "governs": r"""
 SELECT d.path AS doc_path, s.sym_key FROM docs d JOIN sym s ON s.sym_key = d.doc_id + 1 WHERE d.type = 'adr'

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,26 +54,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``community`` of each node by label propagation on undirected edges, in fixed rounds.
-
-    A node takes the label that most of its neighbours and it have, ties to the least.
-    """
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst"))
-    labels = cut(nodes.select("node", F.col("node").alias("community")))
-    for _ in range(rounds):
-        own = labels.select(F.col("node").alias("src"), "community")
-        votes = both.join(labels, F.col("dst") == F.col("node")).select("src", "community").unionByName(own)
-        votes = votes.groupBy("src", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("src").alias("node")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community"))
-        changed = best.join(labels.withColumnRenamed("community", "old"), "node").where("community <> old")
-        best = cut(best)
-        if changed.isEmpty():
-            break
-        labels = best
-    return labels
-
-
 def roles(nodes: DataFrame, edges: DataFrame, bridge: float = 0.5, boundary: float = 0.15) -> DataFrame:
     """``role`` of each node by its calls out of its own ``communityId``.
 
@@ -117,52 +93,119 @@ def edge_delta(count: Column, last: Column, threshold: float = 0.05) -> Column:
     return last.isNull() | (F.abs(count - last) / F.greatest(last, F.lit(1)) >= threshold)
 
 
-#: Edges that betweenness holds in a task at most.
-MAX_ADJACENCY = 20_000_000
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 5000) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 5000, block: int = 1000) -> DataFrame:
     """Brandes' betweenness of a directed graph, not normalised, from up to ``samples`` sources.
 
-    Sources are the nodes of the least hashes; with as many samples as nodes it is exact. The
-    adjacency is broadcast, so its size is checked first. Each task runs the passes of its
-    sources, and the partial sums are aggregated by Spark.
+    Sources are the nodes of the least hashes; with as many samples as nodes it is exact. They
+    are taken ``block`` at a time: a table of source, node and number of shortest paths grows
+    level by level by joins with the edges, and then the dependencies are summed back level by
+    level, so no task or driver holds a graph.
     """
-    pairs = edges.select("src", "dst").distinct()
-    n_edges, n_nodes = pairs.count(), nodes.count()
-    if n_edges > MAX_ADJACENCY:
-        raise ValueError(f"{n_edges} edges; betweenness takes up to {MAX_ADJACENCY} of one repository")
-    adjacency: dict = {}
-    for s, d in pairs.toPandas().itertuples(index=False):
-        adjacency.setdefault(s, []).append(d)
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
+    pairs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    n_nodes = nodes.count()
     share = min(1.0, samples / max(1, n_nodes))
-    sources = nodes.select("node").where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30))
-    sources = sources.repartition(max(1, min(n_nodes, nodes.sparkSession.sparkContext.defaultParallelism)), "node")
-
-    def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, total = shared.value, {}
-        for batch in batches:
-            for s in batch["node"].tolist():
-                paths, dist, before, order, queue = {s: 1.0}, {s: 0}, {}, [], deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                credit = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        credit[v] += paths[v] / paths[w] * (1 + credit[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + credit[w]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    sums = sources.mapInPandas(passes, f"node {kind}, part double").groupBy("node").agg(F.sum("part").alias("s"))
-    return nodes.select("node").join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / share).alias("betweenness"))
+    sources = nodes.select(F.col("node").alias("s")).where(F.pmod(F.xxhash64("s"), F.lit(1 << 30)) < share * (1 << 30))
+    blocks = max(1, -(-int(n_nodes * share) // block))
+    sources = cut(sources.withColumn("b", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(blocks))))
+    sums = None
+    for b in range(blocks):
+        part = cut(_dependencies(sources.where(F.col("b") == b).select("s"), pairs))
+        sums = part if sums is None else sums.unionByName(part)
+    sums = sums.groupBy("node").agg(F.sum("part").alias("part"))
+    return nodes.select("node").join(sums, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) / share).alias("betweenness"))
+
+
+def _dependencies(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``part``: the sum over the sources of each node's dependency."""
+    levels = [cut(sources.select("s", F.col("s").alias("node"), F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("s", "node")
+    while True:
+        reached = levels[-1].join(pairs, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = cut(reached.join(seen, ["s", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = cut(seen.unionByName(front.select("s", "node")))
+    below, out = None, None
+    for depth in range(len(levels) - 1, 0, -1):  # the deepest first; the sources themselves get nothing
+        level = levels[depth]
+        own = level.withColumn("credit", F.lit(0.0)) if below is None else level.join(below, ["s", "node"], "left").withColumn("credit", F.coalesce("credit", F.lit(0.0)))
+        own = cut(own)
+        part = own.groupBy("node").agg(F.sum("credit").alias("part"))
+        out = part if out is None else out.unionByName(part)
+        above = levels[depth - 1].select("s", F.col("node").alias("v"), F.col("paths").alias("p"))
+        step = own.join(pairs, F.col("node") == F.col("dst")).join(above, (own["s"] == above["s"]) & (F.col("src") == F.col("v")))
+        below = step.groupBy(own["s"], F.col("v").alias("node")).agg(F.sum(F.col("p") / F.col("paths") * (1 + F.col("credit"))).alias("credit"))
+    if out is None:
+        return sources.select(F.col("s").alias("node"), F.lit(0.0).alias("part")).where("false")
+    return out.groupBy("node").agg(F.sum("part").alias("part"))
+
+
+def _gains(graph: DataFrame, of: DataFrame, gamma: float, total: float) -> DataFrame:
+    """Of each node its own community (``old``) and the one that a move to gains most modularity."""
+    degree = graph.groupBy("src").agg(F.sum("w").alias("k"))
+    known = of.join(degree, of["node"] == degree["src"], "left").select("node", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
+    sizes = known.groupBy("community").agg(F.sum("k").alias("all"))
+    near = graph.where("src <> dst").join(of.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+    own = known.select("node", F.col("community").alias("old"), "k")
+    asked = near.unionByName(own.select("node", F.col("old").alias("community"), F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+    rows = asked.join(own, "node").join(sizes, "community")
+    others = F.col("all") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
+    rows = rows.withColumn("gain", F.round(F.col("w") - gamma * F.col("k") * others / total, 9))
+    best = rows.groupBy("node", "old").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("community"), F.max("gain").alias("best"), F.max(F.when(F.col("community") == F.col("old"), F.col("gain"))).alias("stay"))
+    return best.select("node", "old", F.when(F.col("best") > F.col("stay"), F.col("community")).otherwise(F.col("old")).alias("community"))
+
+
+def modularity(graph: DataFrame, of: DataFrame, gamma: float = 1.0) -> float:
+    """Of communities (node, community) in an undirected graph given as both directions of its edges (src, dst, w)."""
+    a, b = of.select(F.col("node").alias("src"), F.col("community").alias("a")), of.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+    total = graph.agg(F.sum("w")).first()[0] or 0.0
+    if not total:
+        return 0.0
+    rows = graph.join(a, "src").join(b, "dst")
+    inside = rows.where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    squares = rows.groupBy("a").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    return inside / total - gamma * squares / total**2
+
+
+def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, max_rounds: int = 20) -> DataFrame:
+    """``community`` of each node by modularity on undirected edges, as Leiden's method in rounds.
+
+    In a round half of the nodes, by a hash, move to the community of the greatest gain; rounds
+    go on while modularity grows. Communities that have come apart are then split into connected
+    parts, and the parts become the nodes of the next level's graph, which starts with them in
+    their communities. It ends when a level changes nothing. A community is named by its least node.
+    """
+    both = edges.select("src", "dst").where("src <> dst")
+    graph = cut(both.union(both.select("dst", "src")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
+    total = graph.agg(F.sum("w")).first()[0] or 0.0
+    member = cut(nodes.select("node", F.col("node").alias("part")))  # the part that stands for a node at this level
+    of = member.select("node", F.col("node").alias("community"))
+    if not total:
+        return of
+    for _ in range(max_levels):
+        start = score = modularity(graph, of, gamma)
+        for turn in range(max_rounds):
+            moved = _gains(graph, of, gamma, total)
+            may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+            now = cut(moved.select("node", F.when(may, F.col("community")).otherwise(F.col("old")).alias("community"), "old"))
+            changed = now.where("community <> old").count()
+            now = now.drop("old")
+            found = modularity(graph, now, gamma) if changed else score
+            if found > score + 1e-9:
+                of, score = now, found
+            elif turn % 2:  # both halves had their turn
+                break
+        inside = graph.join(of.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b")
+        parts = cut(components(of.select("node"), inside.select("src", "dst")).withColumnRenamed("component", "upper"))
+        member = cut(member.join(parts, member["part"] == parts["node"]).select(member["node"], F.col("upper").alias("part")))
+        small = parts.select(F.col("node").alias("src"), F.col("upper").alias("a")), parts.select(F.col("node").alias("dst"), F.col("upper").alias("b"))
+        merged = cut(graph.join(small[0], "src").join(small[1], "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        upper = parts.join(of, "node").groupBy(F.col("upper").alias("node")).agg(F.min("community").alias("c"))
+        names = upper.groupBy("c").agg(F.min("node").alias("community"))
+        of, graph = cut(upper.join(names, "c").select("node", "community")), merged
+        if score <= start + 1e-9:
+            break
+    parts = member.join(of.withColumnRenamed("node", "part"), "part").select("node", "community")
+    names = parts.groupBy("community").agg(F.min("node").alias("least"))
+    return parts.join(names, "community").select("node", F.col("least").alias("community"))

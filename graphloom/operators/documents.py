@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import frontmatter
 from graphloom.operators import rules
 
 
@@ -31,6 +32,29 @@ def graph_links(body: Column) -> Column:
     return F.arrays_zip(_all(body, pattern, 1).alias("repo"), _all(body, pattern, 2).alias("filePath"), _all(body, pattern, 3).alias("name"))
 
 
+def to_scan(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """Markdown documents (path, body, lastEnrichedHash) that changed since they were last read; with ``hash``."""
+    rows = docs.where(F.col("path").endswith(".md") & F.col("path").startswith(prefix) & ~F.col("path").startswith("concepts/") & ~F.col("path").startswith("doc-graph-runs/"))
+    rows = rows.withColumn("hash", F.sha2("body", 256))
+    return rows.where(~F.col("hash").eqNullSafe(F.col("lastEnrichedHash")))
+
+
+def declared(docs: DataFrame, keys: tuple[str, ...] = ("symbols",)) -> DataFrame:
+    """Symbols that frontmatter lists under ``keys``: doc_path, repo or null, filePath or null, name.
+
+    An item is ``repo:path#name``, ``path#name`` or a name.
+    """
+    block = F.regexp_extract("body", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
+    items = F.explode(F.concat(*[F.transform(frontmatter.list_field(F.concat(F.regexp_replace(block, "\r", ""), F.lit("\n")), k), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", "")) for k in keys]))
+    part = lambda i: F.when(F.regexp_extract("item", r"^(?:([^:#]+):)?(?:([^#]+)#)?([^#]+)$", i) != "", F.regexp_extract("item", r"^(?:([^:#]+):)?(?:([^#]+)#)?([^#]+)$", i))
+    return docs.select(F.col("path").alias("doc_path"), items.alias("item")).select("doc_path", part(1).alias("repo"), part(2).alias("filePath"), part(3).alias("name")).where("name IS NOT NULL")
+
+
+def declared_symbols(docs: DataFrame) -> DataFrame:
+    """What ``governs`` and ``symbols`` list by path and name."""
+    return declared(docs, ("governs", "symbols")).where("filePath IS NOT NULL")
+
+
 def references(docs: DataFrame) -> DataFrame:
     """A row for each reference of ``docs`` (path, service, body): channel, repo, filePath, name."""
     base = docs.select("path", "service", "body")
@@ -41,14 +65,21 @@ def references(docs: DataFrame) -> DataFrame:
     fenced = fenced.select("path", "service", F.lit("fenced").alias("channel"), F.lit(None).cast("string").alias("repo"), "filePath", name.alias("name"))
     links = base.select("path", "service", F.inline(graph_links(F.col("body"))))
     links = links.select("path", "service", F.lit("link").alias("channel"), "repo", "filePath", "name")
-    return inline.unionByName(fenced).unionByName(links)
+    head = declared(docs).join(base.select(F.col("path").alias("doc_path"), "service"), "doc_path")
+    head = head.select(F.col("doc_path").alias("path"), "service", F.lit("frontmatter").alias("channel"), "repo", "filePath", "name")
+    return inline.unionByName(fenced).unionByName(links).unionByName(head)
+
 
+#: Score from which on a name resolves to one like it; 1 and more turn this off.
+FUZZY = 0.6
 
-def resolve(refs: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
+
+def resolve(refs: DataFrame, symbols: DataFrame, modules: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """References with ``target`` (a symbol's id or a module's path) and ``how``.
 
     In order: repository, file and name; a fenced path's module by its last segment (nothing
-    else follows for those); service and name. Of several the least key is taken.
+    else follows for those); service and name; the most alike name, of the service's if there is
+    one. Of several the least key is taken.
     """
     exact = symbols.groupBy("repo", "filePath", "name").agg(F.min("id").alias("exact"))
     by_service = symbols.groupBy(F.col("repo").alias("service"), "name").agg(F.min("id").alias("by_service"))
@@ -57,17 +88,56 @@ def resolve(refs: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFram
     rows = refs.join(exact, ["repo", "filePath", "name"], "left").join(by_service, ["service", "name"], "left")
     rows = rows.withColumn("segment", F.when(F.col("channel") == "fenced", segment(F.col("filePath")))).join(by_segment, "segment", "left")
     fenced = F.col("channel") == "fenced"
-    target = F.when(fenced, F.col("module")).otherwise(F.coalesce("exact", "by_service"))
-    how = F.when(target.isNull(), "unresolved").when(fenced, "module").when(F.col("exact").isNotNull(), "exact").otherwise("service")
+    rows = rows.withColumn("found", F.when(fenced, F.col("module")).otherwise(F.coalesce("exact", "by_service")))
+    if threshold < 1:
+        like = fuzzy(rows.where(F.col("found").isNull() & ~fenced).select("service", "name").distinct(), symbols, threshold)
+        like = like.select(F.coalesce("service", F.lit("")).alias("s"), F.col("name").alias("n"), F.col("id").alias("like"))
+        rows = rows.join(like, (F.coalesce("service", F.lit("")) == F.col("s")) & (F.col("name") == F.col("n")) & F.col("found").isNull() & ~fenced, "left")
+    else:
+        rows = rows.withColumn("like", F.lit(None).cast("string"))
+    target = F.coalesce("found", "like")
+    how = F.when(target.isNull(), "unresolved").when(fenced, "module").when(F.col("exact").isNotNull(), "exact").when(F.col("by_service").isNotNull(), "service").otherwise("fuzzy")
     return rows.select("path", "channel", "name", target.alias("target"), how.alias("how"))
 
 
-def fuzzy(refs: DataFrame, symbols: DataFrame, score: Column, threshold: float = 0.6) -> DataFrame:
-    """Best symbol for each reference by ``score``, among those with the same first letter."""
-    pairs = refs.withColumn("k", F.lower(F.substring("name", 1, 1))).join(symbols.select("id", F.col("name").alias("symbol"), F.lower(F.substring("name", 1, 1)).alias("k")), "k")
-    rows = pairs.withColumn("score", score).where(F.col("score") >= threshold)
-    best = Window.partitionBy("path", "name").orderBy(F.desc("score"), "id")
-    return rows.withColumn("at", F.row_number().over(best)).where("at = 1").select("path", "name", "id", "score")
+def bigrams(name: Column) -> Column:
+    """Distinct pairs of neighbouring letters, in any case; a name of one letter is its own pair."""
+    low = F.lower(name)
+    return F.when(F.length(low) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2))))).otherwise(F.array(low))
+
+
+def fuzzy(refs: DataFrame, symbols: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """The most alike symbol of each (service, name): Dice's coefficient of bigrams, at least ``threshold``.
+
+    Only names that share one of their rarest bigrams are compared, as many of these as the
+    threshold asks for, so none is missed. A service takes symbols of its repository only.
+    """
+    grams = lambda df, c: df.select(F.col(c).alias("w")).where(F.length("w") > 0).distinct().withColumn("g", bigrams(F.col("w")))
+    asked, known = grams(refs, "name"), grams(symbols, "name")
+    df = known.select(F.explode("g").alias("b")).groupBy("b").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("w").orderBy(F.coalesce("df", F.lit(0)), "b")
+    least = F.ceil(F.size("g") * threshold / (2 - threshold) - 1e-9)
+
+    def first(words: DataFrame) -> DataFrame:
+        rows = words.select("w", "g", F.explode("g").alias("b")).join(df, "b", "left").withColumn("at", F.row_number().over(rarest))
+        return rows.where(F.col("at") <= F.size("g") - least + 1).select("w", "g", "b")
+
+    pairs = first(asked).join(first(known).select(F.col("w").alias("symbol"), F.col("g").alias("h"), "b"), "b").dropDuplicates(["w", "symbol"])
+    score = 2.0 * F.size(F.array_intersect("g", "h")) / (F.size("g") + F.size("h"))
+    pairs = pairs.select(F.col("w").alias("name"), "symbol", score.alias("score")).where(F.col("score") >= threshold - 1e-9)
+    rows = refs.select("service", "name").distinct().join(pairs, "name").join(symbols.select(F.col("name").alias("symbol"), F.col("repo").alias("owner"), "id"), "symbol")
+    rows = rows.where(F.col("service").isNull() | (F.col("service") == F.col("owner")))
+    return rows.groupBy("service", "name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+
+
+def reference_edges(resolved: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges of resolved references: those documented by, from frontmatter, and references with
+    confidence and channel; of a document and target the last in ``order``."""
+    hit = resolved.where(F.col("target").isNotNull())
+    documented = hit.where("channel = 'frontmatter'").select(F.col("path").alias("doc_path"), F.col("target").alias("symbol")).distinct()
+    confidence = F.when(F.col("how") == "fuzzy", "inferred").otherwise("exact")
+    last = hit.withColumn("confidence", confidence).groupBy(F.col("path").alias("doc_path"), "target").agg(F.max_by(F.struct("confidence", "channel"), F.struct(*order)).alias("e"))
+    return documented, last.select("doc_path", "target", "e.confidence", "e.channel")
 
 
 def with_section(body: Column, section: Column) -> Column:

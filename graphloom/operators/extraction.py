@@ -33,26 +33,42 @@ def modules(files: DataFrame) -> DataFrame:
     system = F.when(esm & cjs, "mixed").when(esm, "esm").when(cjs, "cjs").otherwise("none")
     declares = text.rlike(r"(?m)^(export\s+)?(default\s+)?(async\s+)?(function|class|const|let|var)\b")
     barrel = text.rlike(r"(?m)^export\s+(\*|\{[^}]*\})\s+from\s") & ~declares
-    return files.select("repo", F.col("filePath").alias("path"), F.size(F.split(text, "\n")).alias("loc"), F.sha2(text, 256).alias("hash"), system.alias("moduleSystem"), barrel.alias("isBarrel"), text.rlike(r"(?m)^[A-Za-z_$][\w$.]*\(").alias("hasSideEffects"))
+    return files.select("repo", F.col("filePath").alias("path"), F.when(F.col("filePath").rlike(r"\.[mc]?tsx?$"), "typescript").otherwise("javascript").alias("language"), F.when(F.col("filePath").rlike(r"\.[jt]sx$"), "jsx").alias("dialect"), F.size(F.split(text, "\n")).alias("loc"), F.sha2(text, 256).alias("hash"), system.alias("moduleSystem"), barrel.alias("isBarrel"), text.rlike(r"(?m)^[A-Za-z_$][\w$.]*\(").alias("hasSideEffects"))
 
 
 DECLARATION = r"^(export\s+)?(default\s+)?(async\s+)?(function\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)(.*)$"
 
 
+def outside_comments(files: DataFrame) -> DataFrame:
+    """The lines that don't begin inside a block comment."""
+    n = lambda p: F.size(F.split("line", p)) - 1
+    before = Window.partitionBy("repo", "filePath").orderBy("lineNo").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines(files).withColumn("open", F.coalesce(F.sum(n(r"/\*") - n(r"\*/")).over(before), F.lit(0)))
+    return rows.where("open <= 0").drop("open")
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """Top-level functions, classes and variables. A symbol ends before the next one starts."""
+    """Top-level functions, classes and variables.
+
+    A symbol whose line leaves something open ends at the next line that begins with a closing
+    bracket, before the next symbol; any other ends on its line.
+    """
     part = lambda i: F.regexp_extract("line", DECLARATION, i)
-    rows = lines(files).where(F.col("line").rlike(DECLARATION)).select("repo", "filePath", F.col("lineNo").alias("lineStart"), F.trim(part(1)).alias("e"), F.trim(part(2)).alias("d"), F.trim(part(3)).alias("a"), part(4).alias("k"), part(5).alias("name"), part(6).alias("rest"))
+    starts, closes = F.col("line").rlike(DECLARATION), F.col("line").rlike(r"^[}\])]")
+    rows = outside_comments(files).where(starts | closes)
+    later = Window.partitionBy("repo", "filePath").orderBy(F.desc("lineNo")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"closed": F.last(F.when(closes, F.col("lineNo")), ignorenulls=True).over(later), "next": F.last(F.when(starts, F.col("lineNo")), ignorenulls=True).over(later)})
+    rows = rows.where(starts).select("repo", "filePath", "line", "closed", "next", F.col("lineNo").alias("lineStart"), F.trim(part(1)).alias("e"), F.trim(part(2)).alias("d"), F.trim(part(3)).alias("a"), part(4).alias("k"), part(5).alias("name"), part(6).alias("rest"))
     variable = F.col("k").isin("const", "let", "var")
     arrow = F.col("rest").rlike(r"^\s*=\s*(async\s+)?(function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)")
     kind = F.when(F.col("k") == "class", "class").when(variable & ~arrow, "variable").otherwise("function")
     generator = (F.col("k") == "function*") | F.col("rest").rlike(r"^\s*=\s*(async\s+)?function\s*\*")
     is_async = ((F.col("a") == "async") | F.col("rest").rlike(r"^\s*=\s*async\b")) & ~generator
-    ends = F.lead("lineStart").over(Window.partitionBy("repo", "filePath").orderBy("lineStart"))
-    last = F.size(F.split("text", "\n"))
-    sizes = files.select("repo", "filePath", last.alias("n"))
-    rows = rows.withColumn("next", ends).join(sizes, ["repo", "filePath"])
-    return rows.select("repo", "filePath", "name", kind.alias("kind"), F.when(F.col("k") == "var", "function").otherwise("block").alias("scopeKind"), (F.col("e") != "").alias("isExported"), F.when(F.col("d") != "", "default").when(F.col("e") != "", "named").alias("exportKind"), is_async.alias("isAsync"), generator.alias("isGenerator"), "lineStart", F.coalesce(F.col("next") - 1, F.col("n")).cast("int").alias("lineEnd"))
+    n = lambda p: F.size(F.split("line", p)) - 1
+    unfinished = F.col("line").rlike(r"(=>|[=,(\[{])\s*$") | (n(r"[\[({]") > n(r"[\])}]"))
+    end = F.when(unfinished & (F.col("closed") < F.coalesce("next", F.lit(2**31 - 1))), F.col("closed")).when(unfinished, F.col("next") - 1)
+    signature = F.when(kind != "variable", F.trim(F.regexp_replace("line", r"\s*(\{.*|=>.*)?$", "")))
+    return rows.select("repo", "filePath", "name", kind.alias("kind"), F.when(F.col("k") == "var", "function").otherwise("block").alias("scopeKind"), (F.col("e") != "").alias("isExported"), F.when(F.col("d") != "", "default").when(F.col("e") != "", "named").alias("exportKind"), is_async.alias("isAsync"), generator.alias("isGenerator"), "lineStart", F.coalesce(end, F.col("lineStart")).cast("int").alias("lineEnd"), signature.alias("signature"))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -66,17 +82,22 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.when(F.col("local"), joined_path(F.col("source"), F.col("spec"))))
 
 
-CALL = r"(?<![\w$.])((?:new\s+)?[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
+CALL = r"(?<![\w$.])((?:new\s+)?[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\((?=(?:([^()]*)(\)))?)"
 #: Words before a parenthesis that are no callee.
 NO_CALLEES = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "await", "async", "do", "else", "with"]
 
 
 def call_sites(files: DataFrame) -> DataFrame:
-    """Calls by line: callee of at most 200 characters, and whether it makes an object."""
+    """Calls by line: callee of at most 200 characters, its arguments, and whether it makes an object.
+
+    Arguments are counted where they stand on the line and hold no calls; else their number is null.
+    """
     code = F.regexp_replace("line", r"//.*$|'[^'\n]*'|\"[^\"\n]*\"", "''")
-    rows = lines(files).where(~F.col("line").rlike(r"^\s*(//|\*|/\*)")).select("repo", "filePath", F.col("lineNo").alias("line"), F.explode(_all(code, CALL)).alias("c"))
+    found = F.arrays_zip(*[_all(code, CALL, i).alias(n) for i, n in ((1, "c"), (2, "args"), (3, "end"))])
+    rows = outside_comments(files).where(~F.col("line").rlike(r"^\s*//")).select("repo", "filePath", F.col("lineNo").alias("line"), F.inline(found))
     callee = F.regexp_replace("c", r"^new\s+", "")
-    rows = rows.select("repo", "filePath", "line", F.substring(callee, 1, 200).alias("callee"), F.col("c").rlike(r"^new\s").alias("isNew"))
+    count = F.when(F.col("end") != "", F.when(F.trim("args") == "", 0).otherwise(F.size(F.split("args", ","))))
+    rows = rows.select("repo", "filePath", "line", F.substring(callee, 1, 200).alias("callee"), F.col("c").rlike(r"^new\s").alias("isNew"), count.cast("int").alias("argumentCount"))
     declared = F.regexp_extract("callee", r"^(\w+)", 1)
     return rows.where(~declared.isin(NO_CALLEES))
 
@@ -113,6 +134,11 @@ def flag_provider(method: Column) -> Column:
     return reduce(lambda c, r: F.when(method == r[0], r[1]).otherwise(c), rules.FLAGS, F.lit("custom"))
 
 
+def flag_kind(method: Column) -> Column:
+    """How a check reads its flag: a variant, or whether it is on."""
+    return reduce(lambda c, r: F.when(method == r[0], r[2]).otherwise(c), rules.FLAGS, F.lit("is-enabled"))
+
+
 def thrown(body: Column) -> Column:
     """Types of thrown errors, once each: the last name of the expression, else ``Error``."""
     found = _all(body, r"\bthrow\s+(?:new\s+)?([A-Za-z_$][\w$.]*)?")

@@ -72,7 +72,7 @@ def throws_propagation(calls: DataFrame, throws: DataFrame, catches: DataFrame,
     """
     from graphloom.checkpoints import cut
 
-    up = reversed_edges(calls).distinct()
+    up = cut(reversed_edges(calls).distinct())
     front = cut(throws.select(F.col("sym_key").alias("node"), "errorType").distinct())
     seen = None
     for _ in range(depth):

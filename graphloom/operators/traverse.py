@@ -1,7 +1,7 @@
 """Bounded traversals over an edge list with columns ``src`` and ``dst``.
 
 A traversal is a loop of frontier joins, each node kept at its least depth; the loop is bounded
-by its depth, and each round's frontier is cut from its lineage.
+by its depth. The edges are cut from their lineage once, before the loop, and each round's frontier after it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     ``seeds`` has a column ``origin``. A node has its least depth. An origin is itself in the
     result if a cycle leads back to it.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     step = lambda rows, d: rows.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct()
     front = cut(step(seeds.select("origin", F.col("origin").alias("node")).distinct(), 1))
     seen = front
@@ -37,7 +37,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``node`` and its least ``depth`` from any of the seeds (column ``node``), which are at 0."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     front = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, d = front, 0
     while max_depth is None or d < max_depth:

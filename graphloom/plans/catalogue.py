@@ -301,7 +301,7 @@ def betweenness(g: Graph) -> DataFrame:
 
 @query()
 def communities(g: Graph) -> DataFrame:
-    return algorithms.label_communities(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), "community")
+    return algorithms.communities(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), "community")
 
 
 # ---- passes
@@ -369,7 +369,7 @@ def bounded_context(g: Graph) -> DataFrame:
     return passes.bounded_context(g.mod.select("repo", "path"), contexts)
 
 
-@query("SELECT DISTINCT d.path AS doc_path, s.sym_key FROM docs d JOIN sym s ON s.sym_key = d.doc_id + 1 JOIN sym t ON t.filePath = s.filePath AND t.name = s.name AND t.sym_key = s.sym_key WHERE d.type = 'adr'")
+@query("SELECT DISTINCT d.path AS doc_path, s.sym_key FROM docs d JOIN sym s ON s.sym_key = d.sym_key + 1 JOIN sym t ON t.filePath = s.filePath AND t.name = s.name AND t.sym_key = s.sym_key WHERE d.type = 'adr'")
 def governs_edges(g: Graph) -> DataFrame:
     named = g.sym.select((F.col("sym_key") - 1).alias("doc_id"), F.when(F.col("sym_key") % 2 == 0, F.col("repo")).alias("repo"), "filePath", "name")
     declared = g.docs.where("type = 'adr'").join(named, "doc_id").select(F.col("path").alias("doc_path"), "repo", "filePath", "name")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
 from graphloom.functions import frontmatter, text
-from graphloom.operators import algorithms, documents, extraction, passes, rules, summaries, tools, upsert
+from graphloom.checkpoints import checkpoint_folder
+from graphloom.operators import algorithms, concepts, documents, extraction, parsing, passes, rules, summaries, tools, upsert
 from graphloom.plans.catalogue import FAN, PUBLIC, ROLES, edges, nodes, query, rounded
 from graphloom.streaming import jobs
 
@@ -64,37 +65,33 @@ PACKAGES = [p for p, _, _ in rules.SDK_SERVICES]
 @query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{k}')" for i, (_, s, k) in enumerate(rules.SDK_SERVICES)) + f") AS t(k, service, protocol)) SELECT v.service, v.protocol, count(*) AS importers FROM sym JOIN v ON v.k = sym_key % {len(PACKAGES) + 4} GROUP BY 1, 2")
 def sdk_services(g: Graph) -> DataFrame:
     imported = g.sym.select(by_key([*[p + "/lib/x" if not p.startswith("@") else p for p in PACKAGES], "a", "b", "c", "d"]).alias("spec"))
-    services = g.spark.createDataFrame(rules.SDK_SERVICES, "package string, service string, protocol string")
-    rows = imported.select(text.package_name(F.col("spec")).alias("package")).join(F.broadcast(services), "package")
-    return rows.groupBy("service", "protocol").agg(F.count("*").alias("importers"))
+    return parsing.services_of(imported, parsing.service_table(g.spark))
 
 
 @query("SELECT sym_key, 'E' || (communityId) AS errorType FROM sym WHERE sym_key % 7 = 0 UNION SELECT sym_key, 'Error' FROM sym WHERE sym_key % 14 = 0")
 def throws_edges(g: Graph) -> DataFrame:
     body = F.concat(F.lit("throw new errors.E"), F.col("communityId").cast("string"), F.lit("('x');"), F.when(F.col("sym_key") % 14 == 0, " throw ;").otherwise(""))
-    rows = g.sym.where("sym_key % 7 = 0").select("sym_key", F.explode(extraction.thrown(body)).alias("errorType"))
+    body = F.when(F.col("sym_key") % 7 == 0, body).otherwise("return rethrown;")
+    rows = g.sym.select("sym_key", F.explode(extraction.thrown(body)).alias("errorType"))
     return upsert.edges_once(rows, ["sym_key", "errorType"])
 
 
 @query("SELECT s.sym_key, c.line FROM sym s JOIN (SELECT repo, filePath, lineStart - CAST(sym_key % 4 AS INT) AS line FROM sym WHERE docstring IS NOT NULL) c ON c.repo = s.repo AND c.filePath = s.filePath AND (s.lineStart = c.line OR s.lineStart = c.line + 1)")
 def annotated_by(g: Graph) -> DataFrame:
-    """Comments end on their symbol's line or the one before: an equi-join on both lines."""
-    comments = g.sym.where("docstring IS NOT NULL").select("repo", "filePath", (F.col("lineStart") - (F.col("sym_key") % 4).cast("int")).alias("line"))
-    comments = comments.withColumn("lineStart", F.explode(F.array(F.col("line"), F.col("line") + 1)))
-    return g.sym.join(comments, ["repo", "filePath", "lineStart"]).select("sym_key", "line")
+    comments = g.sym.where("docstring IS NOT NULL").select("repo", "filePath", (F.col("lineStart") - (F.col("sym_key") % 4).cast("int")).alias("lineEnd"))
+    return parsing.annotated(g.sym.drop("lineEnd"), comments).select("sym_key", F.col("lineEnd").alias("line"))
 
 
 @query("SELECT r.k AS ref, s.sym_key FROM (SELECT sym_key AS k, repo, filePath, CASE WHEN sym_key % 3 = 0 THEN 'nothing' ELSE name END AS name FROM sym) r JOIN sym s USING (repo, filePath, name)")
 def resolves_to(g: Graph) -> DataFrame:
     refs = g.sym.select(F.col("sym_key").alias("ref"), "repo", "filePath", F.when(F.col("sym_key") % 3 == 0, "nothing").otherwise(F.col("name")).alias("name"))
-    return refs.join(g.sym.select("repo", "filePath", "name", "sym_key"), ["repo", "filePath", "name"]).select("ref", "sym_key")
+    return parsing.resolved_names(refs, g.sym.select("repo", "filePath", "name", "sym_key")).select("ref", "sym_key")
 
 
 @query("WITH sc AS (SELECT repo, filePath, CAST(lineStart // 10 AS INT) AS scope, CASE WHEN lineStart > 10 THEN CAST(lineStart // 20 AS INT) END AS parent FROM sym) SELECT a.repo, a.filePath, a.scope, b.scope AS parent_scope FROM sc a JOIN sc b ON a.repo = b.repo AND a.filePath = b.filePath AND a.parent = b.scope")
 def scope_parents(g: Graph) -> DataFrame:
     scopes = g.sym.select("repo", "filePath", F.expr("lineStart div 10").cast("int").alias("scope"), F.when(F.col("lineStart") > 10, F.expr("lineStart div 20")).cast("int").alias("parent_scope"))
-    above = scopes.select("repo", "filePath", F.col("scope").alias("parent_scope"))
-    return scopes.join(above, ["repo", "filePath", "parent_scope"]).select("repo", "filePath", "scope", "parent_scope")
+    return parsing.scope_edges(scopes, "scope", "parent_scope")
 
 
 @query("""WITH sites AS (SELECT a.repo, a.filePath, a.lineStart + 3 AS line, b.name AS callee FROM calls c JOIN sym a ON a.sym_key = c.src JOIN sym b ON b.sym_key = c.dst),
@@ -115,8 +112,7 @@ def resolve_calls(g: Graph) -> DataFrame:
 
 @query("SELECT m.repo, m.path, s.sym_key, s.name AS \"exportName\" FROM mod m JOIN sym s ON s.repo = m.repo AND s.filePath = m.path WHERE s.isExported")
 def exports_edges(g: Graph) -> DataFrame:
-    exported = g.sym.where("isExported").select("repo", F.col("filePath").alias("path"), "sym_key", F.col("name").alias("exportName"))
-    return g.mod.join(exported, ["repo", "path"]).select("repo", "path", "sym_key", "exportName")
+    return parsing.exported_symbols(g.sym, g.mod.select("repo", "path")).select("repo", "path", "sym_key", "exportName")
 
 
 @query("SELECT DISTINCT repo, concat(regexp_replace(filePath, '/[^/]*$', ''), '/lib-', communityId, '.js') AS path FROM sym WHERE concat(regexp_replace(filePath, '/[^/]*$', ''), '/lib-', communityId, '.js') NOT IN (SELECT path FROM mod)")
@@ -129,30 +125,37 @@ def import_stubs(g: Graph) -> DataFrame:
 # ---- documents
 
 
-@query("SELECT d.path, s.name FROM docs d JOIN sym s ON s.sym_key = d.doc_id UNION ALL SELECT path, concat('Missing', doc_id) FROM docs")
+@query("SELECT d.path, s.name FROM docs d JOIN sym s ON s.sym_key = d.sym_key UNION ALL SELECT path, concat('Missing', doc_id) FROM docs")
 def inline_code_refs(g: Graph) -> DataFrame:
     return g.docs.select("path", F.explode(documents.inline_code(F.col("body"))).alias("name"))
 
 
-@query("SELECT d.path, concat('./', replace(lower(p.p_brand), '#', '-'), '.js') AS target FROM docs d JOIN part p ON p.p_partkey = d.doc_id")
+@query("SELECT d.path, concat('./', replace(lower(p.p_brand), '#', '-'), '.js') AS target FROM docs d JOIN part p ON p.p_partkey = d.sym_key")
 def fenced_import_refs(g: Graph) -> DataFrame:
     return g.docs.select("path", F.explode(documents.fenced_imports(F.col("body"))).alias("target"))
 
 
-@query("SELECT d.path, s.repo, s.filePath, s.name FROM docs d JOIN sym s ON s.sym_key = d.doc_id")
+@query("SELECT d.path, s.repo, s.filePath, s.name FROM docs d JOIN sym s ON s.sym_key = d.sym_key")
 def graph_links(g: Graph) -> DataFrame:
     return g.docs.select("path", F.inline(documents.graph_links(F.col("body"))))
 
 
-RESOLVED = """refs AS (SELECT d.path, 'inline' AS channel, s.name, d.service, NULL AS ref_id FROM docs d JOIN sym s ON s.sym_key = d.doc_id
+RESOLVED = """refs AS (SELECT d.path, 'inline' AS channel, s.name, d.service, NULL AS ref_id FROM docs d JOIN sym s ON s.sym_key = d.sym_key
 UNION ALL SELECT path, 'inline', concat('Missing', doc_id), service, NULL FROM docs
-UNION ALL SELECT d.path, 'link', s.name, d.service, s.id FROM docs d JOIN sym s ON s.sym_key = d.doc_id
-UNION ALL SELECT d.path, 'fenced', replace(lower(p.p_brand), '#', '-'), d.service, NULL FROM docs d JOIN part p ON p.p_partkey = d.doc_id),
+UNION ALL SELECT d.path, 'link', s.name, d.service, s.id FROM docs d JOIN sym s ON s.sym_key = d.sym_key
+UNION ALL SELECT d.path, 'fenced', replace(lower(p.p_brand), '#', '-'), d.service, NULL FROM docs d JOIN part p ON p.p_partkey = d.sym_key),
 seg AS (SELECT regexp_replace(regexp_extract(path, '[^/]*$'), '\\.(js|ts)$', '') AS segment, min(path) AS module FROM mod GROUP BY 1),
 svc AS (SELECT repo, name, min(id) AS id FROM sym GROUP BY repo, name),
-resolved AS (SELECT r.path, r.channel, r.name, CASE WHEN r.channel = 'fenced' THEN g.module ELSE coalesce(r.ref_id, v.id) END AS target,
-CASE WHEN CASE WHEN r.channel = 'fenced' THEN g.module ELSE coalesce(r.ref_id, v.id) END IS NULL THEN 'unresolved' WHEN r.channel = 'fenced' THEN 'module' WHEN r.ref_id IS NOT NULL THEN 'exact' ELSE 'service' END AS how
-FROM refs r LEFT JOIN seg g ON r.channel = 'fenced' AND g.segment = r.name LEFT JOIN svc v ON v.repo = r.service AND v.name = r.name)"""
+found AS MATERIALIZED (SELECT r.path, r.channel, r.name, r.service, r.ref_id, v.id AS svc_id, CASE WHEN r.channel = 'fenced' THEN g.module ELSE coalesce(r.ref_id, v.id) END AS hit
+FROM refs r LEFT JOIN seg g ON r.channel = 'fenced' AND g.segment = r.name LEFT JOIN svc v ON v.repo = r.service AND v.name = r.name),
+lost AS MATERIALIZED (SELECT DISTINCT name, service FROM found WHERE hit IS NULL AND channel <> 'fenced'),
+lg AS (SELECT name, len(g) AS n, unnest(g) AS x FROM (SELECT name, list_distinct(list_transform(range(1, length(name)), lambda i: lower(name)[i:i + 1])) AS g FROM (SELECT DISTINCT name FROM lost))),
+kg AS (SELECT id, repo, len(h) AS m, unnest(h) AS x FROM (SELECT id, repo, list_distinct(list_transform(range(1, length(name)), lambda i: lower(name)[i:i + 1])) AS h FROM sym)),
+alike AS MATERIALIZED (SELECT name, id, repo, 2.0 * count(*) / (n + m) AS score FROM lg JOIN kg USING (x) GROUP BY name, id, repo, n, m HAVING 2.0 * count(*) / (n + m) >= 0.6 - 1e-9),
+best AS MATERIALIZED (SELECT l.name, l.service, arg_min(a.id, (-a.score, a.id)) AS id FROM lost l JOIN alike a ON a.name = l.name AND (l.service IS NULL OR l.service = a.repo) GROUP BY l.name, l.service),
+resolved AS (SELECT f.path, f.channel, f.name, coalesce(f.hit, b.id) AS target,
+CASE WHEN coalesce(f.hit, b.id) IS NULL THEN 'unresolved' WHEN f.channel = 'fenced' THEN 'module' WHEN f.ref_id IS NOT NULL THEN 'exact' WHEN f.svc_id IS NOT NULL THEN 'service' ELSE 'fuzzy' END AS how
+FROM found f LEFT JOIN best b ON f.hit IS NULL AND f.channel <> 'fenced' AND b.name = f.name AND b.service IS NOT DISTINCT FROM f.service)"""
 
 
 def resolved(g: Graph) -> DataFrame:
@@ -212,13 +215,11 @@ def semantic_search_topk(g: Graph) -> DataFrame:
     return tools.vector_top_k(list(first["embedding"]), g.embeddings, 20).select("vec_id", rounded("score").alias("score"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE} + 1e-9, 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COSINE} > 0.3")
+@query(f"SELECT b.vec_id AS a, a.vec_id AS b, round({COSINE} + 1e-9, 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE {COSINE} > 0.3")
 def concept_near_pairs(g: Graph) -> DataFrame:
-    """Pairs inside a label; labels are the groups that concepts may merge in."""
-    a = g.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
-    b = g.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    rows = a.join(b, "label").where("a < b").withColumn("cos", text.cosine(F.col("x"), F.col("y")))
-    return rows.where("cos > 0.3").select("a", "b", rounded("cos").alias("cos"))
+    """Pairs above a cosine, of any label."""
+    vectors = g.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return concepts.near_earlier(vectors, 0.3).select(F.col("earlier").alias("a"), F.col("id").alias("b"), rounded("cos").alias("cos"))
 
 
 SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
@@ -363,9 +364,7 @@ def rate_limit_fixed_window(g: Graph) -> DataFrame:
 def stream_commit_windows(g: Graph) -> DataFrame:
     stream = jobs.watch(g.spark, g.sf_dir, g.events.schema, glob="events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
     counts = jobs.rolling_counts(stream, ["event_type"], "at", "1 day")
-    conf = g.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    place = f"{conf}/stream-{id(counts)}" if conf else tempfile.mkdtemp(prefix="stream-")
-    return jobs.once(counts, place).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
+    return jobs.once(counts, checkpoint_folder(g.spark, f"stream-{uuid.uuid4().hex}")).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
 # ---- questions that the graph answers

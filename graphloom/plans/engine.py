@@ -4,43 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
 from graphloom.checkpoints import cut
-from graphloom.operators import algorithms, extraction, passes, tools, upsert
-from graphloom.plans.runner import Pass, Record, run
+from graphloom.operators import algorithms, doc_writes, documents, extraction, parsing, passes, summaries, tools, upsert
+from graphloom.plans.runner import Pass, Record, as_table, run
 
 
-def index(graph: GraphBundle, files: DataFrame) -> None:
-    """Extracts what changed of ``files`` (repo, filePath, hash, text) and updates the graph."""
+def _renew(graph: GraphBundle, name: str, rows: DataFrame, owner: str, changed: DataFrame) -> None:
+    """Puts ``rows`` in place of those whose owner, a symbol's id, is in a changed file."""
+    files = changed.select(F.concat("repo", F.lit(":"), "filePath").alias("file"))
+    old = graph[name].withColumn("file", F.substring_index(owner, "#", 1)).join(files, "file", "left_anti").drop("file")
+    graph[name] = cut(old)
+    graph.upsert(name, rows)
+
+
+def index(graph: GraphBundle, files: DataFrame, before: list[Callable[[DataFrame], DataFrame]] | None = None) -> None:
+    """Extracts what changed of ``files`` (repo, filePath, hash, text) and updates the graph.
+
+    ``before``: plugins that change files before they are read.
+    """
+    for plugin in before or []:
+        files = plugin(files)
     known = graph["modules"].select("repo", F.col("path").alias("filePath"), "hash")
     changed = cut(files.join(known, ["repo", "filePath", "hash"], "left_anti"))
-    symbols = cut(extraction.symbols(changed))
-    sites = cut(extraction.call_sites(changed))
-    imports = cut(extraction.imports(changed))
     own = changed.select("repo", "filePath")
-    graph.upsert("modules", extraction.modules(changed))
+    sites, imports = cut(extraction.call_sites(changed)), cut(extraction.imports(changed))
+    comments, references = cut(parsing.comment_places(changed)), cut(parsing.references(changed))
+    symbols = cut(_symbols(changed, comments))
+    docs = changed.select("repo", F.col("filePath").alias("path"), parsing.module_docstring(F.col("text")).alias("docstring"))
+    graph.upsert("modules", extraction.modules(changed).join(docs, ["repo", "path"]))
     graph.upsert("modules", upsert.stubs(graph["modules"].select("repo", "path"), imports.where("target IS NOT NULL").select("repo", "target")))
     lines = symbols.join(changed.select("repo", "filePath", "text"), ["repo", "filePath"])
     body = F.array_join(F.slice(F.split("text", "\n"), F.col("lineStart"), F.col("lineEnd") - F.col("lineStart") + 1), "\n")
-    facts = lines.withColumn("body", body).select(*symbols.columns, F.sha2("body", 256).alias("hash"), extraction.config_keys(F.col("body")).alias("configKeysRead"), extraction.thrown(F.col("body")).alias("throwTypes"), F.col("body").rlike(r"\bthis\.[\w$]+\s*([-+*/%&|^]?=[^=]|\+\+|--)").alias("hasMutation"))
+    facts = lines.withColumn("body", body).select(*symbols.columns, "body", F.sha2("body", 256).alias("hash"), extraction.config_keys(F.col("body")).alias("configKeysRead"), extraction.thrown(F.col("body")).alias("throwTypes"), F.col("body").rlike(r"\bthis\.[\w$]+\s*([-+*/%&|^]?=[^=]|\+\+|--)").alias("hasMutation"))
     inside = sites.join(symbols.select("repo", "filePath", "name", "lineStart", "lineEnd"), ["repo", "filePath"]).where("line BETWEEN lineStart AND lineEnd")
     effects = inside.groupBy("repo", "filePath", "name").agg(F.collect_set(extraction.effect(F.col("callee"))).alias("effectKinds"))
     facts = facts.join(effects, ["repo", "filePath", "name"], "left").withColumn("effectKinds", F.coalesce("effectKinds", F.array().cast("array<string>")))
-    facts = facts.withColumn("hasIO", extraction.has_io(F.col("effectKinds"))).withColumn("isPure", ~F.col("hasIO") & ~F.col("hasMutation"))
-    graph.upsert("symbols", cut(facts), order="lineStart")
-    graph["call_sites"] = upsert.replace_children(graph["call_sites"], sites.select("repo", "filePath", F.col("callee").alias("calleeExpression"), F.lit(None).cast("int").alias("argumentCount"), F.col("isNew").alias("isNewExpression"), "line", F.lit("heuristic").alias("resolutionStatus")), ["repo", "filePath"], own)
+    facts = cut(facts.withColumn("hasIO", extraction.has_io(F.col("effectKinds"))).withColumn("isPure", ~F.col("hasIO") & ~F.col("hasMutation")))
+    graph["symbols"] = cut(graph["symbols"].join(own, ["repo", "filePath"], "left_anti"))
+    graph.upsert("symbols", facts.drop("body"), order="lineStart")
+    graph["call_sites"] = upsert.replace_children(graph["call_sites"], sites.select("repo", "filePath", F.col("callee").alias("calleeExpression"), "argumentCount", F.col("isNew").alias("isNewExpression"), "line", F.lit("heuristic").alias("resolutionStatus")), ["repo", "filePath"], own)
+    graph["comments"] = upsert.replace_children(graph["comments"], comments, ["repo", "filePath"], own)
+    graph["scopes"] = upsert.replace_children(graph["scopes"], cut(parsing.scopes(changed)), ["repo", "filePath"], own)
+    graph["code_references"] = upsert.replace_children(graph["code_references"], references.withColumn("confidence", F.lit(1.0)).select(*graph["code_references"].columns), ["repo", "filePath"], own)
     graph.upsert("external_packages", imports.where("package IS NOT NULL").select(F.col("package").alias("name")))
+    graph["imports"] = cut(graph["imports"].join(own.withColumnRenamed("filePath", "source"), ["repo", "source"], "left_anti"))
     graph.upsert("imports", imports.where("target IS NOT NULL").select("repo", "source", "target", "kind"))
-    every = identified(graph["symbols"])
     names = F.explode(F.split(F.regexp_replace("what", r"[{}\s]", ""), ","))
     bound = imports.where("target IS NOT NULL AND what <> ''").select("repo", F.col("source").alias("filePath"), "target", names.alias("name"))
-    calls = extraction.resolve_calls(sites, every, bound)
-    graph.upsert("calls", cut(calls.withColumn("repo", F.substring_index("src", ":", 1))))
-    thrown = identified(facts).select(F.col("id").alias("symbol"), F.explode("throwTypes").alias("errorType"))
-    graph.upsert("throws", thrown.withColumns({"propagated": F.lit(False), "confidence": F.lit("exact")}))
+    calls = extraction.resolve_calls(sites, identified(graph["symbols"]), bound)
+    _renew(graph, "calls", cut(calls.withColumn("repo", F.substring_index("src", ":", 1))), "src", changed)
+    _behaviour(graph, identified(facts), imports, references, changed)
+
+
+def _symbols(changed: DataFrame, comments: DataFrame) -> DataFrame:
+    """Symbols with what lists and defaults export, and the words of the doc comment above."""
+    rows = extraction.symbols(changed)
+    exported = parsing.exports(changed).groupBy("repo", "filePath", "name").agg(F.min("exportKind").alias("kindOfExport"))
+    rows = rows.join(exported, ["repo", "filePath", "name"], "left")
+    rows = rows.withColumns({"isExported": F.col("isExported") | F.col("kindOfExport").isNotNull(), "exportKind": F.coalesce("exportKind", "kindOfExport")}).drop("kindOfExport")
+    above = comments.where("kind = 'jsdoc'").groupBy("repo", "filePath", (F.col("lineEnd") + 1).alias("lineStart")).agg(F.max(extraction.docstring(F.col("text"))).alias("docstring"))
+    return rows.join(above, ["repo", "filePath", "lineStart"], "left")
+
+
+def _behaviour(graph: GraphBundle, facts: DataFrame, imports: DataFrame, references: DataFrame, changed: DataFrame) -> None:
+    """Errors, configuration, flags and services of the changed files' symbols."""
+    thrown = facts.select(F.col("id").alias("symbol"), F.explode("throwTypes").alias("errorType"))
+    _renew(graph, "throws", thrown.withColumns({"propagated": F.lit(False), "confidence": F.lit("exact")}), "symbol", changed)
+    graph.upsert("error_flows", graph["throws"].select(F.substring_index("symbol", ":", 1).alias("repo"), "errorType").distinct())
+    caught = facts.select(F.col("id").alias("symbol"), F.explode(parsing.caught(F.col("body"))).alias("c")).select("symbol", "c.errorType", "c.catchBlock")
+    _renew(graph, "catches", caught, "symbol", changed)
+    keys = F.concat(*[F.transform(f(F.col("body")), lambda k, p=p: F.struct(k.alias("key"), F.lit(p).alias("accessPattern"))) for f, p in ((extraction.env_keys, "process.env"), (extraction.config_keys, "config.get"))])
+    read = facts.select("repo", F.col("id").alias("symbol"), F.inline(keys))
+    graph.upsert("config_items", read.select("repo", "key").distinct())
+    _renew(graph, "reads_config", read.drop("repo"), "symbol", changed)
+    checks = facts.select("repo", F.col("id").alias("symbol"), F.inline(extraction.flag_checks(F.col("body"))))
+    graph.upsert("flags", checks.select("repo", F.col("flag").alias("name"), extraction.flag_provider(F.col("method")).alias("providerHint")))
+    _renew(graph, "reads_flag", checks.select("symbol", "flag", extraction.flag_kind(F.col("method")).alias("checkKind")), "symbol", changed)
+    bound = cut(parsing.service_imports(imports, parsing.service_table(graph.spark)))
+    graph.upsert("external_services", bound.select("repo", F.col("service").alias("name"), "protocol", F.lit("sdk-import").alias("detectionMethod")))
+    graph["imports_service"] = cut(graph["imports_service"].join(changed.select("repo", F.col("filePath").alias("module")), ["repo", "module"], "left_anti"))
+    graph.upsert("imports_service", bound.select("repo", F.col("filePath").alias("module"), "service"))
+    spans = facts.select("repo", "filePath", F.col("id").alias("symbol"), "lineStart", "lineEnd")
+    used = references.join(spans, ["repo", "filePath"]).where("line BETWEEN lineStart AND lineEnd").select("repo", "filePath", "symbol", "name").distinct()
+    calling = parsing.service_calls(used, bound).withColumn("confidence", F.lit("inferred"))
+    _renew(graph, "calls_service", calling, "symbol", changed)
 
 
 def identified(symbols: DataFrame) -> DataFrame:
@@ -48,13 +99,32 @@ def identified(symbols: DataFrame) -> DataFrame:
 
 
 def _metrics(graph: GraphBundle) -> dict:
+    """All structural metrics, of repositories whose number of calls has changed by a share."""
+    counts = graph["calls"].groupBy("repo").agg(F.count("*").alias("n"))
+    counts = graph["symbols"].select("repo").distinct().join(counts, "repo", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = counts.join(graph["metrics_meta"], "repo", "left").withColumn("due", algorithms.edge_delta(F.col("n"), F.col("lastEdgeCount")))
+    due = cut(counts.where("due").select("repo", "n"))
+    if due.isEmpty():
+        return {"repos": 0}
     symbols = identified(graph["symbols"])
-    nodes = symbols.select(F.col("id").alias("node"), "isExported")
-    edges = graph["calls"].select("src", "dst")
+    chosen = symbols.join(due.select("repo"), "repo", "left_semi")
+    nodes = cut(chosen.select(F.col("id").alias("node"), "isExported", "repo", F.dense_rank().over(Window.partitionBy("repo").orderBy("id")).alias("number")))
+    edges = cut(graph["calls"].join(due.select("repo"), "repo", "left_semi").select("src", "dst"))
     found = algorithms.degree(nodes.select("node"), edges)
-    found = found.join(algorithms.pagerank(nodes.select("node"), edges), "node").join(algorithms.reachability(nodes, edges), "node")
+    found = found.join(algorithms.pagerank(nodes.select("node"), edges), "node").join(algorithms.reachability(nodes, edges), "node").join(algorithms.betweenness(nodes.select("node"), edges), "node")
+    numbered = nodes.select("node", F.xxhash64("node").alias("key"))
+    by_key = edges.join(numbered.select(F.col("node").alias("src"), F.col("key").alias("a")), "src").join(numbered.select(F.col("node").alias("dst"), F.col("key").alias("b")), "dst")
+    groups = algorithms.communities(numbered.select(F.col("key").alias("node")), by_key.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    groups = numbered.join(groups.withColumnRenamed("node", "key"), "key").join(nodes.select("node", "repo", "number"), "node")
+    # a community is called by the place of its first symbol among the repository's
+    groups = groups.withColumn("communityId", F.min("number").over(Window.partitionBy("repo", "community")).cast("int")).select("node", "repo", "communityId")
+    roles = cut(algorithms.roles(groups, edges))
+    graph["communities"] = cut(upsert.replace_children(graph["communities"], algorithms.community_nodes(roles, edges).withColumn("coveragePct", F.lit(None).cast("double")).select(*graph["communities"].columns), ["repo"], due))
+    found = found.join(roles.select("node", "communityId", F.col("role").alias("communityRole")), "node")
     graph["symbols"] = cut(upsert.merge_columns(symbols, found.withColumnRenamed("node", "id"), ["id"]).drop("id"))
-    return {"symbols": graph["symbols"].count()}
+    graph.upsert("metrics_meta", due.select("repo", F.col("n").alias("lastEdgeCount"), F.current_timestamp().alias("updatedAt")))
+    graph["metrics_meta"] = cut(graph["metrics_meta"])
+    return {"repos": due.count(), "symbols": nodes.count()}
 
 
 def _classes(graph: GraphBundle) -> dict:
@@ -72,7 +142,36 @@ def _errors(graph: GraphBundle) -> dict:
     return {"throws": graph["throws"].count()}
 
 
-PASSES = [Pass("structural-metrics", _metrics), Pass("classification", _classes, needs=("structural-metrics",)), Pass("behavioral-edges", _errors)]
+def _tests(graph: GraphBundle) -> dict:
+    found = passes.test_asserts(_keyed(graph), graph["calls"].select("src", "dst"))
+    graph["test_asserts"] = cut(found.select(F.col("test_key").alias("test"), F.col("prod_key").alias("symbol"), "testFile", "coverageKind"))
+    return {"edges": graph["test_asserts"].count()}
+
+
+def _governs(graph: GraphBundle) -> dict:
+    declared = documents.declared_symbols(graph["documents"])
+    symbols = _keyed(graph).select("sym_key", "repo", "filePath", "name")
+    found = passes.governs(declared, graph["documents"].select("path"), symbols)
+    graph["governs"] = cut(found.select("doc_path", F.col("sym_key").alias("symbol")))
+    return {"edges": graph["governs"].count()}
+
+
+def _stale(graph: GraphBundle) -> dict:
+    """Summaries made from another content than their symbol's are marked."""
+    now = identified(graph["symbols"]).select(F.col("id").alias("symbolFqn"), "hash")
+    rows = graph["symbol_summaries"].join(now, "symbolFqn", "left")
+    graph["symbol_summaries"] = cut(rows.withColumn("stale", ~F.col("hash").eqNullSafe(F.col("contentHash"))).drop("hash"))
+    return {"stale": graph["symbol_summaries"].where("stale").count()}
+
+
+PASSES = [
+    Pass("structural-metrics", _metrics),
+    Pass("classification", _classes, needs=("structural-metrics",)),
+    Pass("behavioral-edges", _errors),
+    Pass("test-asserts", _tests),
+    Pass("governs", _governs),
+    Pass("stale-summaries", _stale),
+]
 
 
 def analyse(graph: GraphBundle, extra: list[Pass] | None = None, timeout: float = 300.0) -> list[Record]:
@@ -83,21 +182,150 @@ def _keyed(graph: GraphBundle) -> DataFrame:
     return identified(graph["symbols"]).withColumn("sym_key", F.col("id"))
 
 
+def _one(df: DataFrame, key: str) -> DataFrame:
+    return df.where((F.col("id") == key) | (F.col("name") == key)).limit(1)
+
+
+def _details(g: GraphBundle, key: str) -> DataFrame:
+    modules = g["modules"].select("repo", F.col("path").alias("filePath"), F.col("path").alias("module"), "moduleSystem", "isBarrel")
+    summary = g["symbol_summaries"].select(F.col("symbolFqn").alias("id"), "purpose", "tier", "stale")
+    return _one(_keyed(g), key).join(modules, ["repo", "filePath"], "left").join(summary, "id", "left")
+
+
+def _context(g: GraphBundle, key: str) -> DataFrame:
+    chosen = _one(_keyed(g), key)
+    docs = g["documented_by"].unionByName(g["governs"]).select("doc_path", F.col("symbol").alias("sym_key"))
+    own = chosen.select("sym_key")
+    near = g["calls"].select("src", "dst").join(own, (F.col("src") == F.col("sym_key")) | (F.col("dst") == F.col("sym_key")), "left_semi")
+    ends = near.select(F.explode(F.array("src", "dst")).alias("sym_key")).unionByName(own).distinct()
+    around = _keyed(g).join(ends, "sym_key", "left_semi")
+    found = tools.symbol_context(around, near, g["symbol_summaries"], docs, F.col("architecturalLayer"))
+    return found.join(own, "sym_key", "left_semi")
+
+
+def _community(g: GraphBundle, community: int | None = None, repo: str | None = None, name: str | None = None, vector: list[float] | None = None) -> DataFrame:
+    """A community by its id, else the nearest summary's, else one whose name holds ``name``: its first ten members."""
+    chosen = g["community_summaries"].select("repo", "communityId", "name", "embedding")
+    if community is not None:
+        chosen = g["symbols"].where(F.col("communityId") == community).select("repo", "communityId").distinct()
+        chosen = chosen if repo is None else chosen.where(F.col("repo") == repo)
+    elif vector is not None:
+        chosen = tools.vector_top_k(vector, chosen, 1, tie="communityId").select("repo", "communityId")
+    else:
+        chosen = chosen.where(F.contains("name", F.lit(name or ""))).orderBy("repo", "communityId").limit(1).select("repo", "communityId")
+    members = summaries.community(_keyed(g), g["symbol_summaries"]).join(chosen, ["repo", "communityId"], "left_semi")
+    purposes = g["symbol_summaries"].select(F.col("symbolFqn").alias("id"), "purpose")
+    return members.where("at <= 10").join(purposes, "id", "left").select("repo", "communityId", "at", "id", "name", "pageRank", "hasSummary", "tier", "purpose")
+
+
+def ready(g: GraphBundle, table: str, dimension: int | None = None) -> bool:
+    """Whether a table has vectors, all of the dimension if one is given."""
+    sizes = [r[0] for r in g[table].where("embedding IS NOT NULL").select(F.size("embedding").alias("n")).distinct().limit(2).collect()]
+    return bool(sizes) and (dimension is None or sizes == [dimension])
+
+
+def _semantic(g: GraphBundle, vector: list[float] | None, kind: str = "symbol", k: int = 5) -> DataFrame:
+    """The nearest summaries of symbols or communities; none without a vector or an index of its dimension."""
+    table, tie = {"symbol": ("symbol_summaries", "symbolFqn"), "community": ("community_summaries", "communityId")}[kind]
+    rows = g[table].where("embedding IS NOT NULL")
+    if not vector or not ready(g, table, len(vector)):
+        return rows.withColumn("score", F.lit(0.0)).limit(0)
+    return tools.vector_top_k(vector, rows, k, tie=tie)
+
+
+def _in_doc(g: GraphBundle, path: str) -> DataFrame:
+    """Symbols that a document governs or documents."""
+    links = [g[t].where(F.col("doc_path") == path).select("symbol", F.lit(t).alias("link")) for t in ("governs", "documented_by")]
+    return links[0].unionByName(links[1]).join(_keyed(g).withColumnRenamed("id", "symbol"), "symbol").select("symbol", "name", "link").distinct()
+
+
+def _topology(g: GraphBundle, repo: str | None = None) -> DataFrame:
+    pick = lambda df: df if repo is None else df.where(F.col("repo") == repo)
+    calling = g["calls_service"].select(F.substring_index("symbol", ":", 1).alias("repo"), F.regexp_extract("symbol", "^[^:]*:(.*)#", 1).alias("module"), "service")
+    return tools.service_topology(pick(g["external_services"]), pick(g["imports_service"]).select("repo", "module", "service"), pick(calling))
+
+
+def _search_docs(g: GraphBundle, query: str, limit: int = 10, min_score: float = 0.0, filters: dict[str, str] | None = None) -> DataFrame:
+    """Documents by the share of the query's words that they have; no concepts and no scratchpad."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.lit(query)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    rows = doc_writes.index_rows(g["documents"]).where(~doc_writes.hidden(F.col("path")))
+    have = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    score = F.size(F.array_intersect(words, have)) / F.greatest(F.size(words), F.lit(1))
+    found = doc_writes.filtered(rows.withColumn("score", score).where("score > 0"), filters, min_score)
+    return found.orderBy(F.desc("score"), "path").limit(tools.clamp(limit, 100)).drop("text")
+
+
+def _reconcile(g: GraphBundle, prefix: str = "") -> DataFrame:
+    """Resolves the references of documents that changed, writes the edges, and counts how they resolved."""
+    docs = cut(documents.to_scan(g["documents"], prefix))
+    found = cut(documents.resolve(documents.references(docs), _keyed(g).select("id", "repo", "filePath", "name"), g["modules"].select("path")))
+    documented, refs = documents.reference_edges(found, ["channel", "name", "how"])
+    for name, rows in (("documented_by", documented), ("doc_references", refs)):
+        g[name] = cut(g[name].join(docs.select(F.col("path").alias("doc_path")), "doc_path", "left_anti"))
+        g.upsert(name, rows)
+    g["documents"] = cut(upsert.merge_columns(g["documents"], docs.select("path", F.col("hash").alias("lastEnrichedHash")), ["path"]))
+    return found.groupBy("how", "channel").agg(F.count("*").alias("n"))
+
+
+def _write(g: GraphBundle, change: Callable[..., DataFrame], *rows: DataFrame) -> DataFrame:
+    g["documents"] = cut(change(g["documents"], *rows))
+    return g["documents"]
+
+
+def _doc(g: GraphBundle, path: str, body: str) -> DataFrame:
+    return g.spark.createDataFrame([(path, body)], "path string, body string")
+
+
+def _found(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise KeyError(f"not found: {what}")
+    return df
+
+
+def _recompute(g: GraphBundle) -> DataFrame:
+    g["metrics_meta"] = g["metrics_meta"].where("false")
+    return as_table(g.spark, run(g, PASSES[:1]), "all")
+
+
+def _mentions(g: GraphBundle) -> DataFrame:
+    return g["mentioned_in"].groupBy(F.col("concept").alias("id")).agg(F.count("*").alias("mentionCount"))
+
+
 #: Tools by name: a function of the graph and its parameters.
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "graph.findSymbol": lambda g, **p: tools.find_symbol(_keyed(g), **p),
+    "graph.symbolDetails": _details,
     "graph.callers": lambda g, key, depth=3: tools.related(_keyed(g), g["calls"], key, depth),
     "graph.callees": lambda g, key, depth=3: tools.related(_keyed(g), g["calls"], key, depth, callers=False),
     "graph.impactOf": lambda g, key, depth=3: tools.impact_of(_keyed(g), g["calls"], g["throws"].withColumnRenamed("symbol", "sym_key"), key, depth),
     "graph.moduleGraph": lambda g, repo, prefix=None, limit=50: tools.module_graph(g["modules"], g["imports"], repo, prefix, limit),
     "graph.listServices": lambda g, repo=None: g["external_services"].where(F.lit(repo is None) | (F.col("repo") == repo)).orderBy("repo", "name"),
+    "graph.serviceTopology": _topology,
+    "graph.symbolContext": _context,
+    "graph.communityContext": _community,
+    "graph.semanticSearch": _semantic,
+    "graph.symbolsInDoc": _in_doc,
     "graph.relatedDocs": lambda g: tools.related_docs(g["governs"].unionByName(g["documented_by"]), g["documents"], ["symbol"]),
+    "graph.query": lambda g, text: _open(g, text),
     "docs.list": lambda g, prefix="": g["documents"].where(F.col("path").startswith(prefix) & (F.lit(prefix.startswith("concepts/")) | ~F.col("path").startswith("concepts/"))),
-    "docs.read": lambda g, path: g["documents"].where(F.col("path") == path),
-    "concepts.list": lambda g: g["concepts"].join(g["mentioned_in"].groupBy(F.col("concept").alias("id")).agg(F.count("*").alias("mentionCount")), "id", "left").select("id", "name", F.coalesce("mentionCount", F.lit(0)).alias("mentionCount"), "updatedAt"),
+    "docs.read": lambda g, path: _found(g["documents"].where(F.col("path") == path), path),
+    "docs.create": lambda g, path, body: _write(g, doc_writes.created, _doc(g, path, body)),
+    "docs.update": lambda g, path, body: _write(g, doc_writes.updated, _doc(g, path, body)),
+    "docs.delete": lambda g, path: _write(g, doc_writes.deleted, _doc(g, path, "")),
+    "docs.propose": lambda g, name, body: _write(g, doc_writes.proposed, _doc(g, name, body).withColumnRenamed("path", "name")),
+    "docs.search": _search_docs,
+    "docs.listTemplates": lambda g: g["templates"].select("name").orderBy("name"),
+    "docs.applyTemplate": lambda g, template, path, **values: _write(g, lambda docs, wanted: doc_writes.from_template(docs, g["templates"], wanted, list(values)), g.spark.createDataFrame([(path, template, *map(str, values.values()))], ["path", "template", *values])),
+    "concepts.list": lambda g: g["concepts"].join(_mentions(g), "id", "left").select("id", "name", F.coalesce("mentionCount", F.lit(0)).alias("mentionCount"), "updatedAt"),
+    "concepts.read": lambda g, id: _found(g["concepts"].where(F.col("id") == id).drop("embedding"), id),
+    "admin.docGraphRun": _reconcile,
     "admin.passRunHistory": lambda g, repo, limit=50: g["pass_runs"].where(F.col("repo") == repo).orderBy(F.desc("startedAt"), "pass").limit(tools.clamp(limit, 200)),
     "admin.diagnostics": lambda g: tools.diagnostics({n: g[n] for n in ("symbols", "modules", "documents")}),
-    "graph.query": lambda g, text: _open(g, text),
+    "admin.recomputeMetrics": _recompute,
+    "admin.summarizationCoverage": lambda g, repo: tools.coverage(_keyed(g).where(F.col("repo") == repo).join(g["symbol_summaries"].select(F.col("symbolFqn").alias("id"), "tier", "stale"), "id", "left"), ["repo"]),
+    "summaries.getCommunity": lambda g, repo, community: summaries.community(_keyed(g), g["symbol_summaries"]).where((F.col("repo") == repo) & (F.col("communityId") == community)).orderBy("at"),
+    "summaries.getNode": lambda g, key: summaries.node_details(_one(_keyed(g), key), g["throws"], g["calls_service"], g["reads_config"], g["test_asserts"]),
+    "summaries.getExisting": lambda g, key: summaries.existing(g["symbol_summaries"], key),
 }
 
 

@@ -77,11 +77,36 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in algorithms.components(nodes, edges).collect()} == want
 
 
+def quality(of, pairs):
+    """Modularity of an undirected multigraph, by its definition."""
+    m, inside, degree = len(pairs), 0, {}
+    for a, b in pairs:
+        inside += of[a] == of[b]
+        for v in (a, b):
+            degree[of[v]] = degree.get(of[v], 0) + 1
+    return inside / m - sum((k / (2 * m)) ** 2 for k in degree.values())
+
+
 def test_communities_of_two_cliques(spark):
     pairs = [(a, b) for c in (range(5), range(5, 10)) for a in c for b in c if a < b] + [(4, 5)]
-    nodes = spark.createDataFrame([(i,) for i in range(10)], "node long")
-    got = {r["node"]: r["community"] for r in algorithms.label_communities(nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
-    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1
+    nodes = spark.createDataFrame([(i,) for i in range(11)], "node long")
+    got = {r["node"]: r["community"] for r in algorithms.communities(nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(5, 10), 5), 10: 10}
+
+
+def test_communities_are_as_good_as_planted_ones_and_connected(spark):
+    rng = random.Random(7)
+    group = {v: v // 15 for v in range(60)}
+    pairs = [(a, b) for a in range(60) for b in range(60) if a != b and rng.random() < (0.3 if group[a] == group[b] else 0.015)]
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    found = algorithms.communities(spark.createDataFrame([(i,) for i in range(60)], "node long"), df).cache()
+    got = {r["node"]: r["community"] for r in found.collect()}
+    assert set(got) == set(range(60)) and all(got[c] == c for c in got.values())
+    assert quality(got, pairs) >= quality(group, pairs) - 0.02
+    inside = [p for p in pairs + [(b, a) for a, b in pairs] if got[p[0]] == got[p[1]]]
+    assert all(set(bfs(60, inside, [c])) == {v for v in got if got[v] == c} for c in set(got.values()))
+    both = df.union(df.select("dst", "src")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    assert algorithms.modularity(both, found) == pytest.approx(quality(got, pairs))
 
 
 def test_roles_with_null_community(spark):
