@@ -7,8 +7,8 @@ densification). Documents with the same set are one class, of which only the fir
 copies are never paired. A band of bins is a bucket key.
 
 Candidates of a bucket are not all its pairs, but a star: its centre is the member that shares
-most buckets with others, each spoke is confirmed on the full sets, and links make components. In
-buckets that hold several components further stars are made about texts outside the commonest. What stars can miss is a link between two texts of a bucket that are in different components
+most buckets with others, each spoke is confirmed on the full sets, and links make components.
+What stars can miss is a link between two texts of a bucket that are in different components
 then. Those pairs follow in one more step, made only where both texts have a rare shingle in
 common (an exact prefix filter), so that no bucket is expanded into its pairs. Thus any two
 texts of a bucket are linked if similar enough, or compared, or can't be similar enough.
@@ -45,12 +45,11 @@ from graphloom.llm.components import components
 
 @dataclass(frozen=True)
 class Params:
-    """``percent``: least similarity; ``more_stars``: rounds of further stars before pairs are made; ``filter_bits``: size of the filter of ids, a power of 2."""
+    """``percent``: least similarity; ``filter_bits``: size of the filter of ids, a power of 2."""
 
     words: int = 5
     percent: int = 80
     bands: int = 42
-    more_stars: int = 2
     rows: int = 6
     filter_bits: int = 25
     cached_words: int = 400_000
@@ -210,13 +209,16 @@ def _with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> Data
     """``rows`` joined with ``facts``, one row a key, whose ``count`` is the number of the key's rows.
 
     Rows of hot keys aren't dealt by the key, which would send them to one task: the facts of hot
-    keys, at most ``HOT``, are broadcast to them.
+    keys, at most ``HOT`` by arithmetic, are broadcast to them.
     """
     total = rows.count()
     is_hot = F.col(count) * HOT >= total
-    hot = F.broadcast(facts.where(is_hot))
-    cold = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "left_anti").join(facts.where(~is_hot), key)
-    return rows.join(hot, key).unionByName(cold)
+    hot = facts.where(is_hot)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(facts, key)
+    cold = rows.where(~F.col(key).isin(keys)).join(facts.where(~is_hot), key)
+    return rows.where(F.col(key).isin(keys)).join(F.broadcast(hot), key).unionByName(cold)
 
 
 def _open(rows: DataFrame, key: str) -> DataFrame:
@@ -230,11 +232,10 @@ def _like_sized(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
 
-def _stars(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """A pair of each member of a bucket with the bucket's centre, the weightiest of ``centres``."""
-    first = F.min(F.when(F.col("central"), F.struct((-F.col("weight")).alias("w"), "node", "n")))
-    marked = members.withColumn("central", centres)
-    hubs = checkpointed(marked.groupBy("key").agg(first.alias("h"), F.count("*").alias("size")).where("h IS NOT NULL").select("key", "size", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """A pair of each member of a bucket with the bucket's centre."""
+    first = F.min(F.struct((-F.col("weight")).alias("w"), "node", "n"))
+    hubs = checkpointed(members.groupBy("key").agg(first.alias("h"), F.count("*").alias("size")).select("key", "size", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
     pairs = _with_facts(members, hubs, "key", "size").where((F.col("node") != F.col("hub")) & _like_sized("n", "hub_n", percent))
     return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
@@ -276,23 +277,12 @@ def _labels(rows: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     members = checkpointed(members.select("key", "node", "n").join(weight, "node"))
     sets = checkpointed(_sets(rows, members.select("node").distinct(), params))
-    stars = checkpointed(_stars(members, F.lit(True), params.percent))
+    stars = checkpointed(_stars(members, params.percent))
     links = checkpointed(_confirmed(stars, sets, params.percent))
     labels = components(links)
-    for turn in range(params.more_stars + 1):
-        labelled = checkpointed(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        rest = checkpointed(_open(labelled, "key"))
-        if turn == params.more_stars or rest.isEmpty():
-            break
-        # one more star in each bucket that is not one component yet, about a text outside its commonest
-        pairs = checkpointed(_stars(rest.drop("size"), F.col("label") != F.col("main"), params.percent).join(stars, ["u", "v"], "left_anti"))
-        stars = checkpointed(stars.unionByName(pairs))
-        more = checkpointed(_confirmed(pairs, sets, params.percent))
-        if more.isEmpty():
-            break
-        links = checkpointed(links.unionByName(more))
-        labels = components(links)
-    pairs = _across(rest.select("key", "node", "n", "label"), sets, params.percent).join(stars, ["u", "v"], "left_anti")
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = checkpointed(_open(checkpointed(members), "key").select("key", "node", "n", "label"))
+    pairs = _across(members, sets, params.percent).join(stars, ["u", "v"], "left_anti")
     more = checkpointed(_confirmed(checkpointed(pairs), sets, params.percent))
     return labels if more.isEmpty() else components(links.unionByName(more))
 
