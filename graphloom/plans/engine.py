@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
@@ -70,6 +70,10 @@ def _symbols(changed: DataFrame, comments: DataFrame) -> DataFrame:
     return rows.join(above, ["repo", "filePath", "lineStart"], "left")
 
 
+def _as_key(pattern: str) -> Callable[[Column], Column]:
+    return lambda key: F.struct(key.alias("key"), F.lit(pattern).alias("accessPattern"))
+
+
 def _behaviour(graph: GraphBundle, facts: DataFrame, imports: DataFrame, references: DataFrame, changed: DataFrame) -> None:
     """Errors, configuration, flags and services of the changed files' symbols."""
     thrown = facts.select(F.col("id").alias("symbol"), F.explode("throwTypes").alias("errorType"))
@@ -77,7 +81,7 @@ def _behaviour(graph: GraphBundle, facts: DataFrame, imports: DataFrame, referen
     graph.upsert("error_flows", graph["throws"].select(F.substring_index("symbol", ":", 1).alias("repo"), "errorType").distinct())
     caught = facts.select(F.col("id").alias("symbol"), F.explode(parsing.caught(F.col("body"))).alias("c")).select("symbol", "c.errorType", "c.catchBlock")
     _renew(graph, "catches", caught, "symbol", changed)
-    keys = F.concat(*[F.transform(f(F.col("body")), lambda k, p=p: F.struct(k.alias("key"), F.lit(p).alias("accessPattern"))) for f, p in ((extraction.env_keys, "process.env"), (extraction.config_keys, "config.get"))])
+    keys = F.concat(*[F.transform(f(F.col("body")), _as_key(p)) for f, p in ((extraction.env_keys, "process.env"), (extraction.config_keys, "config.get"))])
     read = facts.select("repo", F.col("id").alias("symbol"), F.inline(keys))
     graph.upsert("config_items", read.select("repo", "key").distinct())
     _renew(graph, "reads_config", read.drop("repo"), "symbol", changed)

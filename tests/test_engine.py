@@ -56,7 +56,7 @@ def test_files_are_those_of_code(graph, spark):
 
 def test_symbols(graph):
     found = rows(graph["symbols"].where("filePath = 'src/app.js'"), "name", "kind", "isExported", "isAsync", "lineStart", "lineEnd")
-    assert found == {("main", "function", True, True, 5, 9), ("load", "function", False, False, 10, 13), ("Box", "class", True, False, 14, 16), ("later", "function", False, False, 17, 18)}
+    assert found == {("main", "function", True, True, 5, 9), ("load", "function", False, False, 10, 13), ("Box", "class", True, False, 14, 16), ("later", "function", False, False, 17, 17)}
 
 
 def test_imports_and_packages(graph):
@@ -84,7 +84,7 @@ def test_index_is_idempotent(graph, spark):
 
 def test_passes_and_tools(graph, spark):
     records = engine.analyse(graph)
-    assert [r.status for r in records] == ["success"] * 3, records
+    assert [r.status for r in records] == ["success"] * 6, records
     got = {r["name"]: r for r in graph["symbols"].collect()}
     assert (got["main"]["fanOut"], got["load"]["fanIn"], got["load"]["depthFromEntry"]) == (2, 1, 1)
     assert ("r:src/app.js#main", "NotFound", True) in rows(graph["throws"], "symbol", "errorType", "propagated")
@@ -142,6 +142,84 @@ def test_comments_and_docstrings(spark):
     assert df.select(extraction.docstring(F.col("text"))).first()[0] == "Adds.\ntwo numbers"
 
 
+PAY = """/** Pays. */
+import { SQSClient } from '@aws-sdk/client-sqs';
+/**
+ * Charges a card.
+ * @param x
+ */
+function charge(x) {
+  if (flags.isEnabled('new-pay')) { return process.env.PAY_URL; }
+  try { send(x); } catch (e) { if (e instanceof Declined) { throw new Refused(); } }
+}
+function send(x) { return new SQSClient(x, 1); }
+const twin = () => charge(1);
+export { charge, twin as pay };
+"""
+TEST = "import { charge } from './pay.js';\nfunction check() {\n  charge(2);\n}\n"
+
+
+def test_index_writes_all_facts_and_replaces_them(spark):
+    table = lambda text: spark.createDataFrame([("r", "src/pay.js", str(hash(text)), text), ("r", "src/pay.test.js", "t", TEST)], "repo string, filePath string, hash string, text string")
+    g = GraphBundle(spark)
+    engine.index(g, table(PAY))
+    charge = "r:src/pay.js#charge"
+    assert rows(g["modules"].where("docstring IS NOT NULL"), "path", "docstring", "language") == {("src/pay.js", "Pays.", "javascript")}
+    assert rows(g["symbols"].where("name = 'charge'"), "isExported", "exportKind", "docstring", "signature") == {(True, "named", "Charges a card.", "function charge(x)")}
+    assert rows(g["catches"], "symbol", "errorType") == {(charge, "Declined")}
+    assert rows(g["throws"], "symbol", "errorType") == {(charge, "Refused")} and rows(g["error_flows"], "errorType") == {("Refused",)}
+    assert rows(g["reads_config"], "symbol", "key", "accessPattern") == {(charge, "PAY_URL", "process.env")} and rows(g["config_items"], "key") == {("PAY_URL",)}
+    assert rows(g["reads_flag"], "symbol", "flag", "checkKind") == {(charge, "new-pay", "is-enabled")} and rows(g["flags"], "name", "providerHint") == {("new-pay", "unleash")}
+    assert rows(g["external_services"], "name", "protocol") == {("sqs", "amqp")} or g["external_services"].count() == 1
+    assert rows(g["imports_service"], "module") == {("src/pay.js",)} and rows(g["calls_service"], "symbol") == {("r:src/pay.js#send",)}
+    assert ("s0", "module") in rows(g["scopes"], "scopeId", "kind") and g["comments"].count() == 2 and g["code_references"].count() > 10
+    assert ("SQSClient", 2, True) in rows(g["call_sites"], "calleeExpression", "argumentCount", "isNewExpression")
+    records = engine.analyse(g)
+    assert [r.status for r in records] == ["success"] * 6, records
+    assert rows(g["test_asserts"], "test", "symbol") >= {("r:src/pay.test.js#check", charge)}
+    assert {r["repo"] for r in g["metrics_meta"].collect()} == {"r"} and g["communities"].agg(F.sum("size")).first()[0] == 4
+    assert engine.PASSES[0].run(g) == {"repos": 0}  # no calls have changed since
+    assert engine.call(g, "graph.symbolDetails", key="charge").first()["module"] == "src/pay.js"
+    assert engine.call(g, "graph.serviceTopology").count() == 1 and engine.call(g, "graph.symbolContext", key="charge").first()["callers"] == "check,twin"
+    node = engine.call(g, "summaries.getNode", key="charge").first()
+    assert (node["thrownTypes"], node["configKeys"], node["testCoverage"]) == (["Refused"], ["PAY_URL"], True)
+    community = g["symbols"].where("name = 'charge'").first()["communityId"]
+    assert ("charge",) in rows(engine.call(g, "graph.communityContext", community=community), "name")
+    assert engine.call(g, "graph.semanticSearch", vector=None).count() == 0 and not engine.ready(g, "symbol_summaries")
+    # a file that lost a symbol loses its facts
+    engine.index(g, table("export const nothing = 1;\n"))
+    for name in ("throws", "catches", "reads_config", "reads_flag", "calls_service", "imports_service", "comments"):
+        assert g[name].count() == 0, name
+    assert rows(g["symbols"].where("filePath = 'src/pay.js'"), "name") == {("nothing",)}
+
+
+def test_documents_through_tools(spark):
+    g = GraphBundle(spark)
+    g["symbols"] = spark.createDataFrame([("r", "a.js", "LoadUser", "function")], "repo string, filePath string, name string, kind string")
+    for c in [c for c in GraphBundle(spark)["symbols"].columns if c not in g["symbols"].columns]:
+        g["symbols"] = g["symbols"].withColumn(c, F.lit(None).cast(GraphBundle(spark)["symbols"].schema[c].dataType))
+    body = "---\ntitle: T\ntype: adr\nstatus: current\nauthor: me\ncreated: 2024-01-01\nupdated: 2024-01-02\nsymbols:\n  - r:a.js#LoadUser\n---\n# Head\nSee `LoadUsers` and the *payment* flow.\n"
+    engine.call(g, "docs.create", path="x/one.md", body=body)
+    with pytest.raises(ValueError):
+        engine.call(g, "docs.create", path="x/one.md", body=body)
+    assert (engine.call(g, "docs.read", path="x/one.md").first()["type"], engine.call(g, "docs.list").count()) == ("adr", 1)
+    engine.call(g, "docs.propose", name="idea", body="# Idea of payment")
+    assert rows(g["documents"].where("status = 'proposed'"), "path") == {(".claude/proposals/idea.md",)}
+    assert [r["path"] for r in engine.call(g, "docs.search", query="payment flow").collect()] == ["x/one.md", ".claude/proposals/idea.md"]
+    assert rows(engine.call(g, "docs.search", query="payment", filters={"type": "adr"}), "path") == {("x/one.md",)}
+    assert rows(engine.call(g, "admin.docGraphRun"), "how", "channel", "n") == {("exact", "frontmatter", 1), ("fuzzy", "inline", 1)}
+    assert rows(g["documented_by"], "doc_path", "symbol") == {("x/one.md", "r:a.js#LoadUser")}
+    assert engine.call(g, "admin.docGraphRun").count() == 0  # nothing changed since
+    assert rows(engine.call(g, "graph.symbolsInDoc", path="x/one.md"), "name", "link") == {("LoadUser", "documented_by")}
+    g["templates"] = spark.createDataFrame([("t", "# {{a}} {{b}}")], "name string, body string")
+    engine.call(g, "docs.applyTemplate", template="t", path="y.md", a="A")
+    assert engine.call(g, "docs.read", path="y.md").first()["body"] == "# A {{b}}"
+    engine.call(g, "docs.delete", path="y.md")
+    engine.call(g, "docs.delete", path="y.md")
+    with pytest.raises(KeyError):
+        engine.call(g, "docs.read", path="y.md")
+
+
 def ok(_):
     return {"n": 1}
 
