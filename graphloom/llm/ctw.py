@@ -48,10 +48,10 @@ class Params:
     to pack them; ``frequent``: at most so many words are broadcast."""
 
     depth: int = 6
-    chunk: int = 12 << 20
+    chunk: int = 8 << 20
     frequent: int = 1 << 20
-    flush: int = 500_000
-    packed: int = 32 << 20
+    flush: int = 300_000
+    packed: int = 16 << 20
     held_grams: int = 1_500_000
 
 
