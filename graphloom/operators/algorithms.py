@@ -159,16 +159,13 @@ def _gains(graph: DataFrame, of: DataFrame, gamma: float, total: float) -> DataF
 def modularity(graph: DataFrame, of: DataFrame, gamma: float = 1.0) -> float:
     """Of communities (node, community) in an undirected graph given as both directions of its edges (src, dst, w)."""
     a, b = of.select(F.col("node").alias("src"), F.col("community").alias("a")), of.select(F.col("node").alias("dst"), F.col("community").alias("b"))
-    total = graph.agg(F.sum("w")).first()[0] or 0.0
-    if not total:
-        return 0.0
-    rows = graph.join(a, "src").join(b, "dst")
-    inside = rows.where("a = b").agg(F.sum("w")).first()[0] or 0.0
-    squares = rows.groupBy("a").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
-    return inside / total - gamma * squares / total**2
+    rows = graph.join(a, "src").join(b, "dst").groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))).alias("i"))
+    found = rows.agg(F.sum("k"), F.sum("i"), F.sum(F.col("k") * F.col("k"))).first()
+    total = found[0] or 0.0
+    return (found[1] or 0.0) / total - gamma * found[2] / total**2 if total else 0.0
 
 
-def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, max_rounds: int = 20) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, max_rounds: int = 8) -> DataFrame:
     """``community`` of each node by modularity on undirected edges, as Leiden's method in rounds.
 
     In a round half of the nodes, by a hash, move to the community of the greatest gain; rounds

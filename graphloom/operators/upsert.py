@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same key.
 
-    If a key repeats in ``new`` the row greatest in ``order`` stays, then the greatest in all.
+    If a key repeats in ``new`` the row greatest in ``order`` stays, then the greatest in all. A null
+    in a key is like any other value.
     """
     rest = [c for c in new.columns if c not in keys]
     by = F.struct(*([F.col(order).alias("__order")] if order else []), *rest)
     last = new.groupBy(*keys).agg(F.max(by).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in rest])
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last.select(*old.columns))
+    fresh = last.select(*[F.col(k).alias(f"new {k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"new {k}")) for k in keys])
+    return old.join(fresh, same, "left_anti").unionByName(last.select(*old.columns))
 
 
 def merge_columns(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -296,7 +296,7 @@ def community_nodes(g: Graph) -> DataFrame:
 
 @query()
 def betweenness(g: Graph) -> DataFrame:
-    return algorithms.betweenness(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), rounded("betweenness").alias("betweenness"))
+    return algorithms.betweenness(nodes(g), edges(g), samples=500).select(F.col("node").alias("sym_key"), rounded("betweenness").alias("betweenness"))
 
 
 @query()
