@@ -102,6 +102,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 5000, block:
     level, so no task or driver holds a graph.
     """
     pairs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    nodes = cut(nodes.select("node"))
     n_nodes = nodes.count()
     share = min(1.0, samples / max(1, n_nodes))
     sources = nodes.select(F.col("node").alias("s")).where(F.pmod(F.xxhash64("s"), F.lit(1 << 30)) < share * (1 << 30))
