@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,25 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+class Rounds:
+    """Tables of an iterative job in the shared folder, of which each replaces the one before."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.k = spark, checkpoint_folder(spark, f"{name}-{uuid.uuid4().hex}"), 0
+
+    def _path(self, k: int) -> str:
+        return f"{self.folder}/round-{k}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back; the table before the last, which ``df`` may have read, is gone then."""
+        self.k += 1
+        df.write.mode("overwrite").parquet(self._path(self.k))
+        self.drop(self.k - 1)
+        return self.spark.read.schema(df.schema).parquet(self._path(self.k))
+
+    def drop(self, k: int) -> None:
+        """Removes the table of round ``k``, whatever file system it is on."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(k))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
