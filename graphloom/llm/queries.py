@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, secrets, sentencepiece_codec, topk, url_filter
+from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, secrets, sentencepiece_codec, topk, url_filter, vector_codes
 from graphloom.llm.common import is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,30 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sentencepiece_codec.decode(docs, path, text_out="decoded")
     digest = F.crc32(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_error(vector_codes.encode(read(spark, sf_dir, "embeddings")))
+
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one by one; doubles are exact for whole numbers of this size."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k.part, e[k.part * (len(e) // 4) + 1 : (k.part + 1) * (len(e) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part) k),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 256) USING (vec_id))"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), entry := entry)) AS best
+  FROM p JOIN c{k} USING (part) GROUP BY vec_id, part)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS MATERIALIZED (SELECT part, entry, list(m ORDER BY place) AS m FROM (
+  SELECT part, best.entry AS entry, place, floor(sum(x[place]) / count(*)) AS m FROM a{k} JOIN p USING (vec_id, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS place) GROUP BY ALL) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{k} LEFT JOIN m{k} USING (part, entry))""")
+    return "WITH " + ",\n".join(parts) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT r.vec_id, v.label, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), h"""
+
+
+ORACLES["op12_vector_codes"] = _vector_codes_sql()
