@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, secrets, sentencepiece_codec, topk, url_filter, vector_codes
-from graphloom.llm.common import is_remainder, read, remainder
+from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter, vector_codes
+from graphloom.llm.common import checkpointed, is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,55 @@ SELECT r.vec_id, v.label, code, error, CAST(sum(error) OVER (PARTITION BY v.labe
 
 
 ORACLES["op12_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``votes``: + good, - bad, 0 abstains, in order of the rules."""
+    found = checkpointed(quality.measured(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    model = quality.fit(found)
+    votes = F.array_join(F.transform("votes", lambda v: F.when(v == 1, "+").when(v == -1, "-").otherwise("0")), "")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", quality.kept(F.col("votes"), F.col("base_failed"), model).alias("kept"), votes.alias("votes"))
+
+
+def _quality_sql(p: quality.Params = quality.Params()) -> str:
+    """The counts, the votes, and expectation-maximisation as a recursive query over the patterns of votes."""
+    gap, n = r"\x20\x09-\x0D", len(quality.RULES)
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in quality.RULES)
+    odds = f"ln(share / (1 - share)) + list_sum(list_transform(range(1, {n + 1}), lambda i: CASE votes[i] WHEN 1 THEN ln(on_good[i] / (1 - on_bad[i])) WHEN -1 THEN ln((1 - on_good[i]) / on_bad[i]) ELSE 0 END))"
+    held = lambda x: f"greatest({1 - p.surest}, least({p.surest}, {x}))"
+    rate = lambda right, wrong, start: held(f"({right} + {p.weight * start}) / ({right} + {wrong} + {p.weight})")
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[{gap}]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{gap}]')) AS lines FROM t),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {p.window - 1}], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(w) - {p.window - 2})) AS i)),
+twice AS (SELECT doc_id, unnest(range(i, i + {p.window})) AS word FROM win WHERE (doc_id, s) IN (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1)),
+rep AS (SELECT doc_id, count(DISTINCT word) AS n_repeat_words FROM twice GROUP BY doc_id),
+m AS MATERIALIZED (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless,
+  len(list_filter(w, lambda x: regexp_full_match(x, '[\p{{L}}\p{{M}}]+(?:[''’-][\p{{L}}\p{{M}}]+)*[.,;:!?]?'))) AS n_plain,
+  len(regexp_extract_all(t, '[^{gap}\p{{L}}\p{{M}}\p{{N}}]{{3,}}')) AS n_runs,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[.!?][{gap}]*\z'))) AS n_ended_lines, len(list_distinct(w)) AS n_distinct,
+  length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_capitals,
+  length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_exclaims
+  FROM w LEFT JOIN rep USING (doc_id)),
+v AS MATERIALIZED (SELECT *, [{votes}] AS votes, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+p AS MATERIALIZED (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v WHERE NOT base_failed GROUP BY votes),
+em AS (SELECT 0 AS k, CAST({p.share} AS DOUBLE) AS share, list_transform(range({n}), lambda i: CAST({p.on_good} AS DOUBLE)) AS on_good, list_transform(range({n}), lambda i: CAST({p.on_bad} AS DOUBLE)) AS on_bad
+  UNION ALL
+  SELECT k + 1, any_value({held(f"(good + {p.weight * p.share}) / (n + {p.weight})")}), list(g ORDER BY i), list(greatest(b, 1 - g) ORDER BY i) FROM (
+    SELECT k, i, sum(n) AS n, sum(good) AS good,
+      {rate("sum(CASE WHEN vote = 1 THEN good ELSE 0 END)", "sum(CASE WHEN vote = -1 THEN good ELSE 0 END)", p.on_good)} AS g,
+      {rate("sum(CASE WHEN vote = -1 THEN n - good ELSE 0 END)", "sum(CASE WHEN vote = 1 THEN n - good ELSE 0 END)", p.on_bad)} AS b
+    FROM (SELECT k, n, unnest(votes) AS vote, unnest(range({n})) AS i, n / (1 + exp(-({odds}))) AS good FROM p, em WHERE k < {p.rounds}) GROUP BY k, i) GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 1 / (1 + exp(-({odds}))) >= {p.least} AS kept,
+  array_to_string(list_transform(votes, lambda x: CASE x WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '0' END), '') AS votes
+FROM v, em WHERE k = {p.rounds}"""
+
+
+ORACLES["op13_quality_rules"] = _quality_sql()
