@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, ctw, language_id, near_dup, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter, vector_codes
+from graphloom.llm import ann, collocations, ctw, language_id, near_dup, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter, vector_codes
 from graphloom.llm.common import checkpointed, is_remainder, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,27 @@ FROM v, em WHERE k = {p.rounds}"""
 
 
 ORACLES["op13_quality_rules"] = _quality_sql()
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS MATERIALIZED (SELECT lang, w[i:i + k - 1] AS ph, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, ph, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k >= 2 AND f >= 10),
+s AS (SELECT c.lang, c.ph, c.k, a, cut, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:cut] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[cut + 1:c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1),
+o AS (SELECT lang, sub, max(f) AS longer FROM (SELECT lang, f, unnest([ph[1:2], ph[2:3]]) AS sub FROM f WHERE k = 3 AND f >= 10) GROUP BY ALL),
+z AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.sub = b.ph WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM z)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
