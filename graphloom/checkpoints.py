@@ -35,21 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """Tables of an iterative job in the shared folder, of which each replaces the one before."""
+    """Tables of an iterative job in the shared folder, of which the last ``keep`` stay (None: all, until cleared)."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.k = spark, checkpoint_folder(spark, f"{name}-{uuid.uuid4().hex}"), 0
+    def __init__(self, spark: SparkSession, name: str, keep: int | None = 1):
+        self.spark, self.folder, self.k, self.keep = spark, checkpoint_folder(spark, f"{name}-{uuid.uuid4().hex}"), 0, keep
 
     def _path(self, k: int) -> str:
         return f"{self.folder}/round-{k}"
 
     def written(self, df: DataFrame) -> DataFrame:
-        """``df`` written and read back; the table before the last, which ``df`` may have read, is gone then."""
+        """``df`` written and read back; ``df`` may read the tables that stay."""
         self.k += 1
         df.write.mode("overwrite").parquet(self._path(self.k))
-        self.drop(self.k - 1)
+        if self.keep:
+            self.drop(self.k - self.keep)
         return self.spark.read.schema(df.schema).parquet(self._path(self.k))
 
+    def clear(self) -> None:
+        """Removes all tables."""
+        for k in range(1, self.k + 1):
+            self.drop(k)
+
     def drop(self, k: int) -> None:
         """Removes the table of round ``k``, whatever file system it is on."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(k))

@@ -142,21 +142,6 @@ def _dependencies(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.groupBy("node").agg(F.sum("part").alias("part"))
 
 
-def _gains(graph: DataFrame, of: DataFrame, gamma: float, total: float) -> DataFrame:
-    """Of each node its own community (``old``) and the one that a move to gains most modularity."""
-    degree = graph.groupBy("src").agg(F.sum("w").alias("k"))
-    known = of.join(degree, of["node"] == degree["src"], "left").select("node", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
-    sizes = known.groupBy("community").agg(F.sum("k").alias("all"))
-    near = graph.where("src <> dst").join(of.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
-    own = known.select("node", F.col("community").alias("old"), "k")
-    asked = near.unionByName(own.select("node", F.col("old").alias("community"), F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-    rows = asked.join(own, "node").join(sizes, "community")
-    others = F.col("all") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
-    rows = rows.withColumn("gain", F.round(F.col("w") - gamma * F.col("k") * others / total, 9))
-    best = rows.groupBy("node", "old").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("community"), F.max("gain").alias("best"), F.max(F.when(F.col("community") == F.col("old"), F.col("gain"))).alias("stay"))
-    return best.select("node", "old", F.when(F.col("best") > F.col("stay"), F.col("community")).otherwise(F.col("old")).alias("community"))
-
-
 def modularity(graph: DataFrame, of: DataFrame, gamma: float = 1.0) -> float:
     """Of communities (node, community) in an undirected graph given as both directions of its edges (src, dst, w)."""
     a, b = of.select(F.col("node").alias("src"), F.col("community").alias("a")), of.select(F.col("node").alias("dst"), F.col("community").alias("b"))
@@ -164,46 +149,3 @@ def modularity(graph: DataFrame, of: DataFrame, gamma: float = 1.0) -> float:
     found = rows.agg(F.sum("k"), F.sum("i"), F.sum(F.col("k") * F.col("k"))).first()
     total = found[0] or 0.0
     return (found[1] or 0.0) / total - gamma * found[2] / total**2 if total else 0.0
-
-
-def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, max_rounds: int = 8) -> DataFrame:
-    """``community`` of each node by modularity on undirected edges, as Leiden's method in rounds.
-
-    In a round half of the nodes, by a hash, move to the community of the greatest gain; rounds
-    go on while modularity grows. Communities that have come apart are then split into connected
-    parts, and the parts become the nodes of the next level's graph, which starts with them in
-    their communities. It ends when a level changes nothing. A community is named by its least node.
-    """
-    both = edges.select("src", "dst").where("src <> dst")
-    graph = cut(both.union(both.select("dst", "src")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
-    total = graph.agg(F.sum("w")).first()[0] or 0.0
-    member = cut(nodes.select("node", F.col("node").alias("part")))  # the part that stands for a node at this level
-    of = member.select("node", F.col("node").alias("community"))
-    if not total:
-        return of
-    for _ in range(max_levels):
-        start = score = modularity(graph, of, gamma)
-        for turn in range(max_rounds):
-            moved = _gains(graph, of, gamma, total)
-            may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-            now = cut(moved.select("node", F.when(may, F.col("community")).otherwise(F.col("old")).alias("community"), "old"))
-            changed = now.where("community <> old").count()
-            now = now.drop("old")
-            found = modularity(graph, now, gamma) if changed else score
-            if found > score + 1e-9:
-                of, score = now, found
-            elif turn % 2:  # both halves had their turn
-                break
-        inside = graph.join(of.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b")
-        parts = cut(components(of.select("node"), inside.select("src", "dst")).withColumnRenamed("component", "upper"))
-        member = cut(member.join(parts, member["part"] == parts["node"]).select(member["node"], F.col("upper").alias("part")))
-        small = parts.select(F.col("node").alias("src"), F.col("upper").alias("a")), parts.select(F.col("node").alias("dst"), F.col("upper").alias("b"))
-        merged = cut(graph.join(small[0], "src").join(small[1], "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-        upper = parts.join(of, "node").groupBy(F.col("upper").alias("node")).agg(F.min("community").alias("c"))
-        names = upper.groupBy("c").agg(F.min("node").alias("community"))
-        of, graph = cut(upper.join(names, "c").select("node", "community")), merged
-        if score <= start + 1e-9:
-            break
-    parts = member.join(of.withColumnRenamed("node", "part"), "part").select("node", "community")
-    names = parts.groupBy("community").agg(F.min("node").alias("least"))
-    return parts.join(names, "community").select("node", F.col("least").alias("community"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.fixtures import Graph, with_views
-from graphloom.operators import algorithms, passes, rules, tools
+from graphloom.operators import algorithms, leiden, passes, rules, tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -301,7 +302,31 @@ def betweenness(g: Graph) -> DataFrame:
 
 @query()
 def communities(g: Graph) -> DataFrame:
-    return algorithms.communities(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), "community")
+    return leiden.leiden(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), "community")
+
+
+@query("""WITH RECURSIVE both AS (SELECT src AS u, dst AS v FROM calls WHERE src <> dst UNION SELECT dst, src FROM calls WHERE src <> dst),
+r AS (SELECT sym_key AS node, sym_key AS reached FROM sym UNION SELECT r.node, both.v FROM r JOIN both ON both.u = r.reached),
+c AS (SELECT node, min(reached) AS component FROM r GROUP BY node)
+SELECT component, count(*) AS symbols, CAST(0 AS BIGINT) AS "leaving", CAST(0 AS BIGINT) AS "apart", CAST(0 AS BIGINT) AS misnamed, true AS "dense" FROM c GROUP BY component""")
+def community_invariants(g: Graph) -> DataFrame:
+    """What holds for communities, for each component: all its symbols are in one, none leaves the component, none
+    is in several parts, each is called by its least symbol; and their modularity is no less than that of components."""
+    of = cut(leiden.leiden(nodes(g), edges(g)))
+    label = lambda a, b: of.select(F.col("node").alias(a), F.col("community").alias(b))
+    inner = edges(g).join(label("src", "a"), "src").join(label("dst", "b"), "dst").where("a = b").select("src", "dst")
+    parts = algorithms.components(of.select("node"), inner).withColumnRenamed("component", "part")
+    whole = cut(algorithms.components(nodes(g), edges(g)))
+    rows = whole.join(of, "node", "left").join(parts, "node", "left")
+    home = whole.select(F.col("node").alias("community"), F.col("component").alias("home"))
+    rows = rows.join(home, "community", "left")
+    graph = edges(g).where("src <> dst")
+    graph = graph.union(graph.select("dst", "src")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    dense = algorithms.modularity(graph, of) >= algorithms.modularity(graph, whole.withColumnRenamed("component", "community"))
+    wrong = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
+    least = F.min("node").over(Window.partitionBy("community"))
+    rows = rows.withColumn("least", least)
+    return rows.groupBy("component").agg(F.count("community").alias("symbols"), wrong(F.col("home") == F.col("component")).alias("leaving"), wrong(F.col("part") == F.col("community")).alias("apart"), wrong(F.col("least") == F.col("community")).alias("misnamed")).withColumn("dense", F.lit(dense))
 
 
 # ---- passes

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
 from graphloom.checkpoints import cut
-from graphloom.operators import algorithms, doc_writes, documents, extraction, parsing, passes, summaries, tools, upsert
+from graphloom.operators import algorithms, doc_writes, documents, extraction, leiden, parsing, passes, summaries, tools, upsert
 from graphloom.plans.runner import Pass, Record, as_table, run
 
 
@@ -102,33 +102,55 @@ def identified(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("id", F.concat("repo", F.lit(":"), "filePath", F.lit("#"), "name"))
 
 
-def _metrics(graph: GraphBundle) -> dict:
-    """All structural metrics, of repositories whose number of calls has changed by a share."""
+def _due(graph: GraphBundle) -> DataFrame:
+    """Repositories whose number of calls has changed by a share, with that number."""
     counts = graph["calls"].groupBy("repo").agg(F.count("*").alias("n"))
     counts = graph["symbols"].select("repo").distinct().join(counts, "repo", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     counts = counts.join(graph["metrics_meta"], "repo", "left").withColumn("due", algorithms.edge_delta(F.col("n"), F.col("lastEdgeCount")))
-    due = cut(counts.where("due").select("repo", "n"))
+    return cut(counts.where("due").select("repo", "n"))
+
+
+def _due_graph(graph: GraphBundle, due: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and calls of those repositories."""
+    chosen = identified(graph["symbols"]).join(due.select("repo"), "repo", "left_semi")
+    nodes = cut(chosen.select(F.col("id").alias("node"), "isExported", "repo"))
+    return nodes, cut(graph["calls"].join(due.select("repo"), "repo", "left_semi").select("src", "dst"))
+
+
+def _put(graph: GraphBundle, found: DataFrame) -> None:
+    """Sets the symbols' columns in ``found`` (node and columns)."""
+    graph["symbols"] = cut(upsert.merge_columns(identified(graph["symbols"]), found.withColumnRenamed("node", "id"), ["id"]).drop("id"))
+
+
+def _metrics(graph: GraphBundle) -> dict:
+    """Structural metrics of repositories that are due, each written as soon as it is known."""
+    due = _due(graph)
     if due.isEmpty():
         return {"repos": 0}
-    symbols = identified(graph["symbols"])
-    chosen = symbols.join(due.select("repo"), "repo", "left_semi")
-    nodes = cut(chosen.select(F.col("id").alias("node"), "isExported", "repo", F.dense_rank().over(Window.partitionBy("repo").orderBy("id")).alias("number")))
-    edges = cut(graph["calls"].join(due.select("repo"), "repo", "left_semi").select("src", "dst"))
-    found = algorithms.degree(nodes.select("node"), edges)
-    found = found.join(algorithms.pagerank(nodes.select("node"), edges), "node").join(algorithms.reachability(nodes, edges), "node").join(algorithms.betweenness(nodes.select("node"), edges), "node")
-    numbered = nodes.select("node", F.xxhash64("node").alias("key"))
-    by_key = edges.join(numbered.select(F.col("node").alias("src"), F.col("key").alias("a")), "src").join(numbered.select(F.col("node").alias("dst"), F.col("key").alias("b")), "dst")
-    groups = algorithms.communities(numbered.select(F.col("key").alias("node")), by_key.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    groups = numbered.join(groups.withColumnRenamed("node", "key"), "key").join(nodes.select("node", "repo", "number"), "node")
+    nodes, edges = _due_graph(graph, due)
+    node = nodes.select("node")
+    _put(graph, algorithms.degree(node, edges).join(algorithms.reachability(nodes, edges), "node"))
+    _put(graph, algorithms.pagerank(node, edges))
+    _put(graph, algorithms.betweenness(node, edges))
+    return {"repos": due.count(), "symbols": nodes.count()}
+
+
+def _communities(graph: GraphBundle) -> dict:
+    """Communities and roles of repositories that are due, which are up to date then."""
+    due = _due(graph)
+    if due.isEmpty():
+        return {"repos": 0}
+    nodes, edges = _due_graph(graph, due)
+    groups = leiden.leiden(nodes, edges).join(nodes.select("node", "repo"), "node")
     # a community is called by the place of its first symbol among the repository's
-    groups = groups.withColumn("communityId", F.min("number").over(Window.partitionBy("repo", "community")).cast("int")).select("node", "repo", "communityId")
+    number = nodes.select(F.col("node").alias("community"), F.dense_rank().over(Window.partitionBy("repo").orderBy("node")).alias("communityId"))
+    groups = groups.join(number, "community").select("node", "repo", "communityId")
     roles = cut(algorithms.roles(groups, edges))
     graph["communities"] = cut(upsert.replace_children(graph["communities"], algorithms.community_nodes(roles, edges).withColumn("coveragePct", F.lit(None).cast("double")).select(*graph["communities"].columns), ["repo"], due))
-    found = found.join(roles.select("node", "communityId", F.col("role").alias("communityRole")), "node")
-    graph["symbols"] = cut(upsert.merge_columns(symbols, found.withColumnRenamed("node", "id"), ["id"]).drop("id"))
+    _put(graph, roles.select("node", "communityId", F.col("role").alias("communityRole")))
     graph.upsert("metrics_meta", due.select("repo", F.col("n").alias("lastEdgeCount"), F.current_timestamp().alias("updatedAt")))
     graph["metrics_meta"] = cut(graph["metrics_meta"])
-    return {"repos": due.count(), "symbols": nodes.count()}
+    return {"repos": due.count(), "communities": graph["communities"].count()}
 
 
 def _classes(graph: GraphBundle) -> dict:
@@ -170,7 +192,8 @@ def _stale(graph: GraphBundle) -> dict:
 
 PASSES = [
     Pass("structural-metrics", _metrics),
-    Pass("classification", _classes, needs=("structural-metrics",)),
+    Pass("communities", _communities),
+    Pass("classification", _classes),
     Pass("behavioral-edges", _errors),
     Pass("test-asserts", _tests),
     Pass("governs", _governs),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import frontmatter, text
 from graphloom.operators import algorithms, documents, extraction, passes, summaries, tools, traverse, upsert
+from graphloom.operators.leiden import Params, leiden
 from graphloom.streaming import jobs
 
 
@@ -90,7 +91,7 @@ def quality(of, pairs):
 def test_communities_of_two_cliques(spark):
     pairs = [(a, b) for c in (range(5), range(5, 10)) for a in c for b in c if a < b] + [(4, 5)]
     nodes = spark.createDataFrame([(i,) for i in range(11)], "node long")
-    got = {r["node"]: r["community"] for r in algorithms.communities(nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    got = {r["node"]: r["community"] for r in leiden(nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(5, 10), 5), 10: 10}
 
 
@@ -99,7 +100,7 @@ def test_communities_are_as_good_as_planted_ones_and_connected(spark):
     group = {v: v // 15 for v in range(60)}
     pairs = [(a, b) for a in range(60) for b in range(60) if a != b and rng.random() < (0.3 if group[a] == group[b] else 0.015)]
     df = spark.createDataFrame(pairs, "src long, dst long")
-    found = algorithms.communities(spark.createDataFrame([(i,) for i in range(60)], "node long"), df).cache()
+    found = leiden(spark.createDataFrame([(i,) for i in range(60)], "node long"), df).cache()
     got = {r["node"]: r["community"] for r in found.collect()}
     assert set(got) == set(range(60)) and all(got[c] == c for c in got.values())
     assert quality(got, pairs) >= quality(group, pairs) - 0.02
@@ -109,6 +110,66 @@ def test_communities_are_as_good_as_planted_ones_and_connected(spark):
     assert algorithms.modularity(both, found) == pytest.approx(quality(got, pairs))
 
 
+def plain_louvain(n, pairs):
+    """Moves one node at a time to the best neighbouring community, then condenses, until nothing gains."""
+    m2 = 2 * len(pairs)
+    w = {}
+    for a, b in pairs:
+        for u, v in ((a, b), (b, a)):
+            w.setdefault(u, {}).setdefault(v, 0)
+            w[u][v] += 1
+    of = {v: v for v in range(n)}
+    graph, top = w, {v: v for v in range(n)}
+    while True:
+        label = {v: v for v in graph}
+        k = {v: sum(graph[v].values()) for v in graph}
+        all_ = dict(k)
+        moved, any_move = True, False
+        while moved:
+            moved = False
+            for v in sorted(graph):
+                to = {}
+                for u, x in graph[v].items():
+                    if u != v:
+                        to[label[u]] = to.get(label[u], 0) + x
+                all_[label[v]] -= k[v]
+                best = max([label[v], *to], key=lambda c: (to.get(c, 0) - k[v] * all_[c] / m2, c == label[v]))
+                moved |= best != label[v]
+                label[v] = best
+                all_[best] += k[v]
+            any_move |= moved
+        if len(set(label.values())) == len(graph):
+            return of
+        top = {v: label[top[v]] for v in top}
+        of = dict(top)
+        new = {}
+        for u in graph:
+            for v, x in graph[u].items():
+                new.setdefault(label[u], {}).setdefault(label[v], 0)
+                new[label[u]][label[v]] += x
+        graph = new
+
+
+def test_communities_are_as_good_as_those_of_moves_one_by_one(spark):
+    rng = random.Random(2)
+    pairs = [(a, b) for a in range(200) for b in range(a) if rng.random() < (0.25 if a // 20 == b // 20 else 0.01)]
+    nodes, edges = spark.createDataFrame([(i,) for i in range(200)], "node long"), spark.createDataFrame(pairs, "src long, dst long")
+    want = quality(plain_louvain(200, pairs), pairs)
+    sent = {r["node"]: r["community"] for r in leiden(nodes, edges).collect()}
+    assert quality(sent, pairs) >= 0.99 * want
+    shuffled = {r["node"]: r["community"] for r in leiden(nodes, edges, Params(broadcast=0, lots=4)).collect()}
+    assert quality(shuffled, pairs) >= 0.97 * want
+
+
+def test_communities_of_no_edges_and_odd_rows(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "node string")
+    loops = spark.createDataFrame([("a", "a"), ("a", "gone"), (None, "b")], "src string, dst string")
+    assert sorted(map(tuple, leiden(nodes, loops).collect())) == [("a", "a"), ("b", "b")]
+    linked = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", None)], "src string, dst string")
+    assert sorted(map(tuple, leiden(nodes, linked).collect())) == [("a", "a"), ("b", "a")]
+    assert leiden(nodes.limit(0), linked).count() == 0
+
+
 def test_roles_with_null_community(spark):
     nodes = spark.createDataFrame([(1, 1), (2, 1), (3, None), (4, 2)], "node long, communityId int")
     edges = spark.createDataFrame([(1, 2), (1, 4), (1, 4), (3, 1)], "src long, dst long")

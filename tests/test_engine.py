@@ -84,7 +84,7 @@ def test_index_is_idempotent(graph, spark):
 
 def test_passes_and_tools(graph, spark):
     records = engine.analyse(graph)
-    assert [r.status for r in records] == ["success"] * 6, records
+    assert [r.status for r in records] == ["success"] * 7, records
     got = {r["name"]: r for r in graph["symbols"].collect()}
     assert (got["main"]["fanOut"], got["load"]["fanIn"], got["load"]["depthFromEntry"]) == (2, 1, 1)
     assert ("r:src/app.js#main", "NotFound", True) in rows(graph["throws"], "symbol", "errorType", "propagated")
@@ -175,7 +175,7 @@ def test_index_writes_all_facts_and_replaces_them(spark):
     assert ("s0", "module") in rows(g["scopes"], "scopeId", "kind") and g["comments"].count() == 2 and g["code_references"].count() > 10
     assert ("SQSClient", 2, True) in rows(g["call_sites"], "calleeExpression", "argumentCount", "isNewExpression")
     records = engine.analyse(g)
-    assert [r.status for r in records] == ["success"] * 6, records
+    assert [r.status for r in records] == ["success"] * 7, records
     assert rows(g["test_asserts"], "test", "symbol") >= {("r:src/pay.test.js#check", charge)}
     assert {r["repo"] for r in g["metrics_meta"].collect()} == {"r"} and g["communities"].agg(F.sum("size")).first()[0] == 4
     assert engine.PASSES[0].run(g) == {"repos": 0}  # no calls have changed since
