@@ -38,6 +38,6 @@ def parse(docs: DataFrame, body_col: str = "body") -> DataFrame:
 
 def list_field(block: Column, key: str) -> Column:
     """Items of a ``key:`` that is followed by ``- item`` lines."""
-    items = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)+)", 1)
+    items = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)++)", 1)
     each = F.transform(F.split(items, r"\n?[ \t]*-[ \t]+"), lambda x: F.trim(x, F.lit(" \t\r\n")))
     return F.filter(each, lambda x: x != "")

@@ -82,7 +82,7 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.when(F.col("local"), joined_path(F.col("source"), F.col("spec"))))
 
 
-CALL = r"(?<![\w$.])((?:new\s+)?[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\((?=(?:([^()]*)(\)))?)"
+CALL = r"(?<![\w$.])((?:new\s+)?[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+)\s*\((?=(?:([^()]*)(\)))?)"
 #: Words before a parenthesis that are no callee.
 NO_CALLEES = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "await", "async", "do", "else", "with"]
 

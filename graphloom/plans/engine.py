@@ -311,7 +311,7 @@ def _found(df: DataFrame, what: str) -> DataFrame:
 
 def _recompute(g: GraphBundle) -> DataFrame:
     g["metrics_meta"] = g["metrics_meta"].where("false")
-    return as_table(g.spark, run(g, PASSES[:1]), "all")
+    return as_table(g.spark, run(g, PASSES[:2]), "all")
 
 
 def _mentions(g: GraphBundle) -> DataFrame:
