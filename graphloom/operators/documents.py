@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.functions import frontmatter
 from graphloom.operators import rules
 
@@ -106,25 +107,47 @@ def bigrams(name: Column) -> Column:
     return F.when(F.length(low) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2))))).otherwise(F.array(low))
 
 
-def fuzzy(refs: DataFrame, symbols: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """The most alike symbol of each (service, name): Dice's coefficient of bigrams, at least ``threshold``.
+def _marked(names: DataFrame, column: str) -> DataFrame:
+    """Each distinct name ``w`` once: its bigrams ``g``, their number ``n``, and 128 bits that they set."""
+    bits = lambda k: F.expr(f"aggregate(g, 0L, (a, x) -> a | IF(pmod(xxhash64(x), 128) DIV 64 = {k}, shiftleft(1L, CAST(pmod(xxhash64(x), 64) AS INT)), 0L))")
+    rows = names.select(F.col(column).alias("w")).where(F.length("w") > 0).distinct().withColumn("g", bigrams(F.col("w")))
+    return rows.select("w", "g", F.size("g").alias("n"), bits(0).alias("low"), bits(1).alias("high"))
+
 
-    Only names that share one of their rarest bigrams are compared, as many of these as the
-    threshold asks for, so none is missed. A service takes symbols of its repository only.
+def similar_names(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """``name``, ``symbol``, ``score``: pairs of names whose bigrams have Dice's coefficient of at least ``threshold``.
+
+    ``asked`` and ``known`` have a column ``name``. A set similarity join: pairs meet at one of their rarest
+    bigrams, as many as the threshold asks for, so none is missed. Of those that meet, only pairs
+    go on that may still have enough in common: by their numbers of bigrams, by how many follow the
+    one they met at, and by bits that one sets and the other doesn't. What is left is compared.
     """
-    grams = lambda df, c: df.select(F.col(c).alias("w")).where(F.length("w") > 0).distinct().withColumn("g", bigrams(F.col("w")))
-    asked, known = grams(refs, "name"), grams(symbols, "name")
-    df = known.select(F.explode("g").alias("b")).groupBy("b").agg(F.count("*").alias("df"))
+    left, right = cut(_marked(asked, "name")), cut(_marked(known, "name"))
+    df = right.select(F.explode("g").alias("b")).groupBy("b").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("w").orderBy(F.coalesce("df", F.lit(0)), "b")
-    least = F.ceil(F.size("g") * threshold / (2 - threshold) - 1e-9)
+    least = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9)
+
+    def first(words: DataFrame, p: str) -> DataFrame:
+        rows = words.select("w", "n", "low", "high", F.explode("g").alias("b")).join(df, "b", "left").withColumn("at", F.row_number().over(rarest))
+        return rows.where(F.col("at") <= F.col("n") - least + 1).select("b", *[F.col(c).alias(p + c) for c in ("w", "n", "at", "low", "high")])
+
+    total = F.col("l_n") + F.col("r_n")
+    common = F.ceil(total * threshold / 2 - 1e-9)
+    follow = 1 + F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
+    apart = F.bit_count(F.col("l_low").bitwiseXOR(F.col("r_low"))) + F.bit_count(F.col("l_high").bitwiseXOR(F.col("r_high")))
+    x, y = first(left, "l_"), first(right, "r_").withColumnRenamed("b", "c")
+    pairs = x.join(y, (F.col("b") == F.col("c")) & (F.least("l_n", "r_n") >= common) & (follow >= common) & (apart <= total - 2 * common)).select("l_w", "r_w").distinct()
+    pairs = pairs.join(left.select(F.col("w").alias("l_w"), "g"), "l_w").join(right.select(F.col("w").alias("r_w"), F.col("g").alias("h")), "r_w")
+    score = 2.0 * F.size(F.array_intersect("g", "h")) / (F.size("g") + F.size("h"))
+    return pairs.select(F.col("l_w").alias("name"), F.col("r_w").alias("symbol"), score.alias("score")).where(F.col("score") >= threshold - 1e-9)
 
-    def first(words: DataFrame) -> DataFrame:
-        rows = words.select("w", "g", F.explode("g").alias("b")).join(df, "b", "left").withColumn("at", F.row_number().over(rarest))
-        return rows.where(F.col("at") <= F.size("g") - least + 1).select("w", "g", "b")
 
-    pairs = first(asked).join(first(known).select(F.col("w").alias("symbol"), F.col("g").alias("h"), "b"), "b").dropDuplicates(["w", "symbol"])
-    score = 2.0 * F.size(F.array_intersect("g", "h")) / (F.size("g") + F.size("h"))
-    pairs = pairs.select(F.col("w").alias("name"), "symbol", score.alias("score")).where(F.col("score") >= threshold - 1e-9)
+def fuzzy(refs: DataFrame, symbols: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """The most alike symbol of each (service, name), its bigrams' coefficient at least ``threshold``.
+
+    A service takes symbols of its repository only.
+    """
+    pairs = similar_names(refs.select("name"), symbols.select("name"), threshold)
     rows = refs.select("service", "name").distinct().join(pairs, "name").join(symbols.select(F.col("name").alias("symbol"), F.col("repo").alias("owner"), "id"), "symbol")
     rows = rows.where(F.col("service").isNull() | (F.col("service") == F.col("owner")))
     return rows.groupBy("service", "name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))

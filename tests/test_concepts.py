@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import concepts, documents, summaries
@@ -79,3 +80,16 @@ def test_run_log(spark, tmp_path):
     for k in range(2):
         summaries.log_events(spark.createDataFrame([(k, "start")], "run int, event string"), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).where(F.col("event") == "start").count() == 2
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.35])
+def test_similar_names_against_all_pairs(spark, threshold):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice(["get", "User", "set", "Order", "a", "Item", "x", "List", "é"]) for _ in range(rng.randint(1, 5))) for _ in range(150)})
+    grams = lambda s: {s.lower()[i : i + 2] for i in range(len(s) - 1)} or {s.lower()}
+    dice = lambda a, b: 2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b)))
+    asked, known = names[::2] + names[:3] + [""], names[1::2] + names[:9] + [None]
+    df = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    got = {(r["name"], r["symbol"]): r["score"] for r in documents.similar_names(df(asked), df(known), threshold).collect()}
+    want = {(a, b): dice(a, b) for a in set(asked) - {""} for b in set(known) - {None} if dice(a, b) >= threshold - 1e-9}
+    assert got == pytest.approx(want) and len(want) > 20
