@@ -98,18 +98,18 @@ def test_asserts(symbols: DataFrame, calls: DataFrame, hops: int = 2, most: int
 
 
 def bounded_context(paths: DataFrame, contexts: DataFrame) -> DataFrame:
-    """First declared context of each path, and whether several fit.
+    """First declared context of each path (``contextId``, null if none fits), and whether several fit.
 
-    ``contexts`` has ``contextId``, ``pattern``, ``declarationOrder``: a small declared table. A
-    pattern that ends in ``/`` is a prefix; another is a path or a folder.
+    ``contexts`` has ``contextId``, ``pattern``, ``declarationOrder``, as many as there are. A
+    pattern that ends in ``/`` is a prefix; another is a path or a folder. Each distinct path is
+    taken apart into the paths and folders it lies in, which are joined with patterns by equality.
     """
-    declared = [r.asDict() for r in contexts.limit(1001).collect()]
-    if len(declared) > 1000:
-        raise ValueError("more than 1000 context patterns")
-    one = F.array(*[F.struct(F.lit(r["declarationOrder"]).alias("o"), F.lit(r["contextId"]).alias("contextId"), F.lit(r["pattern"]).alias("pattern")) for r in declared])
-    rows = paths.withColumn("hit", F.array_sort(F.filter(one, lambda c: F.when(c["pattern"].endswith("/"), F.col("path").startswith(c["pattern"])).otherwise((F.col("path") == c["pattern"]) | F.col("path").startswith(F.concat(c["pattern"], F.lit("/")))))))
-    first = F.get("hit", F.lit(0))["contextId"]
-    return rows.withColumns({"contextId": first, "ambiguous": F.size(F.array_distinct(F.transform("hit", lambda c: c["contextId"]))) > 1}).drop("hit")
+    above = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.array_join(F.slice("pieces", 1, i), "/"))
+    keys = F.when(F.size("pieces") > 1, F.concat("above", F.transform("above", lambda p: F.concat(p, F.lit("/"))))).otherwise(F.array().cast("array<string>"))
+    own = paths.select("path").where("path IS NOT NULL").distinct().withColumn("pieces", F.split("path", "/"))
+    own = own.withColumn("above", F.when(F.size("pieces") > 1, above)).select("path", F.explode(F.array_distinct(F.concat(keys, F.array("path")))).alias("pattern"))
+    hits = own.join(contexts, "pattern").groupBy("path").agg(F.min(F.struct("declarationOrder", "contextId"))["contextId"].alias("contextId"), (F.count_distinct("contextId") > 1).alias("ambiguous"))
+    return paths.join(hits, "path", "left").select(*paths.columns, "contextId", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def governs(declared: DataFrame, documents: DataFrame, symbols: DataFrame) -> DataFrame:

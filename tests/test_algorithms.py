@@ -282,3 +282,18 @@ def test_streams(spark, tmp_path):
     assert jobs.once(limited, str(tmp_path / "c1"), mode="append").where("allowed").count() == 12
     jobs.upserts(stream, ["key"], str(tmp_path / "t"), str(tmp_path / "c2"), "event_id").awaitTermination()
     assert {(r["key"], r["event_id"]) for r in jobs.current(spark, str(tmp_path / "t")).collect()} == {(0, 27), (1, 28), (2, 29)}
+
+
+def test_contexts_of_paths_with_thousands_of_patterns(spark):
+    rng = random.Random(6)
+    folder = lambda depth: "/".join(rng.choice(["src", "lib", "a", "b", "", "x.js"]) for _ in range(depth))
+    paths = [folder(rng.randint(1, 5)) for _ in range(300)] + ["src", "src/", "", "/", "a//b", "srcx/a"]
+    patterns = [folder(rng.randint(1, 4)) + rng.choice(["", "/"]) for _ in range(400)] + ["src/", "src", ""] + [f"none-{i}/" for i in range(5000)]
+    contexts = [(f"c{i % 90}", p, i // 2) for i, p in enumerate(patterns)]
+    fits = lambda path, p: path.startswith(p) if p.endswith("/") else path == p or path.startswith(p + "/")
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)] + [(-1, None)], "id int, path string")
+    got = {r["id"]: (r["contextId"], r["ambiguous"]) for r in passes.bounded_context(rows, spark.createDataFrame(contexts, "contextId string, pattern string, declarationOrder int")).collect()}
+    for i, path in enumerate(paths):
+        hits = [(o, c) for c, p, o in contexts if fits(path, p)]
+        assert got[i] == (min(hits)[1] if hits else None, len({c for _, c in hits}) > 1), path
+    assert got[-1] == (None, False) and len(got) == len(paths) + 1
