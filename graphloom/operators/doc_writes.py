@@ -39,8 +39,12 @@ def created(documents: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def updated(documents: DataFrame, new: DataFrame) -> DataFrame:
-    """``documents`` with those of ``new`` in place of the ones with their paths."""
-    last = new.groupBy("path").agg(F.max("body").alias("body"))
+    """``documents`` with those of ``new`` in place of the ones with their paths.
+
+    Of a path that repeats the last row by ``at`` counts, if ``new`` has that column, else the greatest text.
+    """
+    body = F.max_by("body", F.struct("at", "body")) if "at" in new.columns else F.max("body")
+    last = new.groupBy("path").agg(body.alias("body"))
     rows = rows_of(last)
     kept = documents.join(last.select("path"), "path", "left_anti")
     return kept.unionByName(rows, allowMissingColumns=True).select(*documents.columns)
@@ -57,10 +61,10 @@ def proposal_path(name: Column) -> Column:
 
 
 def proposed(documents: DataFrame, new: DataFrame) -> DataFrame:
-    """``documents`` with proposals (``name``, ``body``), whose status is always ``proposed``."""
-    added = updated(documents, new.select(proposal_path(F.col("name")).alias("path"), "body"))
-    mine = F.col("path").startswith(PROPOSALS)
-    return added.withColumn("status", F.when(mine, "proposed").otherwise(F.col("status")))
+    """``documents`` with proposals (``name``, ``body``), whose own status is always ``proposed``."""
+    rows = new.select(proposal_path(F.col("name")).alias("path"), "body")
+    added = updated(documents, rows).join(rows.select("path", F.lit(True).alias("new")).distinct(), "path", "left")
+    return added.withColumn("status", F.when(F.col("new"), "proposed").otherwise(F.col("status"))).select(*documents.columns)
 
 
 def from_template(documents: DataFrame, templates: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.fixtures import Graph
 from graphloom.functions import frontmatter, text
 from graphloom.checkpoints import checkpoint_folder
-from graphloom.operators import algorithms, concepts, documents, extraction, parsing, passes, rules, summaries, tools, upsert
+from graphloom.operators import algorithms, concepts, documents, extraction, parsing, passes, rules, search_index, summaries, tools, upsert
 from graphloom.plans.catalogue import FAN, PUBLIC, ROLES, edges, nodes, query, rounded
 from graphloom.streaming import jobs
 
@@ -259,6 +259,18 @@ def doc_search_tfidf(g: Graph) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(order)).where("r <= 10").drop("r")
 
 
+@query(f"""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS w FROM benchmark),
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), d AS (SELECT doc_id, w, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, unnest(t) AS w, len(t) AS len FROM t) GROUP BY 1, 2),
+f AS (SELECT w, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM d, n GROUP BY w),
+s AS (SELECT q.item_id, CAST(d.doc_id AS VARCHAR) AS path, round(sum(idf * tf * {search_index.K1 + 1} / (tf + {search_index.K1} * (1 - {search_index.B} + {search_index.B} * len / mean))) + 1e-9, 4) AS score FROM q JOIN d USING (w) JOIN f USING (w), n GROUP BY 1, 2)
+SELECT item_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path) AS r FROM s) WHERE r <= 10""")
+def doc_search_bm25(g: Graph) -> DataFrame:
+    postings, lengths = search_index.indexed(g.documents.select(F.col("doc_id").cast("string").alias("path"), "text"))
+    found = search_index.search(postings, lengths, g.benchmark.select(F.col("item_id").alias("query"), "text"))
+    return found.select(F.col("query").alias("item_id"), "path", "score")
+
+
 @query("SELECT s.sym_key, round(CASE WHEN lower(s.name) = 'almond_7' THEN 1.0 ELSE 1.0 - levenshtein(lower(s.name), 'almond_7') / greatest(length(s.name), 8) END + 1e-9, 6) AS score FROM sym s WHERE 1.0 - levenshtein(lower(s.name), 'almond_7') / greatest(length(s.name), 8) >= 0.3")
 def fulltext_symbol(g: Graph) -> DataFrame:
     score = text.name_similarity(F.col("name"), F.lit("almond_7"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
 from graphloom.checkpoints import cut
-from graphloom.operators import algorithms, doc_writes, documents, extraction, leiden, parsing, passes, summaries, tools, upsert
+from graphloom.operators import algorithms, doc_writes, documents, extraction, leiden, parsing, passes, search_index, summaries, tools, upsert
 from graphloom.plans.runner import Pass, Record, as_table, run
 
 
@@ -266,6 +266,13 @@ def _in_doc(g: GraphBundle, path: str) -> DataFrame:
     return links[0].unionByName(links[1]).join(_keyed(g).withColumnRenamed("id", "symbol"), "symbol").select("symbol", "name", "link").distinct()
 
 
+def _related_docs(g: GraphBundle, key: str) -> DataFrame:
+    """Documents that govern or document a symbol."""
+    chosen = _one(_keyed(g), key).select(F.col("id").alias("symbol"))
+    links = g["governs"].unionByName(g["documented_by"]).join(chosen, "symbol", "left_semi")
+    return tools.related_docs(links, g["documents"], ["symbol"])
+
+
 def _topology(g: GraphBundle, repo: str | None = None) -> DataFrame:
     pick = lambda df: df if repo is None else df.where(F.col("repo") == repo)
     calling = g["calls_service"].select(F.substring_index("symbol", ":", 1).alias("repo"), F.regexp_extract("symbol", "^[^:]*:(.*)#", 1).alias("module"), "service")
@@ -273,12 +280,13 @@ def _topology(g: GraphBundle, repo: str | None = None) -> DataFrame:
 
 
 def _search_docs(g: GraphBundle, query: str, limit: int = 10, min_score: float = 0.0, filters: dict[str, str] | None = None) -> DataFrame:
-    """Documents by the share of the query's words that they have; no concepts and no scratchpad."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.lit(query)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    """Documents by BM25 over the kept index, which is brought up to date first; no concepts and no scratchpad."""
     rows = doc_writes.index_rows(g["documents"]).where(~doc_writes.hidden(F.col("path")))
-    have = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    score = F.size(F.array_intersect(words, have)) / F.greatest(F.size(words), F.lit(1))
-    found = doc_writes.filtered(rows.withColumn("score", score).where("score > 0"), filters, min_score)
+    postings, lengths = search_index.refreshed(g["doc_postings"], g["doc_lengths"], rows)
+    g["doc_postings"], g["doc_lengths"] = cut(postings), cut(lengths)
+    asked = g.spark.createDataFrame([(0, query)], "query int, text string")
+    best = search_index.search(g["doc_postings"], g["doc_lengths"], asked, k=max(tools.clamp(limit, 100), 1) if not filters else 2**31 - 1)
+    found = doc_writes.filtered(rows.join(best.drop("query"), "path"), filters, min_score)
     return found.orderBy(F.desc("score"), "path").limit(tools.clamp(limit, 100)).drop("text")
 
 
@@ -332,7 +340,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "graph.communityContext": _community,
     "graph.semanticSearch": _semantic,
     "graph.symbolsInDoc": _in_doc,
-    "graph.relatedDocs": lambda g: tools.related_docs(g["governs"].unionByName(g["documented_by"]), g["documents"], ["symbol"]),
+    "graph.relatedDocs": _related_docs,
     "graph.query": lambda g, text: _open(g, text),
     "docs.list": lambda g, prefix="": g["documents"].where(F.col("path").startswith(prefix) & (F.lit(prefix.startswith("concepts/")) | ~F.col("path").startswith("concepts/"))),
     "docs.read": lambda g, path: _found(g["documents"].where(F.col("path") == path), path),

@@ -21,6 +21,8 @@ NODES: dict[str, tuple[list[str], str]] = {
     "community_summaries": (["repo", "communityId"], "repo string, communityId int, name string, purpose string, keySymbols array<string>, tier string, model string, generatedAt timestamp, symbolCount long, coveragePct double, embedding array<float>, stale boolean"),
     "documents": (["path"], "path string, title string, type string, status string, author string, domain string, service string, updatedAt timestamp, lastEnrichedHash string, body string"),
     "concepts": (["id"], "id string, name string, description string, embedding array<float>, createdAt timestamp, updatedAt timestamp"),
+    "doc_postings": (["term", "path"], "term string, path string, tf long"),
+    "doc_lengths": (["path"], "path string, length long, hash string"),
     "templates": (["name"], "name string, body string"),
     "metrics_meta": (["repo"], "repo string, lastEdgeCount long, updatedAt timestamp"),
     "pass_runs": (["runId", "pass"], "runId string, repo string, pass string, status string, startedAt timestamp, durationMs long, stats string, error string"),
