@@ -46,3 +46,29 @@ def test_stages(spark, tmp_path):
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == pieces([(i, r["text"]) for i, r in rows[3].items()])
     key = lambda rows: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(packed)
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; ``docs`` of each stage hold them all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, part0_score double, lang_pred string, kept string"
+    plain = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], None, "x", "y") for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    long_text = " ".join(f"{a} of the {b}" for a in ("river", "house", "stone", "garden") for b in range(20_000))
+    odd = [(9001, None, "en", "s", None), (9002, "", None, None, 0), (9003, "12 34 !", "en", "s", 7), (9004, long_text, None, None, len(long_text)), (None, plain[0][1], "en", None, None), plain[1][:5]]
+    rows = plain + [(*r, 0.5, None, "n") for r in odd]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(rows, schema)
+        got = stage(spark, docs, SF)
+        got.write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name))
+        ids = {r["doc_id"] for r in got.select("doc_id").collect()}
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        if name == "language_id":
+            assert not ids & {9001, 9002, 9003}
+        if name == "minhash_near_dedup":
+            assert {9001, 9002, 9003, 9004} <= ids and got.where(f"doc_id = {plain[1][0]}").count() <= 1
+        if name == "secret_scan":
+            assert got.count() == len(rows) and got.where("doc_id = 9001 AND text IS NULL").count() == 1
+        if name == "best_fit_packing":
+            assert 9001 in ids and got.where("doc_id = 9004").count() > 50
+        else:
+            assert got.columns == docs.columns
