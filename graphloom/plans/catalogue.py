@@ -305,8 +305,8 @@ def communities(g: Graph) -> DataFrame:
     return leiden.leiden(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), "community")
 
 
-@query("""WITH RECURSIVE both AS (SELECT src AS u, dst AS v FROM calls WHERE src <> dst UNION SELECT dst, src FROM calls WHERE src <> dst),
-r AS (SELECT sym_key AS node, sym_key AS reached FROM sym UNION SELECT r.node, both.v FROM r JOIN both ON both.u = r.reached),
+@query("""WITH RECURSIVE pair AS (SELECT src AS u, dst AS v FROM calls WHERE src <> dst UNION SELECT dst, src FROM calls WHERE src <> dst),
+r AS (SELECT sym_key AS node, sym_key AS reached FROM sym UNION SELECT r.node, pair.v FROM r JOIN pair ON pair.u = r.reached),
 c AS (SELECT node, min(reached) AS component FROM r GROUP BY node)
 SELECT component, count(*) AS symbols, CAST(0 AS BIGINT) AS "leaving", CAST(0 AS BIGINT) AS "apart", CAST(0 AS BIGINT) AS misnamed, true AS "dense" FROM c GROUP BY component""")
 def community_invariants(g: Graph) -> DataFrame:
