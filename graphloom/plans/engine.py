@@ -4,104 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
 from graphloom.checkpoints import cut
-from graphloom.operators import algorithms, doc_writes, documents, extraction, leiden, parsing, passes, search_index, summaries, tools, upsert
+from graphloom.operators import algorithms, doc_writes, documents, leiden, passes, search_index, summaries, tools, upsert
+from graphloom.plans.indexing import follow, forget, identified, index  # noqa: F401  part of the engine
 from graphloom.plans.runner import Pass, Record, as_table, run
 
 
-def _renew(graph: GraphBundle, name: str, rows: DataFrame, owner: str, changed: DataFrame) -> None:
-    """Puts ``rows`` in place of those whose owner, a symbol's id, is in a changed file."""
-    files = changed.select(F.concat("repo", F.lit(":"), "filePath").alias("file"))
-    old = graph[name].withColumn("file", F.substring_index(owner, "#", 1)).join(files, "file", "left_anti").drop("file")
-    graph[name] = cut(old)
-    graph.upsert(name, rows)
-
-
-def index(graph: GraphBundle, files: DataFrame, before: list[Callable[[DataFrame], DataFrame]] | None = None) -> None:
-    """Extracts what changed of ``files`` (repo, filePath, hash, text) and updates the graph.
-
-    ``before``: plugins that change files before they are read.
-    """
-    for plugin in before or []:
-        files = plugin(files)
-    known = graph["modules"].select("repo", F.col("path").alias("filePath"), "hash")
-    changed = cut(files.join(known, ["repo", "filePath", "hash"], "left_anti"))
-    own = changed.select("repo", "filePath")
-    sites, imports = cut(extraction.call_sites(changed)), cut(extraction.imports(changed))
-    comments, references = cut(parsing.comment_places(changed)), cut(parsing.references(changed))
-    symbols = cut(_symbols(changed, comments))
-    docs = changed.select("repo", F.col("filePath").alias("path"), parsing.module_docstring(F.col("text")).alias("docstring"))
-    graph.upsert("modules", extraction.modules(changed).join(docs, ["repo", "path"]))
-    graph.upsert("modules", upsert.stubs(graph["modules"].select("repo", "path"), imports.where("target IS NOT NULL").select("repo", "target")))
-    lines = symbols.join(changed.select("repo", "filePath", "text"), ["repo", "filePath"])
-    body = F.array_join(F.slice(F.split("text", "\n"), F.col("lineStart"), F.col("lineEnd") - F.col("lineStart") + 1), "\n")
-    facts = lines.withColumn("body", body).select(*symbols.columns, "body", F.sha2("body", 256).alias("hash"), extraction.config_keys(F.col("body")).alias("configKeysRead"), extraction.thrown(F.col("body")).alias("throwTypes"), F.col("body").rlike(r"\bthis\.[\w$]+\s*([-+*/%&|^]?=[^=]|\+\+|--)").alias("hasMutation"))
-    inside = sites.join(symbols.select("repo", "filePath", "name", "lineStart", "lineEnd"), ["repo", "filePath"]).where("line BETWEEN lineStart AND lineEnd")
-    effects = inside.groupBy("repo", "filePath", "name").agg(F.collect_set(extraction.effect(F.col("callee"))).alias("effectKinds"))
-    facts = facts.join(effects, ["repo", "filePath", "name"], "left").withColumn("effectKinds", F.coalesce("effectKinds", F.array().cast("array<string>")))
-    facts = cut(facts.withColumn("hasIO", extraction.has_io(F.col("effectKinds"))).withColumn("isPure", ~F.col("hasIO") & ~F.col("hasMutation")))
-    graph["symbols"] = cut(graph["symbols"].join(own, ["repo", "filePath"], "left_anti"))
-    graph.upsert("symbols", facts.drop("body"), order="lineStart")
-    graph["call_sites"] = upsert.replace_children(graph["call_sites"], sites.select("repo", "filePath", F.col("callee").alias("calleeExpression"), "argumentCount", F.col("isNew").alias("isNewExpression"), "line", F.lit("heuristic").alias("resolutionStatus")), ["repo", "filePath"], own)
-    graph["comments"] = upsert.replace_children(graph["comments"], comments, ["repo", "filePath"], own)
-    graph["scopes"] = upsert.replace_children(graph["scopes"], cut(parsing.scopes(changed)), ["repo", "filePath"], own)
-    graph["code_references"] = upsert.replace_children(graph["code_references"], references.withColumn("confidence", F.lit(1.0)).select(*graph["code_references"].columns), ["repo", "filePath"], own)
-    graph.upsert("external_packages", imports.where("package IS NOT NULL").select(F.col("package").alias("name")))
-    graph["imports"] = cut(graph["imports"].join(own.withColumnRenamed("filePath", "source"), ["repo", "source"], "left_anti"))
-    graph.upsert("imports", imports.where("target IS NOT NULL").select("repo", "source", "target", "kind"))
-    names = F.explode(F.split(F.regexp_replace("what", r"[{}\s]", ""), ","))
-    bound = imports.where("target IS NOT NULL AND what <> ''").select("repo", F.col("source").alias("filePath"), "target", names.alias("name"))
-    calls = extraction.resolve_calls(sites, identified(graph["symbols"]), bound)
-    _renew(graph, "calls", cut(calls.withColumn("repo", F.substring_index("src", ":", 1))), "src", changed)
-    _behaviour(graph, identified(facts), imports, references, changed)
-
-
-def _symbols(changed: DataFrame, comments: DataFrame) -> DataFrame:
-    """Symbols with what lists and defaults export, and the words of the doc comment above."""
-    rows = extraction.symbols(changed)
-    exported = parsing.exports(changed).groupBy("repo", "filePath", "name").agg(F.min("exportKind").alias("kindOfExport"))
-    rows = rows.join(exported, ["repo", "filePath", "name"], "left")
-    rows = rows.withColumns({"isExported": F.col("isExported") | F.col("kindOfExport").isNotNull(), "exportKind": F.coalesce("exportKind", "kindOfExport")}).drop("kindOfExport")
-    above = comments.where("kind = 'jsdoc'").groupBy("repo", "filePath", (F.col("lineEnd") + 1).alias("lineStart")).agg(F.max(extraction.docstring(F.col("text"))).alias("docstring"))
-    return rows.join(above, ["repo", "filePath", "lineStart"], "left")
-
-
-def _as_key(pattern: str) -> Callable[[Column], Column]:
-    return lambda key: F.struct(key.alias("key"), F.lit(pattern).alias("accessPattern"))
-
-
-def _behaviour(graph: GraphBundle, facts: DataFrame, imports: DataFrame, references: DataFrame, changed: DataFrame) -> None:
-    """Errors, configuration, flags and services of the changed files' symbols."""
-    thrown = facts.select(F.col("id").alias("symbol"), F.explode("throwTypes").alias("errorType"))
-    _renew(graph, "throws", thrown.withColumns({"propagated": F.lit(False), "confidence": F.lit("exact")}), "symbol", changed)
-    graph.upsert("error_flows", graph["throws"].select(F.substring_index("symbol", ":", 1).alias("repo"), "errorType").distinct())
-    caught = facts.select(F.col("id").alias("symbol"), F.explode(parsing.caught(F.col("body"))).alias("c")).select("symbol", "c.errorType", "c.catchBlock")
-    _renew(graph, "catches", caught, "symbol", changed)
-    keys = F.concat(*[F.transform(f(F.col("body")), _as_key(p)) for f, p in ((extraction.env_keys, "process.env"), (extraction.config_keys, "config.get"))])
-    read = facts.select("repo", F.col("id").alias("symbol"), F.inline(keys))
-    graph.upsert("config_items", read.select("repo", "key").distinct())
-    _renew(graph, "reads_config", read.drop("repo"), "symbol", changed)
-    checks = facts.select("repo", F.col("id").alias("symbol"), F.inline(extraction.flag_checks(F.col("body"))))
-    graph.upsert("flags", checks.select("repo", F.col("flag").alias("name"), extraction.flag_provider(F.col("method")).alias("providerHint")))
-    _renew(graph, "reads_flag", checks.select("symbol", "flag", extraction.flag_kind(F.col("method")).alias("checkKind")), "symbol", changed)
-    bound = cut(parsing.service_imports(imports, parsing.service_table(graph.spark)))
-    graph.upsert("external_services", bound.select("repo", F.col("service").alias("name"), "protocol", F.lit("sdk-import").alias("detectionMethod")))
-    graph["imports_service"] = cut(graph["imports_service"].join(changed.select("repo", F.col("filePath").alias("module")), ["repo", "module"], "left_anti"))
-    graph.upsert("imports_service", bound.select("repo", F.col("filePath").alias("module"), "service"))
-    spans = facts.select("repo", "filePath", F.col("id").alias("symbol"), "lineStart", "lineEnd")
-    used = references.join(spans, ["repo", "filePath"]).where("line BETWEEN lineStart AND lineEnd").select("repo", "filePath", "symbol", "name").distinct()
-    calling = parsing.service_calls(used, bound).withColumn("confidence", F.lit("inferred"))
-    _renew(graph, "calls_service", calling, "symbol", changed)
-
-
-def identified(symbols: DataFrame) -> DataFrame:
-    return symbols.withColumn("id", F.concat("repo", F.lit(":"), "filePath", F.lit("#"), "name"))
-
-
 def _due(graph: GraphBundle) -> DataFrame:
     """Repositories whose number of calls has changed by a share, with that number."""
     counts = graph["calls"].groupBy("repo").agg(F.count("*").alias("n"))

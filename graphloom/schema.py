@@ -13,6 +13,7 @@ NODES: dict[str, tuple[list[str], str]] = {
     "code_references": ([], "repo string, filePath string, name string, bindingKind string, isRead boolean, isWrite boolean, isCall boolean, line int, `column` int, confidence double"),
     "flags": (["repo", "name"], "repo string, name string, providerHint string"),
     "external_services": (["repo", "name"], "repo string, name string, protocol string, detectionMethod string"),
+    "index_errors": (["repo", "filePath"], "repo string, filePath string, reason string"),
     "error_flows": (["repo", "errorType"], "repo string, errorType string"),
     "config_items": (["repo", "key"], "repo string, key string"),
     "communities": (["repo", "communityId"], "repo string, communityId int, size long, coreCount long, boundaryCount long, bridgeCount long, cohesion double, coveragePct double"),
@@ -31,6 +32,10 @@ NODES: dict[str, tuple[list[str], str]] = {
 #: Key columns and DDL of the edge tables; a symbol is named by its id ``repo:filePath#name``.
 EDGES: dict[str, tuple[list[str], str]] = {
     "imports": (["repo", "source", "target"], "repo string, source string, target string, kind string, specifiers array<string>, line int"),
+    "exports": (["repo", "module", "exportName"], "repo string, module string, exportName string, exportKind string, symbol string"),
+    "parent_scope": (["repo", "filePath", "scopeId"], "repo string, filePath string, scopeId string, parentId string"),
+    "annotated_by": ([], "repo string, filePath string, symbol string, kind string, commentLine int"),
+    "resolves_to": ([], "repo string, filePath string, line int, `column` int, symbol string"),
     "calls": (["src", "dst"], "src string, dst string, repo string, confidence string"),
     "throws": (["symbol", "errorType"], "symbol string, errorType string, propagated boolean, confidence string"),
     "catches": (["symbol", "errorType"], "symbol string, errorType string, catchBlock string"),

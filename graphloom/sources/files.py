@@ -17,6 +17,11 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/*(?=/)", ""), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
 
 
+def _text(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes replacement characters, and fails nothing."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def _binary(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
@@ -27,7 +32,7 @@ def source_files(spark: SparkSession, root: str, repo: str, ignored: list[str] =
     ending = F.regexp_extract(path, r"(\.[^./]+)$", 1)
     rows = _binary(spark, root).where(F.col("length") <= max_bytes).select(path.alias("filePath"), "content", ending.alias("ending"))
     rows = rows.where(F.col("ending").isin(EXTENSIONS) & ~F.arrays_overlap(F.split("filePath", "/"), F.array(*[F.lit(x) for x in ignored])))
-    return rows.select(F.lit(repo).alias("repo"), "filePath", F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select(F.lit(repo).alias("repo"), "filePath", F.sha2("content", 256).alias("hash"), _text(F.col("content")).alias("text"))
 
 
 def document_store(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
@@ -36,7 +41,7 @@ def document_store(spark: SparkSession, root: str, prefix: str = "") -> DataFram
     A sidecar ``<path>.meta.json`` holds the content type and further metadata of its document.
     """
     rows = _binary(spark, root).select(relative(F.col("path"), root).alias("path"), "content", F.col("modificationTime").alias("updatedAt"))
-    meta = rows.where(F.col("path").endswith(".meta.json")).select(F.regexp_replace("path", r"\.meta\.json$", "").alias("path"), F.from_json(F.decode("content", "UTF-8"), "contentType string, custom map<string,string>").alias("m"))
+    meta = rows.where(F.col("path").endswith(".meta.json")).select(F.regexp_replace("path", r"\.meta\.json$", "").alias("path"), F.from_json(_text(F.col("content")), "contentType string, custom map<string,string>").alias("m"))
     docs = rows.where(~F.col("path").endswith(".meta.json") & F.col("path").startswith(prefix))
     return docs.join(meta, "path", "left").select("path", "content", "updatedAt", F.coalesce("m.contentType", F.lit("text/markdown")).alias("contentType"), F.col("m.custom").alias("custom"))
 
