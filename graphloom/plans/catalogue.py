@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.checkpoints import cut
 from graphloom.fixtures import Graph, with_views
-from graphloom.operators import algorithms, leiden, passes, rules, tools
+from graphloom.operators import algorithms, leiden, passes, rolling, rules, tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -348,15 +348,27 @@ def changed_files(g: Graph) -> DataFrame:
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-@query(f"""SELECT repo, filePath, round(count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 14 DAY) / 14.0 * 30 + 1e-9, 3) AS "changeFrequency",
+VOLATILITY = f"""SELECT repo, filePath, round(count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 14 DAY) / 14.0 * 30 + 1e-9, 3) AS "changeFrequency",
 count(DISTINCT CASE WHEN ts >= {NOW} - INTERVAL 7 DAY THEN lower(email) END) AS "authorCount", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "lastModified",
-CAST(greatest(0, floor((epoch({NOW}) - floor(epoch(min(ts)))) / 86400)) AS INT) AS "gitAge" FROM commits GROUP BY repo, filePath""")
+CAST(greatest(0, floor((epoch({NOW}) - floor(epoch(min(ts)))) / 86400)) AS INT) AS "gitAge" FROM commits GROUP BY repo, filePath"""
+
+
+@query(VOLATILITY)
 def git_volatility(g: Graph) -> DataFrame:
     now = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
     rows = passes.git_volatility(g.commits, now, 14, 7)
     return rows.withColumn("lastModified", F.date_format("lastModified", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(VOLATILITY)
+def volatility_rolled(g: Graph) -> DataFrame:
+    """The same from days that were counted in two batches and merged."""
+    late = F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-16 12:00:00'")
+    days = rolling.merged(rolling.daily(g.commits.where(late)), rolling.daily(g.commits.where(~late)))
+    rows = rolling.volatility(days, F.expr("DATE '2024-01-31'"), 14, 7)
+    return rows.withColumn("lastModified", F.date_format("lastModified", "yyyy-MM-dd HH:mm:ss"))
+
+
 PUBLIC = """public AS (SELECT s.*, coalesce(s.isExported, false) AND NOT coalesce(m.isBarrel, false) AND NOT starts_with(s.name, '_') AND NOT contains(coalesce(s.docstring, ''), '@internal') AS is_public
 FROM sym s LEFT JOIN mod m ON m.repo = s.repo AND m.path = s.filePath)"""
 

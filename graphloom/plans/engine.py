@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.bundle import GraphBundle
 from graphloom.checkpoints import cut
 from graphloom.operators import algorithms, doc_writes, documents, leiden, passes, search_index, summaries, tools, upsert
+from graphloom.plans import enrichment, runs
 from graphloom.plans.indexing import follow, forget, identified, index  # noqa: F401  part of the engine
 from graphloom.plans.runner import Pass, Record, as_table, run
 
@@ -202,8 +203,11 @@ def _search_docs(g: GraphBundle, query: str, limit: int = 10, min_score: float =
     return found.orderBy(F.desc("score"), "path").limit(tools.clamp(limit, 100)).drop("text")
 
 
-def _reconcile(g: GraphBundle, prefix: str = "") -> DataFrame:
-    """Resolves the references of documents that changed, writes the edges, and counts how they resolved."""
+def _reconcile(g: GraphBundle, prefix: str = "", run_id: str | None = None) -> DataFrame:
+    """Resolves the references of documents that changed, writes the edges, and counts how they resolved.
+
+    What a run leaves unresolved is kept under its id.
+    """
     docs = cut(documents.to_scan(g["documents"], prefix))
     found = cut(documents.resolve(documents.references(docs), _keyed(g).select("id", "repo", "filePath", "name"), g["modules"].select("path")))
     documented, refs = documents.reference_edges(found, ["channel", "name", "how"])
@@ -211,9 +215,53 @@ def _reconcile(g: GraphBundle, prefix: str = "") -> DataFrame:
         g[name] = cut(g[name].join(docs.select(F.col("path").alias("doc_path")), "doc_path", "left_anti"))
         g.upsert(name, rows)
     g["documents"] = cut(upsert.merge_columns(g["documents"], docs.select("path", F.col("hash").alias("lastEnrichedHash")), ["path"]))
+    if run_id is not None:
+        g["unresolved_refs"] = cut(g["unresolved_refs"].unionByName(found.where("how = 'unresolved'").select(F.lit(run_id).alias("runId"), "path", "channel", "name")))
     return found.groupBy("how", "channel").agg(F.count("*").alias("n"))
 
 
+def _doc_graph(g: GraphBundle, prefix: str = "", wait: bool = True) -> DataFrame:
+    """A reconciliation: how its references resolved, or without waiting the row of the run that goes on."""
+    out: dict[str, DataFrame] = {}
+
+    def job(run_id: str) -> dict:
+        out["counts"] = cut(_reconcile(g, prefix, run_id))
+        return {f"{r['channel']}.{r['how']}": r["n"] for r in out["counts"].collect()}  # as many rows as channels and ways
+
+    run_id = runs.of(g).start("doc-graph", job, wait)
+    if not wait:
+        return runs.of(g).status(run_id)
+    if "counts" not in out:
+        raise RuntimeError(runs.of(g).status(run_id).first()["error"])
+    return out["counts"]
+
+
+def _enrichment(g: GraphBundle, complete: Callable[[str], str], embed: Callable[[str], list[float]], prefix: str = "") -> DataFrame:
+    return runs.of(g).status(runs.of(g).start("enrichment", lambda _: enrichment.enrich(g, complete, embed, prefix)))
+
+
+def _summarize(g: GraphBundle, repo: str, complete: Callable[[str, str], str], mode: str = "incremental") -> DataFrame:
+    """Starts summaries of a repository's communities: of symbols without a fresh one, or in mode ``full`` of all."""
+    if not repo:
+        raise ValueError("a repository is needed")
+
+    def job(_: str) -> dict:
+        known = g["symbol_summaries"].select(F.col("symbolFqn").alias("id"), "tier", F.coalesce("stale", F.lit(False)).alias("stale"))
+        rows = _keyed(g).where((F.col("repo") == repo) & F.col("communityId").isNotNull()).join(known, "id", "left")
+        rows = rows if mode == "full" else rows.where("tier IS NULL OR stale")
+        prompt = F.to_json(F.struct("name", "kind", "signature", "docstring", "throwTypes", "effectKinds"))
+        members = rows.select("id", "sym_key", "repo", "communityId", "pageRank", "isPublicApi", F.col("communityRole").alias("role"), F.when(~F.col("stale"), F.col("tier")).alias("tier"), prompt.alias("prompt"))
+        new = cut(summaries.run(members, complete))
+        hashes = _keyed(g).select(F.col("id").alias("symbolFqn"), F.col("hash").alias("contentHash"))
+        fresh = new.drop("contentHash").join(hashes, "symbolFqn").withColumns({"generatedAt": F.current_timestamp(), "stale": F.lit(False)})
+        columns = [c for c in g["symbol_summaries"].columns if c in fresh.columns]
+        g.upsert("symbol_summaries", fresh.select(*columns))
+        g["symbol_summaries"] = cut(g["symbol_summaries"])
+        return {"mode": "full" if mode == "full" else "incremental", "repo": repo, "summaries": new.count()}
+
+    return runs.of(g).status(runs.of(g).start("summarization", job))
+
+
 def _write(g: GraphBundle, change: Callable[..., DataFrame], *rows: DataFrame) -> DataFrame:
     g["documents"] = cut(change(g["documents"], *rows))
     return g["documents"]
@@ -265,7 +313,13 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "docs.applyTemplate": lambda g, template, path, **values: _write(g, lambda docs, wanted: doc_writes.from_template(docs, g["templates"], wanted, list(values)), g.spark.createDataFrame([(path, template, *map(str, values.values()))], ["path", "template", *values])),
     "concepts.list": lambda g: g["concepts"].join(_mentions(g), "id", "left").select("id", "name", F.coalesce("mentionCount", F.lit(0)).alias("mentionCount"), "updatedAt"),
     "concepts.read": lambda g, id: _found(g["concepts"].where(F.col("id") == id).drop("embedding"), id),
-    "admin.docGraphRun": _reconcile,
+    "admin.docGraphRun": _doc_graph,
+    "admin.docGraphStatus": lambda g, runId: runs.of(g).status(runId, "doc-graph"),
+    "admin.docGraphUnresolved": lambda g: runs.latest(g["runs"], g["unresolved_refs"], "doc-graph"),
+    "admin.enrichmentRun": _enrichment,
+    "admin.enrichmentStatus": lambda g, runId: runs.of(g).status(runId, "enrichment"),
+    "admin.triggerSummarization": _summarize,
+    "admin.summarizationStatus": lambda g, runId: runs.of(g).status(runId, "summarization"),
     "admin.passRunHistory": lambda g, repo, limit=50: g["pass_runs"].where(F.col("repo") == repo).orderBy(F.desc("startedAt"), "pass").limit(tools.clamp(limit, 200)),
     "admin.diagnostics": lambda g: tools.diagnostics({n: g[n] for n in ("symbols", "modules", "documents")}),
     "admin.recomputeMetrics": _recompute,

@@ -26,6 +26,8 @@ NODES: dict[str, tuple[list[str], str]] = {
     "doc_lengths": (["path"], "path string, length long, hash string"),
     "templates": (["name"], "name string, body string"),
     "metrics_meta": (["repo"], "repo string, lastEdgeCount long, updatedAt timestamp"),
+    "runs": (["runId"], "runId string, kind string, status string, startedAt timestamp, endedAt timestamp, stats string, error string"),
+    "unresolved_refs": ([], "runId string, path string, channel string, name string"),
     "pass_runs": (["runId", "pass"], "runId string, repo string, pass string, status string, startedAt timestamp, durationMs long, stats string, error string"),
 }
 

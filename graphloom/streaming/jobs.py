@@ -125,3 +125,37 @@ def on_changes(stream: DataFrame, checkpoint: str, keys: list[str], order: str,
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def cached(requests: DataFrame, ttl: float, late: str = "1 minute") -> DataFrame:
+    """A cache with an age limit as a stream: ``requests`` have key, ts, event_id, value (null: a lookup).
+
+    Gives each lookup with the ``value`` it finds, null if the key was never set or its value is ``ttl`` seconds old or
+    older at that time. Setting a key again renews it. A key's state goes when the watermark passes its end, so that
+    state is bounded by the keys set within ``ttl`` and ``late``; later requests may find none.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, ends = state.get if state.exists else (None, -(1 << 62))
+        for batch in batches:
+            batch = batch.sort_values(["ts", "event_id"])
+            asked, found = [], []
+            for at, n, given in zip((batch["ts"].astype("datetime64[us]").astype("int64")).tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
+                if isinstance(given, str):
+                    value, ends = given, at + int(ttl * 1e6)
+                else:
+                    asked.append(n)
+                    found.append(value if at < ends else None)
+            yield pd.DataFrame({"key": key[0], "event_id": asked, "value": pd.Series(found, dtype=object)})
+        if value is not None:
+            state.update((value, ends))
+            state.setTimeoutTimestamp(max(ends // 1000, state.getCurrentWatermarkMs() + 1))
+
+    kind = requests.schema["key"].dataType.simpleString()
+    seen = requests.withWatermark("ts", late).groupBy("key")
+    return seen.applyInPandasWithState(step, f"key {kind}, event_id long, value string", "value string, ends long", "append", GroupStateTimeout.EventTimeTimeout)
