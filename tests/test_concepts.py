@@ -93,3 +93,23 @@ def test_similar_names_against_all_pairs(spark, threshold):
     got = {(r["name"], r["symbol"]): r["score"] for r in documents.similar_names(df(asked), df(known), threshold).collect()}
     want = {(a, b): dice(a, b) for a in set(asked) - {""} for b in set(known) - {None} if dice(a, b) >= threshold - 1e-9}
     assert got == pytest.approx(want) and len(want) > 20
+
+
+@pytest.mark.parametrize("threshold", [0.88, 0.3, -0.1])
+def test_near_vectors_against_all_pairs(spark, threshold):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 12))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 12)) * 0.15
+    x[7], x[8], x[9, 3] = 0, x[11], np.nan
+    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, []), (2002, [1.0, 2.0]), (2003, [2.0, 4.1])]
+    df = spark.createDataFrame(made, "id long, v array<double>")
+    norm = np.sqrt((x * x).sum(axis=1))
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    cos = np.nan_to_num(unit @ unit.T, nan=-2)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(cos > threshold), strict=True) if i > j} | {(2003, 2002)}
+    got = [(r["id"], r["earlier"]) for r in concepts.near_earlier(df, threshold, tile=100, pivots=32).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if threshold == 0.88:
+        sides = concepts.tiles_to_compare(df, threshold, tile=100, pivots=32).groupBy("a", "b").agg(F.count_if(F.expr("t = a")).alias("l"), F.count_if(F.expr("t = b")).alias("r")).collect()
+        compared = sum(r["l"] * r["r"] / (2 if r["a"] == r["b"] else 1) for r in sides)
+        assert compared < 0.5 * 1500**2 / 2, compared / (1500**2 / 2)
+    assert concepts.near_earlier(df.limit(0), threshold).count() == 0
