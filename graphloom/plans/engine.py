@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.bundle import GraphBundle
 from graphloom.checkpoints import cut
-from graphloom.operators import algorithms, doc_writes, documents, leiden, passes, search_index, summaries, tools, upsert
+from graphloom.operators import algorithms, doc_writes, documents, leiden, passes, rolling, search_index, summaries, tools, upsert
 from graphloom.plans import enrichment, runs
 from graphloom.plans.indexing import follow, forget, identified, index  # noqa: F401  part of the engine
 from graphloom.plans.runner import Pass, Record, as_table, run
@@ -114,6 +114,29 @@ PASSES = [
 ]
 
 
+def sourced(commits: DataFrame, patterns: DataFrame, today: Column | None = None) -> list[Pass]:
+    """Passes over what lies outside the graph, for ``extra``: volatility from ``commits`` (repo, filePath, ts, email)
+    and contexts by ``patterns`` (repo, contextId, pattern, declarationOrder). A symbol without either has nulls."""
+
+    def put(g: GraphBundle, rows: DataFrame, columns: list[str]) -> None:
+        old = g["symbols"]
+        g["symbols"] = cut(upsert.merge_columns(old.drop(*columns), rows, ["repo", "filePath"]).select(*old.columns))
+
+    def volatility(g: GraphBundle) -> dict:
+        columns = ["changeFrequency", "authorCount", "lastModified", "gitAge"]
+        rows = cut(rolling.volatility(rolling.daily(commits), F.current_date() if today is None else today))
+        put(g, rows.select("repo", "filePath", *columns), columns)
+        return {"files": rows.count()}
+
+    def contexts(g: GraphBundle) -> dict:
+        known = g["symbols"].select("repo", "filePath").distinct().withColumn("path", F.concat_ws("/", "repo", "filePath"))
+        found = cut(passes.bounded_context(known, patterns.select("contextId", "declarationOrder", F.concat_ws("/", "repo", "pattern").alias("pattern"))))
+        put(g, found.select("repo", "filePath", F.col("contextId").alias("boundedContextId")), ["boundedContextId"])
+        return {"assigned": found.where("contextId IS NOT NULL").count(), "ambiguous": found.where("ambiguous").count()}
+
+    return [Pass("git-volatility", volatility), Pass("bounded-context", contexts)]
+
+
 def analyse(graph: GraphBundle, extra: list[Pass] | None = None, timeout: float = 300.0) -> list[Record]:
     return run(graph, [*PASSES, *(extra or [])], timeout)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.bundle import GraphBundle
 from graphloom.operators import passes, rolling
 from graphloom.plans import engine, enrichment, runs
-from graphloom.plans.runner import Pass
+from graphloom.plans.runner import Pass, run
 from graphloom.plans.vector_tables import Change, Model, VectorTables
 from graphloom.sources import config
 from graphloom.streaming import jobs
@@ -175,3 +175,13 @@ def test_repositories(spark, tmp_path):
     assert rows(nodes, "repo", "contextId", "name", "description") == {("a", "c", "C", None)} and rows(patterns, "pattern", "declarationOrder") == {("src/", 0), ("lib", 1)}
     hit = passes.bounded_context(spark.createDataFrame([("src/x.js",), ("q",)], "path string"), patterns)
     assert rows(hit, "path", "contextId") == {("src/x.js", "c"), ("q", None)}
+
+
+def test_passes_over_commits_and_contexts(spark):
+    g = GraphBundle(spark)
+    g.upsert("symbols", spark.createDataFrame([("r", "src/a.js", "x", "old"), ("s", "src/a.js", "y", "old"), ("r", "b.js", "z", "old")], "repo string, filePath string, name string, boundedContextId string"))
+    commits = spark.createDataFrame([("r", "src/a.js", datetime(2024, 5, 30), "a@x")] * 3, "repo string, filePath string, ts timestamp, email string")
+    patterns = spark.createDataFrame([("r", "c", "src/", 0), ("r", "d", "src/a.js", 1)], "repo string, contextId string, pattern string, declarationOrder int")
+    got = run(g, engine.sourced(commits, patterns, F.lit(datetime(2024, 6, 1).date())))
+    assert [(r.status, r.stats) for r in got] == [("success", {"files": 1}), ("success", {"assigned": 1, "ambiguous": 1})]
+    assert rows(g["symbols"], "name", "changeFrequency", "authorCount", "gitAge", "boundedContextId") == {("x", 1.0, 1, 2, "c"), ("y", None, None, None, None), ("z", None, None, None, None)}
