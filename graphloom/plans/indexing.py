@@ -138,6 +138,9 @@ def _as_key(pattern: str) -> Callable[[Column], Column]:
 
 def _behaviour(graph: GraphBundle, facts: DataFrame, imports: DataFrame, references: DataFrame, changed: DataFrame) -> None:
     """Errors, configuration, flags and services of the changed files' symbols."""
+    # what callers were found to pass on may come from these files: the pass finds it anew
+    passed = graph["throws"].withColumn("r", F.when(F.coalesce("propagated", F.lit(False)), F.substring_index("symbol", ":", 1)))
+    graph["throws"] = passed.join(changed.select(F.col("repo").alias("r")).distinct(), "r", "left_anti").drop("r")
     thrown = facts.select(F.col("id").alias("symbol"), F.explode("throwTypes").alias("errorType"))
     _renew(graph, "throws", thrown.withColumns({"propagated": F.lit(False), "confidence": F.lit("exact")}), "symbol", changed)
     graph.upsert("error_flows", graph["throws"].select(F.substring_index("symbol", ":", 1).alias("repo"), "errorType").distinct())
