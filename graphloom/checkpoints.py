@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -34,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` in parts of about ``rows`` rows, one for each core at least: for steps that make much of small rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows)))
+
+
 class Rounds:
     """Tables of an iterative job in the shared folder, of which the last ``keep`` stay (None: all, until cleared)."""
 

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import dealt
 from graphloom.fixtures import Graph
 from graphloom.operators import concepts, doc_writes, documents, extraction, parsing, rules, summaries
 from graphloom.plans.catalogue import query, rounded
@@ -32,7 +33,9 @@ def source_files(g: Graph) -> DataFrame:
     text: Column = F.lit(SOURCE)
     for mark, value in (("NAME", F.col("name")), ("SPEC", spec), ("GROUP", F.col("communityId").cast("string"))):
         text = F.replace(text, F.lit(mark), value)
-    return g.sym.select("repo", F.concat("filePath", F.lit("/"), F.col("sym_key").cast("string")).alias("filePath"), text.alias("text"))
+    # texts are far larger than the rows they are made from, whose few bytes would be one task
+    rows = g.sym.select("repo", "filePath", "sym_key", "name", "communityId")
+    return dealt(rows).select("repo", F.concat("filePath", F.lit("/"), F.col("sym_key").cast("string")).alias("filePath"), text.alias("text"))
 
 
 FILE_SQL = "repo, concat(filePath, '/', sym_key) AS \"filePath\""

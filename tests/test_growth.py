@@ -1,0 +1,15 @@
+"""Steps that must not send or compare more than their input."""
+
+from graphloom.operators import parsing
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_service_calls_send_no_side_to_the_driver(spark):
+    names = spark.createDataFrame([("r", "f", "s", "n")], "repo string, filePath string, symbol string, name string")
+    bound = spark.createDataFrame([("r", "f", "sv", "http", "n")], "repo string, filePath string, service string, protocol string, name string")
+    found = parsing.service_calls(names, bound)
+    assert "Broadcast" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("s", "sv", "http")]
