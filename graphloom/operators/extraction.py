@@ -161,6 +161,21 @@ def comments(files: DataFrame) -> DataFrame:
     return rows.select("repo", "filePath", kind.alias("kind"), F.substring("c", 1, 2000).alias("text"), F.col("c").rlike(r"@\w+").alias("hasDocTags"))
 
 
+def innermost(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``src``, the id of the innermost symbol around each line (repo, filePath, line); of equal spans the least.
+
+    A span meets lines in cells of its file that are longer than itself, so that it is in two at most. A
+    line is in one cell of each such length. Files of many symbols aren't compared line by span.
+    """
+    spans = symbols.where("lineEnd >= lineStart").groupBy("repo", "filePath", "lineStart", "lineEnd").agg(F.min("id").alias("src"))
+    spans = spans.withColumn("bits", F.length(F.bin((F.col("lineEnd") - F.col("lineStart")).cast("long"))))
+    most = spans.agg(F.max("bits")).first()[0] or 1
+    spans = spans.withColumn("cell", F.explode(F.array_distinct(F.array(F.expr("shiftright(lineStart, bits)"), F.expr("shiftright(lineEnd, bits)")))))
+    lines_ = sites.select("repo", "filePath", F.col("line").cast("int").alias("line")).distinct().withColumn("bits", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("cell", F.expr("shiftright(line, bits)"))
+    found = lines_.join(spans, ["repo", "filePath", "bits", "cell"]).where("line BETWEEN lineStart AND lineEnd")
+    return found.groupBy("repo", "filePath", "line").agg(F.min(F.struct(F.col("lineEnd") - F.col("lineStart"), -F.col("lineStart"), "src")).alias("best")).select("repo", "filePath", "line", "best.src")
+
+
 def resolve_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
     """Edges ``src``, ``dst``, ``confidence`` between symbols' ids.
 
@@ -168,13 +183,8 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, imported: DataFrame) ->
     symbol of that name in the same file, else one that the file imports by that name
     (``imported``: repo, filePath, name, target); else the call stays unresolved.
     """
-    spans = symbols.select("repo", "filePath", F.col("id").alias("src"), "lineStart", "lineEnd")
-    rows = sites.withColumn("site", F.monotonically_increasing_id())
-    inside = rows.join(spans, ["repo", "filePath"]).where("line BETWEEN lineStart AND lineEnd")
-    inner = Window.partitionBy("site").orderBy(F.col("lineEnd") - F.col("lineStart"), F.desc("lineStart"), "src")
-    inside = inside.withColumn("at", F.row_number().over(inner)).where("at = 1")
     name = F.regexp_extract("callee", r"^([\w$]+)", 1)
-    inside = inside.select("repo", "filePath", "src", name.alias("name"))
+    inside = sites.select("repo", "filePath", "line", name.alias("name")).distinct().join(innermost(sites, symbols), ["repo", "filePath", "line"]).select("repo", "filePath", "src", "name")
     own = symbols.groupBy("repo", "filePath", "name").agg(F.min("id").alias("own"))
     far = imported.join(symbols.select("repo", F.col("filePath").alias("target"), "name", "id"), ["repo", "target", "name"]).groupBy("repo", "filePath", "name").agg(F.min("id").alias("far"))
     rows = inside.join(own, ["repo", "filePath", "name"], "left").join(far, ["repo", "filePath", "name"], "left")
