@@ -110,6 +110,11 @@ def with_views(sql: str) -> str:
     return f"{lead}{views}\n{rest}"
 
 
+#: Tables that grow with the graph though their files stay small, by the views that join them: both sides are shuffled,
+#: as what Spark would send to all tasks by a file's size is many times that size in memory.
+SHUFFLED = {"calls": ["lineitem", "sym"], "calls_service": ["sym"], "docs": ["sym", "part"], "governs": ["sym"], "sym_summaries": ["sym"]}
+
+
 class Graph:
     """Test tables and derived views as DataFrames, made when first asked for."""
 
@@ -127,6 +132,7 @@ class Graph:
             words = set(re.findall(r"\w+", VIEWS[name]))
             for other in [*TABLES, *VIEWS]:
                 if other in words and other != name:
-                    getattr(self, other).createOrReplaceTempView(other)
+                    table = getattr(self, other)
+                    (table.hint("merge") if other in SHUFFLED.get(name, []) else table).createOrReplaceTempView(other)
             self._made[name] = self.spark.sql(VIEWS[name])
         return self._made[name]

@@ -121,5 +121,5 @@ def governs(declared: DataFrame, documents: DataFrame, symbols: DataFrame) -> Da
 
 def stale(symbols: DataFrame, summaries: DataFrame) -> DataFrame:
     """Summaries made from another content than their symbol's."""
-    rows = summaries.join(symbols.select(F.col("id").alias("symbolFqn"), "hash"), "symbolFqn")
+    rows = summaries.join(symbols.select(F.col("id").alias("symbolFqn"), "hash").hint("merge"), "symbolFqn")
     return rows.where(F.col("hash").isNotNull() & (F.col("contentHash") != F.col("hash")))

@@ -416,7 +416,7 @@ def governs_edges(g: Graph) -> DataFrame:
 @query("SELECT u.symbolFqn FROM sym_summaries u JOIN sym s ON s.id = u.symbolFqn WHERE sha256(s.name) <> CASE WHEN u.stale THEN 'old' ELSE sha256(s.name) END")
 def stale_summaries(g: Graph) -> DataFrame:
     symbols = g.sym.withColumn("hash", F.sha2("name", 256))
-    made = g.sym_summaries.join(symbols.select(F.col("id").alias("symbolFqn"), F.col("hash").alias("h")), "symbolFqn").withColumn("contentHash", F.when(F.col("stale"), "old").otherwise(F.col("h")))
+    made = g.sym_summaries.join(symbols.select(F.col("id").alias("symbolFqn"), F.col("hash").alias("h")).hint("merge"), "symbolFqn").withColumn("contentHash", F.when(F.col("stale"), "old").otherwise(F.col("h")))
     return passes.stale(symbols, made.select("symbolFqn", "contentHash")).select("symbolFqn")
 
 

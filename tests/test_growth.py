@@ -1,6 +1,11 @@
 """Steps that must not send or compare more than their input."""
 
-from graphloom.operators import parsing
+import random
+
+from graphloom.fixtures import Graph
+from graphloom.operators import extraction, parsing
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -13,3 +18,23 @@ def test_service_calls_send_no_side_to_the_driver(spark):
     found = parsing.service_calls(names, bound)
     assert "Broadcast" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [("s", "sv", "http")]
+
+
+def test_symbols_are_shuffled_in_views(spark):
+    g = Graph(spark, SF)
+    for view in (g.calls, g.sym_summaries, g.governs):
+        assert "BroadcastHashJoin" not in plan(view)
+
+
+def test_innermost_symbol_by_cells(spark):
+    rng = random.Random(5)
+    spans = [("r", f"f{i % 2}", f"id{i}", a, a + rng.choice([0, 0, 1, 3, 8, 60, 700])) for i in range(300) for a in [rng.randrange(1, 900)]]
+    lines = [("r", f"f{i % 2}", i) for i in range(1, 1000)]
+    got = extraction.innermost(spark.createDataFrame(lines, "repo string, filePath string, line int"), spark.createDataFrame(spans, "repo string, filePath string, id string, lineStart int, lineEnd int"))
+    assert "cell" in plan(got)
+    want = {}
+    for _, file, line in lines:
+        around = [(e - s, -s, i) for _, f, i, s, e in spans if f == file and s <= line <= e]
+        if around:
+            want[file, line] = min(around)[2]
+    assert {(r["filePath"], r["line"]): r["src"] for r in got.collect()} == want
