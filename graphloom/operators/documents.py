@@ -66,7 +66,7 @@ def references(docs: DataFrame) -> DataFrame:
     fenced = fenced.select("path", "service", F.lit("fenced").alias("channel"), F.lit(None).cast("string").alias("repo"), "filePath", name.alias("name"))
     links = base.select("path", "service", F.inline(graph_links(F.col("body"))))
     links = links.select("path", "service", F.lit("link").alias("channel"), "repo", "filePath", "name")
-    head = declared(docs).join(base.select(F.col("path").alias("doc_path"), "service"), "doc_path")
+    head = declared(docs).join(base.select(F.col("path").alias("doc_path"), "service").hint("merge"), "doc_path")
     head = head.select(F.col("doc_path").alias("path"), "service", F.lit("frontmatter").alias("channel"), "repo", "filePath", "name")
     return inline.unionByName(fenced).unionByName(links).unionByName(head)
 
@@ -80,20 +80,20 @@ def resolve(refs: DataFrame, symbols: DataFrame, modules: DataFrame, threshold:
 
     In order: repository, file and name; a fenced path's module by its last segment (nothing
     else follows for those); service and name; the most alike name, of the service's if there is
-    one. Of several the least key is taken.
+    one. Of several the least key is taken. Symbols and names grow with the graph and are shuffled, never sent to the driver.
     """
     exact = symbols.groupBy("repo", "filePath", "name").agg(F.min("id").alias("exact"))
     by_service = symbols.groupBy(F.col("repo").alias("service"), "name").agg(F.min("id").alias("by_service"))
     segment = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.(js|ts)$", "")
     by_segment = modules.groupBy(segment(F.col("path")).alias("segment")).agg(F.min("path").alias("module"))
-    rows = refs.join(exact, ["repo", "filePath", "name"], "left").join(by_service, ["service", "name"], "left")
+    rows = refs.join(exact.hint("merge"), ["repo", "filePath", "name"], "left").join(by_service.hint("merge"), ["service", "name"], "left")
     rows = rows.withColumn("segment", F.when(F.col("channel") == "fenced", segment(F.col("filePath")))).join(by_segment, "segment", "left")
     fenced = F.col("channel") == "fenced"
     rows = rows.withColumn("found", F.when(fenced, F.col("module")).otherwise(F.coalesce("exact", "by_service")))
     if threshold < 1:
         like = fuzzy(rows.where(F.col("found").isNull() & ~fenced).select("service", "name").distinct(), symbols, threshold)
         like = like.select(F.coalesce("service", F.lit("")).alias("s"), F.col("name").alias("n"), F.col("id").alias("like"))
-        rows = rows.join(like, (F.coalesce("service", F.lit("")) == F.col("s")) & (F.col("name") == F.col("n")) & F.col("found").isNull() & ~fenced, "left")
+        rows = rows.join(like.hint("merge"), (F.coalesce("service", F.lit("")) == F.col("s")) & (F.col("name") == F.col("n")) & F.col("found").isNull() & ~fenced, "left")
     else:
         rows = rows.withColumn("like", F.lit(None).cast("string"))
     target = F.coalesce("found", "like")
@@ -136,8 +136,8 @@ def similar_names(asked: DataFrame, known: DataFrame, threshold: float) -> DataF
     follow = 1 + F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
     apart = F.bit_count(F.col("l_low").bitwiseXOR(F.col("r_low"))) + F.bit_count(F.col("l_high").bitwiseXOR(F.col("r_high")))
     x, y = first(left, "l_"), first(right, "r_").withColumnRenamed("b", "c")
-    pairs = x.join(y, (F.col("b") == F.col("c")) & (F.least("l_n", "r_n") >= common) & (follow >= common) & (apart <= total - 2 * common)).select("l_w", "r_w").distinct()
-    pairs = pairs.join(left.select(F.col("w").alias("l_w"), "g"), "l_w").join(right.select(F.col("w").alias("r_w"), F.col("g").alias("h")), "r_w")
+    pairs = x.join(y.hint("merge"), (F.col("b") == F.col("c")) & (F.least("l_n", "r_n") >= common) & (follow >= common) & (apart <= total - 2 * common)).select("l_w", "r_w").distinct()
+    pairs = pairs.join(left.select(F.col("w").alias("l_w"), "g").hint("merge"), "l_w").join(right.select(F.col("w").alias("r_w"), F.col("g").alias("h")).hint("merge"), "r_w")
     score = 2.0 * F.size(F.array_intersect("g", "h")) / (F.size("g") + F.size("h"))
     return pairs.select(F.col("l_w").alias("name"), F.col("r_w").alias("symbol"), score.alias("score")).where(F.col("score") >= threshold - 1e-9)
 
@@ -148,7 +148,7 @@ def fuzzy(refs: DataFrame, symbols: DataFrame, threshold: float = FUZZY) -> Data
     A service takes symbols of its repository only.
     """
     pairs = similar_names(refs.select("name"), symbols.select("name"), threshold)
-    rows = refs.select("service", "name").distinct().join(pairs, "name").join(symbols.select(F.col("name").alias("symbol"), F.col("repo").alias("owner"), "id"), "symbol")
+    rows = refs.select("service", "name").distinct().hint("merge").join(pairs, "name").join(symbols.select(F.col("name").alias("symbol"), F.col("repo").alias("owner"), "id").hint("merge"), "symbol")
     rows = rows.where(F.col("service").isNull() | (F.col("service") == F.col("owner")))
     return rows.groupBy("service", "name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
 
