@@ -14,7 +14,7 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fanOut"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fanIn"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return nodes.join(into, "node", "left").join(out, "node", "left").select(*nodes.columns, zero("fanIn"), zero("fanOut"))
+    return nodes.join(into.hint("merge"), "node", "left").join(out.hint("merge"), "node", "left").select(*nodes.columns, zero("fanIn"), zero("fanOut"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:

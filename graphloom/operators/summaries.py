@@ -123,7 +123,7 @@ def run(members: DataFrame, complete: Callable[[str, str], str], most_focal: int
     takes prompt and tier and runs in the tasks; what gives no payload is asked once more.
     """
     focal = focal_set(members.withColumn("role", F.coalesce("role", F.lit("core"))), most_focal).select("id", F.lit(True).alias("focal"))
-    rows = members.withColumnRenamed("tier", "had").join(focal, "id", "left")
+    rows = members.withColumnRenamed("tier", "had").join(focal.hint("merge"), "id", "left")  # as many as symbols: not sent to the driver
     wanted = canonical(F.coalesce("pageRank", F.lit(0.0)), F.coalesce("isPublicApi", F.lit(False)), F.coalesce("role", F.lit("core")))
     rows = rows.withColumn("tier", F.when(F.coalesce("focal", F.lit(False)) & wanted, "canonical").otherwise("provisional"))
     rows = rows.where(F.coalesce("focal", F.lit(False)) | ~F.col("had").eqNullSafe("canonical")).select(F.col("id").alias("symbolFqn"), "tier", "prompt")

@@ -212,7 +212,7 @@ def stubs(g: Graph) -> DataFrame:
     """Members as the summarising operators take them."""
     rows = members(g)
     names = g.sym.select("id", "name")
-    return rows.join(names, "id").withColumn("role", F.when(F.col("sym_key") % 11 == 0, "bridge").otherwise("core"))
+    return rows.join(names.hint("merge"), "id").withColumn("role", F.when(F.col("sym_key") % 11 == 0, "bridge").otherwise("core"))
 
 
 @query(f"WITH {MEMBERS} SELECT repo, communityId, id, row_number() OVER (PARTITION BY repo, communityId ORDER BY pr DESC, id) AS \"at\", tier IS NOT NULL AS \"hasSummary\" FROM members")

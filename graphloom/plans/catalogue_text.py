@@ -286,7 +286,7 @@ def members(g: Graph) -> DataFrame:
     """Symbols with the columns that summarising needs; a tenth of fanIn stands for PageRank."""
     fan = algorithms.degree(nodes(g), edges(g)).select(F.col("node").alias("sym_key"), "fanIn")
     tiers = g.sym_summaries.select(F.col("symbolFqn").alias("id"), "tier", "stale")
-    rows = passes.public_api(g.sym, g.mod).join(fan, "sym_key").join(tiers, "id", "left")
+    rows = passes.public_api(g.sym, g.mod).join(fan.hint("merge"), "sym_key").join(tiers.hint("merge"), "id", "left")
     return rows.select("sym_key", "repo", "communityId", "id", (F.col("fanIn") / 10).alias("pageRank"), "fanIn", "isPublicApi", F.lit(0.0).alias("changeFrequency"), "tier", F.coalesce("stale", F.lit(False)).alias("stale"))
 
 

@@ -1,9 +1,13 @@
 """Steps that must not send or compare more than their input."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import extraction, parsing
+from graphloom.operators import extraction, parsing, summaries
+from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +42,10 @@ def test_innermost_symbol_by_cells(spark):
         if around:
             want[file, line] = min(around)[2]
     assert {(r["filePath"], r["line"]): r["src"] for r in got.collect()} == want
+
+
+def test_members_and_their_summaries_are_shuffled(spark):
+    g = Graph(spark, SF)
+    assert len(re.findall("BroadcastHashJoin", plan(catalogue_text.members(g)))) <= 1  # modules
+    rows = catalogue_text.members(g).withColumns({"role": F.lit("core"), "prompt": F.col("id")})
+    assert len(re.findall("BroadcastHashJoin", plan(summaries.run(rows, lambda prompt, tier: "{}")))) <= 2  # modules, on both sides
