@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import extraction, parsing, summaries
+from graphloom.operators import documents, extraction, parsing, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -17,11 +17,12 @@ def plan(df):
 
 
 def test_service_calls_send_no_side_to_the_driver(spark):
-    names = spark.createDataFrame([("r", "f", "s", "n")], "repo string, filePath string, symbol string, name string")
-    bound = spark.createDataFrame([("r", "f", "sv", "http", "n")], "repo string, filePath string, service string, protocol string, name string")
+    one = lambda **values: spark.range(1).select(*[F.concat(F.lit(v), F.col("id").cast("string")).alias(c) for c, v in values.items()])  # noqa: E731  a plan of known size
+    names = one(repo="r", filePath="f", symbol="s", name="n")
+    bound = one(repo="r", filePath="f", service="sv", protocol="http", name="n")
     found = parsing.service_calls(names, bound)
     assert "Broadcast" not in plan(found)
-    assert [tuple(r) for r in found.collect()] == [("s", "sv", "http")]
+    assert [tuple(r) for r in found.collect()] == [("s0", "sv0", "http0")]
 
 
 def test_symbols_are_shuffled_in_views(spark):
@@ -49,3 +50,10 @@ def test_members_and_their_summaries_are_shuffled(spark):
     assert len(re.findall("BroadcastHashJoin", plan(catalogue_text.members(g)))) <= 1  # modules
     rows = catalogue_text.members(g).withColumns({"role": F.lit("core"), "prompt": F.col("id")})
     assert len(re.findall("BroadcastHashJoin", plan(summaries.run(rows, lambda prompt, tier: "{}")))) <= 2  # modules, on both sides
+
+
+def test_names_of_a_similarity_join_are_shuffled(spark):
+    names = spark.range(2).select(F.when(F.col("id") == 0, "Large_ring_1").otherwise("Hot_bolt_2").alias("name"))
+    found = documents.similar_names(names, names, 0.6)
+    assert len(re.findall("BroadcastHashJoin", plan(found))) <= 2  # counts of bigrams, on both sides
+    assert {(r["name"], r["symbol"]) for r in found.collect()} == {("Large_ring_1", "Large_ring_1"), ("Hot_bolt_2", "Hot_bolt_2")}
