@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import frontmatter, text
-from graphloom.operators import algorithms, documents, extraction, passes, summaries, tools, traverse, upsert
+from graphloom.operators import algorithms, brandes, documents, extraction, passes, summaries, tools, traverse, upsert
 from graphloom.operators.leiden import Params, leiden
 from graphloom.streaming import jobs
 
@@ -71,6 +71,17 @@ def test_betweenness(spark):
     assert got == pytest.approx(want)
 
 
+def test_betweenness_in_steps_and_after_most_sources_are_done(spark, monkeypatch):
+    """A hub and a long path, rows expanded a few at a time: most sources end early, one goes on."""
+    monkeypatch.setattr(brandes, "HELD", 6)
+    pairs = [(0, i) for i in range(1, 9)] + [(i, 9) for i in range(1, 9)] + [(20 + i, 21 + i) for i in range(5)]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in (*range(10), *range(20, 26), 30)], "node string")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    got = {r["node"]: r["betweenness"] for r in algorithms.betweenness(nodes, edges).collect()}
+    want = {**{f"n{i}": 0.125 for i in range(1, 9)}, "n21": 4.0, "n22": 6.0, "n23": 6.0, "n24": 4.0}
+    assert got == pytest.approx({n: want.get(n, 0.0) for n in got}) and len(got) == 17
+
+
 def test_components(spark):
     nodes, edges, n, pairs = graph(spark, 5, 60, 45)
     both = pairs + [(b, a) for a, b in pairs]
