@@ -7,11 +7,27 @@ postings of its words; the rest of the index isn't joined.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: BM25's saturation of repeated words, and how much a document's length counts.
 K1, B = 1.2, 0.75
+#: Documents whose words and scores one task holds.
+DEALT = 1_000
+#: Words of all queries, with repeats, that are sent to all tasks; more are shuffled.
+SENT = 1_000_000
+
+
+def dealt(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """``rows`` by a document's key, in more parts the more documents (``n``) there are, so that a part stays as large."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / DEALT)), column)
+
+
+def sent(asked: DataFrame) -> DataFrame:
+    """The words of queries for a join with dealt documents: these stay where they are, unless the words are very many."""
+    return F.broadcast(asked) if asked.count() <= SENT else asked
 
 
 def terms(text: Column) -> Column:
@@ -21,7 +37,7 @@ def terms(text: Column) -> Column:
 
 def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``postings`` and ``lengths`` of documents (path, text); null texts are empty."""
-    rows = docs.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    rows = dealt(docs.select("path", F.coalesce("text", F.lit("")).alias("text")), "path", docs.count())
     lengths = rows.select("path", F.size(terms(F.col("text"))).cast("long").alias("length"), F.sha2("text", 256).alias("hash"))
     each = rows.select("path", F.explode(terms(F.col("text"))).alias("term"))
     return each.groupBy("term", "path").agg(F.count("*").alias("tf")), lengths
@@ -43,15 +59,16 @@ def search(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int =
     """``query``, ``path``, ``score``: the ``k`` best documents of each query (query, text) by BM25, ties by path.
 
     Each distinct word of a query counts once. Postings of a frequent word are many rows of one
-    key; words are few, so they are sent to the postings if Spark finds them small, else shuffled.
+    key, so postings are dealt by document and the words of queries are sent to them: a task scores its own
+    documents for all queries and passes on only the best of each.
     """
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = whole["n"], whole["mean"] or 1.0
-    hits = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    hits = dealt(postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "path", "tf"), "path", n)
     idf = hits.groupBy("term").agg(F.log(1 + (n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    parts = hits.join(lengths.select("path", "length"), "path").join(idf, "term").select("term", "path", (F.col("idf") * weight).alias("part"))
-    scores = asked.join(parts, "term").groupBy("query", "path").agg(F.round(F.sum("part") + 1e-9, 4).alias("score"))
+    sized = hits.join(dealt(lengths.select("path", "length"), "path", n).hint("merge"), "path")
+    scores = sized.join(sent(asked.join(idf, "term")), "term").select("query", "path", (F.col("idf") * weight).alias("part")).groupBy("query", "path").agg(F.round(F.sum("part") + 1e-9, 4).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "path")
     return scores.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at")

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import documents, extraction, parsing, summaries
+from graphloom.operators import documents, extraction, parsing, search_index, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,14 @@ def test_names_of_a_similarity_join_are_shuffled(spark):
     found = documents.similar_names(names, names, 0.6)
     assert len(re.findall("BroadcastHashJoin", plan(found))) <= 2  # counts of bigrams, on both sides
     assert {(r["name"], r["symbol"]) for r in found.collect()} == {("Large_ring_1", "Large_ring_1"), ("Hot_bolt_2", "Hot_bolt_2")}
+
+
+def test_searched_documents_are_dealt_by_their_number(spark, monkeypatch):
+    """A task scores its own documents: no word's postings and no query's documents meet in one task."""
+    monkeypatch.setattr(search_index, "DEALT", 10)
+    docs = spark.range(70).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("every word of "), F.col("id").cast("string")).alias("text"))
+    postings, lengths = search_index.indexed(docs)
+    found = search_index.search(postings, lengths, spark.createDataFrame([("a", "every 7"), ("b", "word")], "query string, text string"), k=3)
+    text = plan(found)
+    assert re.search(r"hashpartitioning\(path#\d+, 7\)", text) and not re.search(r"hashpartitioning\(query#\d+, path#\d+", text)
+    assert [tuple(r)[:2] for r in found.orderBy("query", F.desc("score"), "path").collect()] == [("a", "p7"), ("a", "p0"), ("a", "p1"), ("b", "p0"), ("b", "p1"), ("b", "p10")]
