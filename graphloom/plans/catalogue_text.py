@@ -251,10 +251,12 @@ SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY it
 def doc_search_tfidf(g: Graph) -> DataFrame:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
     asked = g.benchmark.select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    found = g.documents.select("doc_id", F.explode(words(F.col("text"))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
     n = g.documents.count()
+    found = search_index.dealt(g.documents.select("doc_id", "text"), "doc_id", n).select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    found = found.join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
+    found = search_index.dealt(found, "doc_id", n)
     df = found.groupBy("w").agg((F.log(1 + n / F.count("*"))).alias("idf"))
-    scores = asked.join(found, "w").join(df, "w").groupBy("item_id", "doc_id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf")) + 1e-9, 4).alias("score"))
+    scores = found.join(search_index.sent(asked.join(df, "w")), "w").groupBy("item_id", "doc_id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf")) + 1e-9, 4).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("r", F.row_number().over(order)).where("r <= 10").drop("r")
 
