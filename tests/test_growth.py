@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import documents, extraction, parsing, search_index, summaries
+from graphloom.operators import algorithms, cells, documents, extraction, leiden, parsing, search_index, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,26 @@ def test_searched_documents_are_dealt_by_their_number(spark, monkeypatch):
     text = plan(found)
     assert re.search(r"hashpartitioning\(path#\d+, 7\)", text) and not re.search(r"hashpartitioning\(query#\d+, path#\d+", text)
     assert [tuple(r)[:2] for r in found.orderBy("query", F.desc("score"), "path").collect()] == [("a", "p7"), ("a", "p0"), ("a", "p1"), ("b", "p0"), ("b", "p1"), ("b", "p10")]
+
+
+def test_components_merge_edges_and_follow_long_paths(spark):
+    """A path in falling and rising order, a clique, loops, repeated edges, ends that are no nodes, and a node alone."""
+    pairs = [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)] + [(f"q{i * 37 % 101:03}", f"q{(i + 1) * 37 % 101:03}") for i in range(100)]
+    pairs += [(f"c{a}", f"c{b}") for a in range(5) for b in range(5)] + [("c0", "gone"), ("gone", "p000"), (None, "p000"), ("x", "x"), ("c1", "c2")]
+    names = sorted({n for p in pairs for n in p if n not in (None, "gone")})
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    got = {r["node"]: r["component"] for r in algorithms.components(nodes, spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got == {n: {"p": "p000", "q": "q000", "c": "c0", "x": "x"}[n[0]] for n in names}
+
+
+def test_rounds_of_communities_shuffle_arrays(spark):
+    """A round over edges is by cells, with no row for an edge and no side sent to all tasks by hand."""
+    edges = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "src long, dst long")
+    _, graph = cells.numbered(spark.range(30).withColumnRenamed("id", "node"), edges)
+    state = cells.degrees(graph).select("node", "k", F.lit(0.0).alias("loop"), F.col("node").alias("community"), F.lit(1).alias("turn"))
+    assert cells.of_kind(graph, cells.EDGES).count() <= cells.LEAST
+    moved = leiden._moved(graph, state, 870.0, leiden.Params())
+    assert "FlatMapCoGroupsInArrow" in plan(moved) and "ResolvedHint" not in plan(moved)
+    rows = moved.collect()
+    assert len(rows) == 30 and all(r["inside"] == 0.0 and r["all"] == 29.0 for r in rows)
+    assert len({r["community"] for r in rows}) < 30
