@@ -38,16 +38,20 @@ def created(documents: DataFrame, new: DataFrame) -> DataFrame:
     return updated(documents, new)
 
 
+def _last(new: DataFrame) -> DataFrame:
+    """The row of each path that counts."""
+    body = F.max_by("body", F.struct("at", "body")) if "at" in new.columns else F.max("body")
+    return new.groupBy("path").agg(body.alias("body"))
+
+
 def updated(documents: DataFrame, new: DataFrame) -> DataFrame:
     """``documents`` with those of ``new`` in place of the ones with their paths.
 
     Of a path that repeats the last row by ``at`` counts, if ``new`` has that column, else the greatest text.
     """
-    body = F.max_by("body", F.struct("at", "body")) if "at" in new.columns else F.max("body")
-    last = new.groupBy("path").agg(body.alias("body"))
-    rows = rows_of(last)
+    last = _last(new)
     kept = documents.join(last.select("path"), "path", "left_anti")
-    return kept.unionByName(rows, allowMissingColumns=True).select(*documents.columns)
+    return kept.unionByName(rows_of(last), allowMissingColumns=True).select(*documents.columns)
 
 
 def deleted(documents: DataFrame, paths: DataFrame) -> DataFrame:
@@ -61,10 +65,15 @@ def proposal_path(name: Column) -> Column:
 
 
 def proposed(documents: DataFrame, new: DataFrame) -> DataFrame:
-    """``documents`` with proposals (``name``, ``body``), whose own status is always ``proposed``."""
+    """``documents`` with proposals (``name``, ``body``), whose own status is always ``proposed`` if they have a name.
+
+    Their status is set without a join, so that no text is carried along where only paths are asked for.
+    """
     rows = new.select(proposal_path(F.col("name")).alias("path"), "body")
-    added = updated(documents, rows).join(rows.select("path", F.lit(True).alias("new")).distinct(), "path", "left")
-    return added.withColumn("status", F.when(F.col("new"), "proposed").otherwise(F.col("status"))).select(*documents.columns)
+    kept = documents.join(rows.select("path"), "path", "left_anti")
+    named = rows_of(_last(rows.where("path IS NOT NULL"))).withColumn("status", F.lit("proposed"))
+    added = named.unionByName(rows_of(_last(rows.where("path IS NULL"))))
+    return kept.unionByName(added, allowMissingColumns=True).select(*documents.columns)
 
 
 def from_template(documents: DataFrame, templates: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

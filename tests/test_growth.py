@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import algorithms, cells, documents, extraction, leiden, parsing, search_index, summaries
+from graphloom.operators import algorithms, cells, doc_writes, documents, extraction, leiden, parsing, search_index, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,12 @@ def test_rounds_of_communities_shuffle_arrays(spark):
     rows = moved.collect()
     assert len(rows) == 30 and all(r["inside"] == 0.0 and r["all"] == 29.0 for r in rows)
     assert len({r["community"] for r in rows}) < 30
+
+
+def test_proposals_carry_no_texts_for_their_paths(spark):
+    new = spark.createDataFrame([("a", "x"), ("b.md", "---\nstatus: done\n---\ny"), (None, "---\nstatus: done\n---\nz")], "name string, body string")
+    none = new.select(F.col("name").alias("path"), F.lit("x").alias("status"), "body")
+    got = doc_writes.proposed(none.where("false"), new)
+    assert {(r["path"], r["status"]) for r in got.collect()} == {(".claude/proposals/a.md", "proposed"), (".claude/proposals/b.md", "proposed"), (None, "done")}
+    named = plan(doc_writes.proposed(none.where("false"), new.where("name IS NOT NULL")).select("path", "status").where("path IS NOT NULL"))
+    assert re.search(r"HashAggregate\(keys=\[path#\d+\], functions=\[\]", named) and "Join" not in named
