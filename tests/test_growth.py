@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import algorithms, cells, doc_writes, documents, extraction, leiden, parsing, search_index, summaries
+from graphloom.operators import algorithms, cells, doc_writes, documents, extraction, leiden, parsing, search_index, shares, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,32 @@ def test_proposals_carry_no_texts_for_their_paths(spark):
     assert {(r["path"], r["status"]) for r in got.collect()} == {(".claude/proposals/a.md", "proposed"), (".claude/proposals/b.md", "proposed"), (None, "done")}
     named = plan(doc_writes.proposed(none.where("false"), new.where("name IS NOT NULL")).select("path", "status").where("path IS NOT NULL"))
     assert re.search(r"HashAggregate\(keys=\[path#\d+\], functions=\[\]", named) and "Join" not in named
+
+
+def test_rounds_of_ranks_shuffle_arrays_and_edges_once(spark, monkeypatch):
+    """Many small cells; nodes that are null or stand twice, edges that occur twice, return or go to no node."""
+    plans = []
+
+    def cut(df):
+        found = algorithms.cut(df)
+        plans.append(plan(df))
+        return found
+
+    monkeypatch.setattr(shares, "HELD", 20)
+    monkeypatch.setattr(shares, "cut", cut)
+    rng = random.Random(8)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(300)] + [("n1", "n1"), ("n1", "n2"), ("n1", "n2"), ("n3", "gone"), ("gone", "n4"), (None, "n5"), ("n6", None)]
+    names = [f"n{i}" for i in range(70)] + ["n2", None]
+    got = algorithms.pagerank(spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(pairs, "src string, dst string"), rounds=5).collect()
+    out = {n: sum(a == n for a, _ in pairs) for n in names}
+    rank = dict.fromkeys(names, 0.15)
+    for _ in range(5):
+        rank = {n: 0.15 + 0.85 * sum(rank[a] / out[a] * names.count(a) for a, b in pairs if n is not None and b == n and a in rank and a is not None) for n in rank}
+    assert sorted((r["node"] or "", round(r["pageRank"], 9)) for r in got) == sorted((n or "", round(rank[n], 9)) for n in names)
+    # a round joins no edges: what was sent meets the edges of a cell, which are shuffled once and read again
+    assert "src#" not in plans[0] and len(re.findall("FlatMapCoGroupsInArrow", plans[0])) >= 5 and "ReusedExchange" in plans[0]
+
+
+def test_ranks_of_no_rounds(spark):
+    nodes, edges = spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert [r["pageRank"] for r in algorithms.pagerank(nodes, edges, rounds=0, damping=0.5).collect()] == [0.5, 0.5]
