@@ -24,8 +24,7 @@ table gives no rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +35,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import checkpointed
 
 END = b"\n"
-#: Stands for the end of a text among the words; no word holds it.
-END_WORD = b"\n"
+#: What bytes count as: A-Z as a-z, and all that parts words as a space.
+AS = np.arange(256, dtype=np.uint8)
+AS[ord("A") : ord("Z") + 1] += 32
+AS[9:14] = ord(" ")
 LOG10 = math.log(10)
 
 
@@ -56,37 +57,81 @@ class Params:
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
+    """The words of a text; many texts at a time go through ``_streams``."""
     return text.lower().split() if text else []
 
 
 def stream(words: list[bytes]) -> bytes:
-    return b"".join([w + b" " for w in words]) + END
+    """The bytes that a text is scored as."""
+    return b" ".join([*words, END])
 
 
 def _packed(data: np.ndarray, depth: int) -> np.ndarray:
     """The n-grams of ``depth + 1`` bytes that end at each place from ``depth`` on."""
-    key = np.zeros(len(data) - depth, np.int64)
-    for i in range(depth + 1):
-        key = (key << 8) | data[i : len(data) - depth + i]
-    return key
+    data = np.concatenate((data, np.zeros(8, np.uint8)))
+    key = np.ndarray((len(data) - 8 - depth,), "<u8", data, 0, (1,)).byteswap()  # the eight bytes from each place on
+    key >>= np.uint64(8 * (7 - depth))
+    return key.view(np.int64)
+
+
+def _streams(texts: list[bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The streams of some texts, one behind the other, their lengths, and the n-grams that end at each of their bytes."""
+    tail = b" " + END * (depth + 1)  # the end, and as many before the next text as its first contexts reach back
+    data = AS[np.frombuffer(b"".join([x for t in texts for x in (t or b"", tail)]), np.uint8)]
+    sizes = np.array([len(t or b"") for t in texts]) + len(tail)
+    ends = np.cumsum(sizes)
+    data[(ends[:, None] - 1 - np.arange(depth + 1)).reshape(-1)] = END[0]
+    word = data != ord(" ")
+    kept = word.copy()  # and a space behind each word
+    kept[1:] |= word[:-1] & (data[:-1] != END[0])
+    data = data[kept]
+    lengths = np.add.reduceat(kept, ends - sizes, dtype=np.int64) - depth
+    inside = np.ones(len(data), bool)
+    inside[(np.cumsum(lengths + depth)[:, None] - 1 - np.arange(depth)).reshape(-1)] = False
+    return data[inside], lengths, _packed(np.concatenate((np.frombuffer(END * depth, np.uint8), data)), depth)[inside]
+
+
+def _blocks(texts: Iterable[bytes | None], depth: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_streams`` of some texts at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or b"") + 1
+        if size > most:
+            yield _streams(held, depth)
+            held, size = [], 0
+    if held:
+        yield _streams(held, depth)
+
+
+def _words(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of streams, each with its space, the ends of texts as words of their own, and how many each text has."""
+    last = np.flatnonzero((data == ord(" ")) | (data == END[0]))
+    starts = np.concatenate(([0], last + 1)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(starts), pa.py_buffer(data)]), np.diff(np.flatnonzero(data[last] == END[0]), prepend=-1)
+
+
+def _column(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
+    for batch in batches:
+        yield from batch.column(0).to_pylist()
 
 
 def _words_partition(params: Params):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update(normal_words(text))
-                words[END_WORD] += 1
-                if len(words) > params.flush:
-                    yield rows()
-                    words.clear()
-        if words:
-            yield rows()
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for data, *_ in _blocks(_column(batches), 0):
+            found = _words(data)[0].value_counts()
+            held.append(pa.table([found.field("values"), found.field("counts")], names=["word", "n"]))
+            if sum(map(len, held)) > 2 * params.flush:
+                held = [summed()]
+                if len(held[0]) > params.flush:
+                    yield from held.pop().combine_chunks().to_batches()
+        if held:
+            yield from summed().combine_chunks().to_batches()
 
     return count
 
@@ -108,13 +153,7 @@ def _slot(grams: np.ndarray, slots: int) -> np.ndarray:
 
 def _grams_partition(params: Params, slots: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad, held, size, parts = END * params.depth, [], 0, []
-
-        def take() -> None:
-            keys = _packed(np.frombuffer(pad + b"".join([x + pad for x in held]), np.uint8), params.depth)
-            inside = np.concatenate([np.arange(len(x) + params.depth) < len(x) for x in held])
-            parts.append(np.unique(keys[inside], return_counts=True))
-            held.clear()
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def dealt() -> pa.RecordBatch:
             keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
@@ -126,17 +165,10 @@ def _grams_partition(params: Params, slots: int):
             own = [order[ends[i] : ends[i + 1]] for i in some]
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_pressed(keys[x], True) for x in own], pa.binary()), pa.array([_pressed(n[x]) for x in own], pa.binary())], names=["slot", "grams", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(stream(normal_words(text)))
-                size += len(held[-1])
-                if size > 1 << 22:
-                    take()
-                    size = 0
-                    if sum(len(k) for k, _ in parts) > params.held_grams:
-                        yield dealt()
-        if held:
-            take()
+        for *_, keys in _blocks(_column(batches), params.depth):
+            parts.append(np.unique(keys, return_counts=True))
+            if sum(len(k) for k, _ in parts) > params.held_grams:
+                yield dealt()
         if parts:
             yield dealt()
 
@@ -168,6 +200,34 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
+def _pressed_logs(values: np.ndarray) -> bytes:
+    """Float32 numbers with all their first bytes together, and so on, as zstd."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _loose_logs(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.float32).reshape(-1)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of places by key, the key of each run of equal ones, and the lengths of runs.
+
+    Places are sorted as the lower bits of hashes, which is faster than to sort them by key. Keys whose hashes clash may have several runs.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed >>= bits
+    mixed <<= bits
+    mixed |= np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    mixed &= (np.uint64(1) << bits) - np.uint64(1)
+    order = mixed.astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+    found = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), found[1:] != found[:-1])))
+    return order, found[first], np.diff(first, append=len(keys)).astype(order.dtype)
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
@@ -407,24 +467,6 @@ def _tree(texts: DataFrame, params: Params) -> tuple[Tree, DataFrame, int]:
     return build(counts, below, params.depth), rows.where("last < 0").select("slot", "grams", "n"), slots
 
 
-def _blocks(texts: list[bytes | None], depth: int, most: int = 1 << 20) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some texts at a time: their words, lengths, n-grams at all places and whether these are inside a text."""
-    pad, words, held, size = END * depth, [], [], 0
-    for i, text in enumerate(texts):
-        words.append(normal_words(text))
-        held.append(stream(words[-1]))
-        size += len(held[-1])
-        if size > most or i == len(texts) - 1:
-            lengths = np.array([len(x) for x in held])
-            keys = _packed(np.frombuffer(pad + b"".join([x + pad for x in held]), np.uint8), depth)
-            ends = np.cumsum(lengths + depth)
-            gap = (ends[:, None] - 1 - np.arange(depth)).reshape(-1)
-            inside = np.ones(len(keys), bool)
-            inside[gap] = False
-            yield words, lengths, keys, inside
-            words, held, size = [], [], 0
-
-
 def _packed_texts(texts: list[bytes | None]) -> bytes:
     lengths = np.array([len(t or b"") for t in texts], "<i4").tobytes()
     raw = lengths + b"".join([t for t in texts if t])
@@ -474,9 +516,10 @@ def _texts(table: pa.Table) -> list[bytes]:
 
 def _asked(texts: list[bytes], depth: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of texts by slot, ascending in each, with the slots and their ends."""
-    grams = _distinct(np.concatenate([_distinct(keys[inside]) for *_, keys, inside in _blocks(texts, depth, 1 << 22)]))
+    grams = _distinct(np.concatenate([_distinct(keys) for *_, keys in _blocks(texts, depth)]))
     slot = _slot(grams, slots)
-    return grams[np.argsort(slot, kind="stable")], np.cumsum(np.bincount(slot, minlength=slots)), np.flatnonzero(np.bincount(slot, minlength=slots))
+    n = np.bincount(slot, minlength=slots)
+    return grams[np.argsort(slot, kind="stable")], np.cumsum(n), np.flatnonzero(n)
 
 
 def _ask(params: Params, slots: int):
@@ -498,38 +541,28 @@ def _answer(shared):
         tree, *_, depth = shared.value
         grams = _by_depth(_joined(_loose(known.column("grams"), True)), _joined(_loose(known.column("n"))), depth)
         parts = _loose(asked.column("grams"), True)
-        wanted, at = np.unique(_joined(parts), return_inverse=True)
-        logs = _probabilities(grams, tree, depth, wanted)[at].astype(np.float32)
-        cuts = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
-        return pa.table([asked.column("chunk"), asked.column("slot"), pa.ListArray.from_arrays(cuts, pa.array(logs))], names=["chunk", "slot", "logs"])
+        wanted = _distinct(_joined(parts))
+        logs = _probabilities(grams, tree, depth, wanted).astype(np.float32)
+        answers = pa.array([_pressed_logs(logs[np.searchsorted(wanted, x)]) for x in parts], pa.binary())
+        return pa.table([asked.column("chunk"), asked.column("slot"), answers], names=["chunk", "slot", "logs"])
 
     return answer
 
 
-class Looked:
-    """Values by key: a table by hash, and a search for those keys that another one displaced."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
-        self.at = np.zeros(1 << (64 - int(self.shift)), np.int32)
-        self.at[self._hash(self.keys)] = np.arange(len(keys))
-
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.at[self._hash(keys)]
-        missed = np.flatnonzero(self.keys[at] != keys)
-        at[missed] = np.searchsorted(self.keys, keys[missed])
-        return self.values[at]
-
-
 #: What scoring gives: a row for each document, and rows of its rare words, of which only their number and times are set.
 PARTS = "k long, word binary, times long, n_tokens long, n_known long, base double, score double, n_bytes long"
 
 
+def _sums(grams: np.ndarray, logs: np.ndarray, lengths: np.ndarray, order: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each text, the sum of ``logs`` over its places, given the runs of these (``_runs``)."""
+    ascending = np.argsort(heads)
+    at = np.empty(len(heads), np.int64)
+    at[ascending] = np.searchsorted(grams, heads[ascending])
+    found = np.empty(len(order))
+    found[order] = np.repeat(logs[at], n)
+    return np.add.reduceat(found, np.cumsum(lengths) - lengths)
+
+
 def _score_chunk(shared, slots: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         _, frequent, tokens, vocabulary, depth = shared.value
@@ -537,37 +570,34 @@ def _score_chunk(shared, slots: int):
         texts_of = _texts(docs)
         ids = pa.concat_arrays([x.flatten() for x in docs.column("rows").chunks])
         ids = pa.StructArray.from_arrays(ids.flatten(), names=[f.name for f in ids.type])  # all fields nullable, as Spark expects them back
-        grams = _asked(texts_of, depth, slots)[0]
+        k0, blocks, rare, whole = docs.column("chunk")[0].as_py() << 32, [], [], []
+        first = k0
+        for data, lengths, keys in _blocks(texts_of, depth, 1 << 20):
+            blocks.append((lengths, *_runs(keys)))
+            words, n = _words(data)
+            words = words.dictionary_encode()
+            word, names = words.indices.to_numpy(), words.dictionary
+            logs = np.array([frequent.get(w, 0.0) for w in names.to_pylist()])[word]  # above 0 if known
+            starts = np.cumsum(n) - n
+            whole.append((n, np.add.reduceat(logs > 0, starts, dtype=np.int64), np.add.reduceat(logs, starts) - unit * n, lengths))
+            # the counts of others are joined
+            others, times = np.unique(np.repeat(np.arange(len(n)), n)[logs == 0] * len(names) + word[logs == 0], return_counts=True)
+            rare.append(pa.table([pa.array(first + others // len(names)), names.take(pa.array(others % len(names))), pa.array(times)], names=["k", "word", "times"]))
+            first += len(n)
+        rare = pa.concat_tables(rare)
+        n_tokens, known, base, n_bytes = map(np.concatenate, zip(*whole, strict=True))
+        grams = _distinct(np.concatenate([heads for *_, heads, _ in blocks]))
         order = np.argsort(answers.column("slot").to_numpy(), kind="stable")
-        looked = Looked(grams, _flat(answers.column("logs").take(pa.array(order)), np.float32))
-        k0, rare, whole = docs.column("chunk")[0].as_py() << 32, ([], [], []), ([], [], [], [], [])
-        i = -1
-        for texts, lengths, keys, inside in _blocks(texts_of, depth):
-            logs = np.zeros(len(keys))
-            logs[inside] = looked(keys[inside])
-            sums = np.add.reduceat(logs, np.cumsum(lengths + depth) - lengths - depth)
-            for words, length, total in zip(texts, lengths.tolist(), sums.tolist(), strict=True):
-                i += 1
-                known, base = 0, -unit * (len(words) + 1)
-                mine = Counter(words)
-                mine[END_WORD] += 1
-                for w, k in mine.items():
-                    if (c := frequent.get(w)) is not None:
-                        known += k
-                        base += k * math.log10(c + 1)
-                    else:  # its count is joined
-                        rare[0].append(k0 + i)
-                        rare[1].append(w)
-                        rare[2].append(k)
-                for column, v in zip(whole, (len(words) + 1, known, base, total, length), strict=True):
-                    column.append(v)
+        logs = np.zeros(len(grams), np.float32)
+        logs[np.argsort(_slot(grams, slots), kind="stable")] = np.concatenate([_loose_logs(x) for x in answers.column("logs").take(pa.array(order)).to_pylist()])
+        sums = np.concatenate([_sums(grams, logs, *block) for block in blocks])
         names = ["row", "k", "word", "times", "n_tokens", "n_known", "base", "score", "n_bytes"]
         types = [ids.type, *[pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]]
-        # a document's own row has a word that no text has, so that no task gets all of them
+        # a document's own row has a word that no text has (words begin with no space), so that no task gets all of them
         own = [b" %d" % i for i in range(len(ids))]
-        first = [ids, pa.array(np.arange(len(ids)) + k0), pa.array(own, pa.binary()), pa.nulls(len(ids), pa.int64()), *[pa.array(c, t) for c, t in zip(whole, types[4:], strict=True)]]
-        n = len(rare[0])
-        rest = [pa.nulls(n, ids.type), *[pa.array(c, t) for c, t in zip(rare, types[1:4], strict=True)], *[pa.nulls(n, t) for t in types[4:]]]
+        first = [ids, pa.array(np.arange(len(ids)) + k0), pa.array(own, pa.binary()), pa.nulls(len(ids), pa.int64()), *[pa.array(c, t) for c, t in zip((n_tokens, known, base, sums, n_bytes), types[4:], strict=True)]]
+        n = len(rare)
+        rest = [pa.nulls(n, ids.type), *rare.columns, *[pa.nulls(n, t) for t in types[4:]]]
         return pa.concat_tables([pa.table(first, names=names), pa.table(rest, names=names)])
 
     return score
@@ -576,7 +606,7 @@ def _score_chunk(shared, slots: int):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
     """Of each document n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     params = model.params
-    shared = docs.sparkSession.sparkContext.broadcast((model.tree, model.frequent, model.tokens, model.vocabulary, params.depth))
+    shared = docs.sparkSession.sparkContext.broadcast((model.tree, {w: math.log10(n + 1) for w, n in model.frequent.items()}, model.tokens, model.vocabulary, params.depth))
     text = F.col(text_col).cast("binary")
     # text bytes, and the end of each text
     size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1), F.lit(0))).first()[0]
@@ -587,7 +617,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     packed = rows.mapInArrow(_pack_partition(params), f"chunk int, rows array<{kind}>, texts binary")
     # from the same rows as the scores, so that Spark deals the texts only once
     asked = packed.groupBy("chunk").applyInArrow(_ask(params, model.slots), "chunk int, slot int, grams binary")
-    answers = model.grams.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_answer(shared), "chunk int, slot int, logs array<float>")
+    answers = model.grams.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_answer(shared), "chunk int, slot int, logs binary")
     parts = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, model.slots), f"row {kind}, {PARTS}")
     counts = model.words.select("word", F.col("n").alias("c"))
     joined = parts.join(counts, "word", "left")

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,32 @@ def test_rare_contexts_are_learned_at_any_size(spark):
     brute = Brute(train)
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(brute.log10(t or ""), rel=1e-4, abs=1e-4)
+
+
+def test_streams_of_many_texts_are_those_of_each():
+    texts = ["", None, " \t", "The  cat\x0b\x0c SAT \n", "\x00\x1f a\x85b\x0d\x0aÀÉ 日本", "x" * 50, " y"]
+    raw = [None if t is None else t.encode() for t in texts]
+    data, lengths, keys = ctw._streams(raw, DEPTH)
+    want = [ctw.stream(ctw.normal_words(t)) for t in raw]
+    assert data.tobytes() == b"".join(want) and lengths.tolist() == [len(x) for x in want]
+    padded = [ctw.END * DEPTH + x for x in want]
+    assert keys.tolist() == [int.from_bytes(x[i - DEPTH : i + 1], "big") for x in padded for i in range(DEPTH, len(x))]
+    words, n = ctw._words(data)
+    assert n.tolist() == [len(words_of(t)) for t in texts]
+    assert words.to_pylist() == [w.encode() + b" " if w is not None else ctw.END for t in texts for w in words_of(t)]
+
+
+def test_places_by_key_have_all_keys_of_clashing_hashes():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 40, 500)
+    order, heads, n = ctw._runs(keys)
+    assert (keys[order] == np.repeat(heads, n)).all() and sorted(order.tolist()) == list(range(500)) and len(heads) == 40
+    keys = np.array([5, 6, 5, 6, 5]) << 61  # so that mixed keys differ only in few bits
+    order, heads, n = ctw._runs(keys)
+    assert (keys[order] == np.repeat(heads, n)).all() and sorted(order.tolist()) == list(range(5))
+
+
+def test_answers_are_pressed_without_loss():
+    logs = np.concatenate((-np.random.default_rng(4).random(1000).astype(np.float32) * 3, np.float32([-12.0, 0.0])))
+    packed = ctw._pressed_logs(logs)
+    assert (ctw._loose_logs(packed) == logs).all() and len(packed) < 0.9 * logs.nbytes and len(ctw._loose_logs(ctw._pressed_logs(logs[:0]))) == 0
