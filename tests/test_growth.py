@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import Graph
-from graphloom.operators import algorithms, cells, doc_writes, documents, extraction, leiden, parsing, search_index, shares, summaries
+from graphloom.operators import algorithms, brandes, cells, doc_writes, documents, extraction, leiden, parsing, search_index, shares, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +132,19 @@ def test_rounds_of_ranks_shuffle_arrays_and_edges_once(spark, monkeypatch):
 def test_ranks_of_no_rounds(spark):
     nodes, edges = spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(1, 2)], "src long, dst long")
     assert [r["pageRank"] for r in algorithms.pagerank(nodes, edges, rounds=0, damping=0.5).collect()] == [0.5, 0.5]
+
+
+def test_a_cell_of_paths_takes_little_memory():
+    """One step of a cell of the greatest size that cells have on average: its edges times the sources that come to each node."""
+    nodes, sources, each = 400, 500, brandes.HELD // (400 * 500)
+    node = np.repeat(np.arange(nodes), each)
+    edges = brandes._row(0, brandes.EDGES, node=node, other=np.arange(len(node)), other_cell=np.arange(len(node)) % 50)
+    came = brandes._row(0, brandes.SENT, s=np.tile(np.arange(sources), nodes), node=np.repeat(np.arange(nodes), sources), value=np.ones(nodes * sources))
+    table = pa.Table.from_pylist([edges, came], brandes.SCHEMA)
+    tracemalloc.start()
+    out = brandes._forward(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sent = out.filter(pa.array(out.column("kind").to_numpy() == brandes.SENT))
+    assert len(brandes._flat(sent, brandes.SENT, "s", np.int64)) == len(node) * sources
+    assert peak < 100e6, peak
