@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.checkpoints import cut
 from graphloom.functions import frontmatter
 from graphloom.operators import rules
+from graphloom.operators.near_names import nearest
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -145,12 +146,9 @@ def similar_names(asked: DataFrame, known: DataFrame, threshold: float) -> DataF
 def fuzzy(refs: DataFrame, symbols: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """The most alike symbol of each (service, name), its bigrams' coefficient at least ``threshold``.
 
-    A service takes symbols of its repository only.
+    A service takes symbols of its repository only. Who has a near one isn't compared with all that are farther (``near_names``).
     """
-    pairs = similar_names(refs.select("name"), symbols.select("name"), threshold)
-    rows = refs.select("service", "name").distinct().hint("merge").join(pairs, "name").join(symbols.select(F.col("name").alias("symbol"), F.col("repo").alias("owner"), "id").hint("merge"), "symbol")
-    rows = rows.where(F.col("service").isNull() | (F.col("service") == F.col("owner")))
-    return rows.groupBy("service", "name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+    return nearest(refs, symbols, threshold)
 
 
 def reference_edges(resolved: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:

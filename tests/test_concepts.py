@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import checkpoints
-from graphloom.operators import concepts, documents, summaries
+from graphloom.operators import concepts, documents, near_names, summaries
 
 
 def test_greedy_merge_is_that_of_one_by_one(spark):
@@ -123,3 +123,21 @@ def test_near_vectors_against_all_pairs(spark, threshold):
         compared = sum(r["l"] * r["r"] / (2 if r["a"] == r["b"] else 1) for r in sides)
         assert compared < 0.5 * 1500**2 / 2, compared / (1500**2 / 2)
     assert concepts.near_earlier(df.limit(0), threshold).count() == 0
+
+
+def test_nearest_names_step_by_step(spark, monkeypatch):
+    """Every threshold in turn, services, ties, equal names of several symbols, letters beyond the basic plane."""
+    monkeypatch.setattr(near_names, "WORK", 0)
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice(["get", "User", "set", "Order", "a", "Item", "x", "é", "😀"]) for _ in range(rng.randint(1, 4)))
+    symbols = [(rng.choice("rs"), name(), f"{i:03}") for i in range(90)] + [("r", None, "n"), ("s", "", "e"), (None, "UserOrder", "w")]
+    refs = [(rng.choice(["r", "s", None]), name()) for _ in range(90)] + [(None, "zzzz"), ("r", ""), (None, None), ("r", "UserOrder"), (None, "UserOrder")]
+    pairs = lambda w: {w.lower()[i : i + 2] for i in range(len(w) - 1)} or {w.lower()}
+    want = {}
+    for service, n in {(s, n) for s, n in refs if n}:
+        scored = [(-2 * len(pairs(n) & pairs(m)) / (len(pairs(n)) + len(pairs(m))), i) for repo, m, i in symbols if m and service in (None, repo)]
+        if scored and min(scored)[0] <= -0.6:
+            want[service, n] = (round(-min(scored)[0], 9), min(scored)[1])
+    got = documents.fuzzy(spark.createDataFrame(refs, "service string, name string"), spark.createDataFrame(symbols, "repo string, name string, id string")).collect()
+    assert {(r["service"], r["name"]): (round(r["score"], 9), r["id"]) for r in got} == want and len(got) == len(want) > 60
+    assert documents.fuzzy(spark.createDataFrame([("r", "zzzz")], "service string, name string"), spark.createDataFrame(symbols, "repo string, name string, id string")).count() == 0

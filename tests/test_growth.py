@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from graphloom import checkpoints
 from graphloom.fixtures import Graph
-from graphloom.operators import algorithms, brandes, cells, doc_writes, documents, extraction, leiden, parsing, search_index, shares, summaries
+from graphloom.operators import algorithms, brandes, cells, doc_writes, documents, extraction, leiden, near_names, parsing, search_index, shares, summaries
 from graphloom.plans import catalogue_text
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +149,25 @@ def test_a_cell_of_paths_takes_little_memory():
     sent = out.filter(pa.array(out.column("kind").to_numpy() == brandes.SENT))
     assert len(brandes._flat(sent, brandes.SENT, "s", np.int64)) == len(node) * sources
     assert peak < 100e6, peak
+
+
+def test_nearest_names_are_found_without_all_that_are_alike(spark, monkeypatch):
+    """Names of the same words are alike by the square of their number."""
+    seen = []
+
+    def alike(*args):
+        seen.append(checkpoints.cut(found(*args)))
+        return seen[-1]
+
+    found = near_names._alike
+    monkeypatch.setattr(near_names, "WORK", 0)
+    monkeypatch.setattr(near_names, "_alike", alike)
+    known = spark.range(3000).select(F.lit("r").alias("repo"), F.concat(F.lit("Large_ring_"), F.col("id") + 10000).alias("name"), F.col("id").cast("string").alias("id"))
+    asked = known.select("repo", F.concat(F.lit("Larxe_ring_"), F.substring("name", 12, 5)).alias("name"), "id")
+    got = documents.fuzzy(asked.select(F.col("repo").alias("service"), "name"), known)
+    digits = lambda n: frozenset(n[i : i + 2] for i in range(9, len(n) - 1))
+    least = {}
+    for r in sorted(known.collect(), key=lambda r: r["id"]):
+        least.setdefault(digits(r["name"]), r["id"])
+    assert got.count() == 3000 and all(r["id"] == least[digits(r["name"])] for r in got.collect())
+    assert sum(s.count() for s in seen) < 20 * 3000  # 4,500,000 pairs are alike by 0.6
