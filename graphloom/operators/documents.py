@@ -11,6 +11,9 @@ from graphloom.operators import rules
 from graphloom.operators.near_names import nearest
 
 
+REFERENCE = "struct<channel:string,repo:string,filePath:string,name:string>"
+
+
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -46,10 +49,25 @@ def declared(docs: DataFrame, keys: tuple[str, ...] = ("symbols",)) -> DataFrame
 
     An item is ``repo:path#name``, ``path#name`` or a name.
     """
-    block = F.regexp_extract("body", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
-    items = F.explode(F.concat(*[F.transform(frontmatter.list_field(F.concat(F.regexp_replace(block, "\r", ""), F.lit("\n")), k), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", "")) for k in keys]))
-    part = lambda i: F.when(F.regexp_extract("item", r"^(?:([^:#]+):)?(?:([^#]+)#)?([^#]+)$", i) != "", F.regexp_extract("item", r"^(?:([^:#]+):)?(?:([^#]+)#)?([^#]+)$", i))
-    return docs.select(F.col("path").alias("doc_path"), items.alias("item")).select("doc_path", part(1).alias("repo"), part(2).alias("filePath"), part(3).alias("name")).where("name IS NOT NULL")
+    item = declared_part(F.col("item"))
+    rows = docs.select(F.col("path").alias("doc_path"), F.explode(declared_items(F.col("body"), keys)).alias("item"))
+    return rows.select("doc_path", item(1).alias("repo"), item(2).alias("filePath"), item(3).alias("name")).where("name IS NOT NULL")
+
+
+def declared_items(body: Column, keys: tuple[str, ...]) -> Column:
+    """What frontmatter lists under ``keys``, without quotes."""
+    block = F.concat(F.regexp_replace(F.regexp_extract(body, r"(?s)^---\r?\n(.*?)\r?\n---", 1), "\r", ""), F.lit("\n"))
+    return F.concat(*[F.transform(frontmatter.list_field(block, k), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", "")) for k in keys])
+
+
+def declared_part(item: Column):
+    """Repository (1), path (2) or name (3) of an item; null if it has none."""
+
+    def part(i: int) -> Column:
+        found = F.regexp_extract(item, r"^(?:([^:#]+):)?(?:([^#]+)#)?([^#]+)$", i)
+        return F.when(found != "", found)
+
+    return part
 
 
 def declared_symbols(docs: DataFrame) -> DataFrame:
@@ -58,18 +76,18 @@ def declared_symbols(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """A row for each reference of ``docs`` (path, service, body): channel, repo, filePath, name."""
-    base = docs.select("path", "service", "body")
-    inline = base.select("path", "service", F.explode(inline_code(F.col("body"))).alias("name"))
-    inline = inline.select("path", "service", F.lit("inline").alias("channel"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("filePath"), "name")
-    fenced = base.select("path", "service", F.explode(fenced_imports(F.col("body"))).alias("filePath"))
-    name = F.regexp_replace(F.element_at(F.split("filePath", "/"), -1), r"\.[^.]*$", "")
-    fenced = fenced.select("path", "service", F.lit("fenced").alias("channel"), F.lit(None).cast("string").alias("repo"), "filePath", name.alias("name"))
-    links = base.select("path", "service", F.inline(graph_links(F.col("body"))))
-    links = links.select("path", "service", F.lit("link").alias("channel"), "repo", "filePath", "name")
-    head = declared(docs).join(base.select(F.col("path").alias("doc_path"), "service").hint("merge"), "doc_path")
-    head = head.select(F.col("doc_path").alias("path"), "service", F.lit("frontmatter").alias("channel"), "repo", "filePath", "name")
-    return inline.unionByName(fenced).unionByName(links).unionByName(head)
+    """A row for each reference of ``docs`` (path, service, body): channel, repo, filePath, name. Texts are read once."""
+    none = F.lit(None).cast("string")
+    ref = lambda channel, repo, path, name: F.struct(F.lit(channel).alias("channel"), repo.alias("repo"), path.alias("filePath"), name.alias("name"))
+    body, stem = F.col("body"), lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]*$", "")
+    found = [
+        F.transform(inline_code(body), lambda n: ref("inline", none, none, n)),
+        F.transform(fenced_imports(body), lambda p: ref("fenced", none, p, stem(p))),
+        F.transform(graph_links(body), lambda x: ref("link", x["repo"], x["filePath"], x["name"])),
+        F.filter(F.transform(declared_items(body, ("symbols",)), lambda x: ref("frontmatter", *map(declared_part(x), (1, 2, 3)))), lambda r: r["name"].isNotNull()),
+    ]
+    every = F.concat(*[F.coalesce(f, F.array().cast(f"array<{REFERENCE}>")) for f in found])
+    return docs.select("path", "service", F.inline(every))
 
 
 #: Score from which on a name resolves to one like it; 1 and more turn this off.
@@ -91,15 +109,16 @@ def resolve(refs: DataFrame, symbols: DataFrame, modules: DataFrame, threshold:
     rows = rows.withColumn("segment", F.when(F.col("channel") == "fenced", segment(F.col("filePath")))).join(by_segment, "segment", "left")
     fenced = F.col("channel") == "fenced"
     rows = rows.withColumn("found", F.when(fenced, F.col("module")).otherwise(F.coalesce("exact", "by_service")))
-    if threshold < 1:
-        like = fuzzy(rows.where(F.col("found").isNull() & ~fenced).select("service", "name").distinct(), symbols, threshold)
-        like = like.select(F.coalesce("service", F.lit("")).alias("s"), F.col("name").alias("n"), F.col("id").alias("like"))
-        rows = rows.join(like.hint("merge"), (F.coalesce("service", F.lit("")) == F.col("s")) & (F.col("name") == F.col("n")) & F.col("found").isNull() & ~fenced, "left")
-    else:
-        rows = rows.withColumn("like", F.lit(None).cast("string"))
-    target = F.coalesce("found", "like")
-    how = F.when(target.isNull(), "unresolved").when(fenced, "module").when(F.col("exact").isNotNull(), "exact").when(F.col("by_service").isNotNull(), "service").otherwise("fuzzy")
-    return rows.select("path", "channel", "name", target.alias("target"), how.alias("how"))
+    how = F.when(F.col("found").isNull(), "unresolved").when(fenced, "module").when(F.col("exact").isNotNull(), "exact").otherwise("service")
+    rows = rows.select("path", "service", "channel", "name", "found", how.alias("how"))
+    if threshold >= 1:
+        return rows.select("path", "channel", "name", F.col("found").alias("target"), "how")
+    rows = cut(rows)  # for two uses, so that documents are read once
+    lost = (F.col("how") == "unresolved") & ~fenced
+    like = fuzzy(rows.where(lost).select("service", "name").distinct(), symbols, threshold)
+    like = like.select(F.col("service").alias("s"), F.col("name").alias("n"), F.col("id").alias("like"))
+    rows = rows.join(like.hint("merge"), F.col("service").eqNullSafe(F.col("s")) & (F.col("name") == F.col("n")) & lost, "left")
+    return rows.select("path", "channel", "name", F.coalesce("found", "like").alias("target"), F.when(F.col("like").isNotNull(), "fuzzy").otherwise(F.col("how")).alias("how"))
 
 
 def bigrams(name: Column) -> Column:

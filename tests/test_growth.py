@@ -171,3 +171,12 @@ def test_nearest_names_are_found_without_all_that_are_alike(spark, monkeypatch):
         least.setdefault(digits(r["name"]), r["id"])
     assert got.count() == 3000 and all(r["id"] == least[digits(r["name"])] for r in got.collect())
     assert sum(s.count() for s in seen) < 20 * 3000  # 4,500,000 pairs are alike by 0.6
+
+
+def test_references_are_read_in_one_pass(spark):
+    docs = spark.createDataFrame([("a.md", "s", "---\nsymbols:\n  - r:f.js#n\n  - 'm'\n---\n`Name` [x](graph://symbol/r/f.js#n)\n```\nimport './lib/b.js'\n```\n"), (None, None, None)], "path string, service string, body string")
+    found = documents.references(docs)
+    text = plan(found)
+    assert len(re.findall("Generate", text)) == 1 and "Join" not in text and "Exchange" not in text
+    want = {("inline", None, None, "Name"), ("fenced", None, "./lib/b.js", "b"), ("link", "r", "f.js", "n"), ("frontmatter", "r", "f.js", "n"), ("frontmatter", None, None, "m")}
+    assert {tuple(r)[2:] for r in found.collect()} == want
