@@ -180,3 +180,21 @@ def test_references_are_read_in_one_pass(spark):
     assert len(re.findall("Generate", text)) == 1 and "Join" not in text and "Exchange" not in text
     want = {("inline", None, None, "Name"), ("fenced", None, "./lib/b.js", "b"), ("link", "r", "f.js", "n"), ("frontmatter", "r", "f.js", "n"), ("frontmatter", None, None, "m")}
     assert {tuple(r)[2:] for r in found.collect()} == want
+
+
+def test_trees_of_components_stay_in_all_cells(spark, monkeypatch):
+    """By the order of ids nearly all edges of the second round came to the first cells."""
+    rng = random.Random(4)
+    pairs = [(rng.randrange(4000), rng.randrange(4000)) for _ in range(24_000)]
+    edges, kept = spark.createDataFrame(pairs, "src long, dst long"), []
+
+    def merged(graph, state):
+        kept.append(cells.merged(graph, state))
+        return kept[-1]
+
+    monkeypatch.setattr(cells, "HELD", 2400)  # 20 cells
+    monkeypatch.setattr(algorithms, "merged", merged)
+    got = algorithms.components(spark.range(4000).withColumnRenamed("id", "node"), edges).collect()
+    assert len(got) == 4000 and all(r["component"] <= r["node"] for r in got)
+    held = [len(r["at"]) // 4 for r in cells.of_kind(kept[0], cells.EDGES).select("at").collect()]
+    assert len(held) >= 18 and max(held) < 0.3 * sum(held)
